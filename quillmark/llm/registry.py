@@ -1,3 +1,3 @@
 """The modules of this subpackage that have queries."""
 
-MODULES = ["quillmark.llm.neardup", "quillmark.llm.origin", "quillmark.llm.splits"]
+MODULES = ["quillmark.llm.neardup", "quillmark.llm.origin", "quillmark.llm.secrets", "quillmark.llm.splits"]
