@@ -1,0 +1,381 @@
+"""Labelled phrases that the residue models are fitted on.
+
+One phrase a line, by class.  ``@`` stands for an unfilled placeholder, ``0`` for any number.  The natural
+class has no phrases: its model is counted over all documents.
+"""
+
+import itertools
+import re
+
+FILLER = """
+lorem ipsum dolor sit amet consectetur adipiscing elit
+sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
+ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat
+duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur
+excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
+vitae justo augue lectus purus porta mollis cursus turpis urna nibh tempor magna quis enim nulla lorem
+dolor lorem ipsum sit amet, nibh augue vitae justo; turpis urna porta elit sed aliqua purus mollis lectus cursus
+nulla quis enim velit amet ipsum elit porta lectus sed magna vitae augue nibh justo turpis purus aliqua tempor dolor
+sit lectus urna mollis cursus lorem enim velit, quis sed dolor magna amet nibh; elit justo aliqua turpis porta vitae nulla
+amet purus ipsum augue tempor lorem, magna cursus enim urna sit mollis dolor lectus quis velit sed elit nulla aliqua justo
+foo bar foo bar foo bar foo bar foo bar foo bar baz
+bla bla bla bla bla bla bla bla bla bla
+blah blah blah blah blah blah blah
+asdf asdf asdf asdf asdf asdf asdf
+qwerty qwerty qwerty qwerty qwerty
+xxx xxx xxx xxx xxx xxx xxx xxx
+test test test test test test
+item 0 item 0 item 0 item 0 item 0 item 0
+line 0 line 0 line 0 line 0 line 0
+word 0 word 0 word 0 word 0 word 0
+text 0 text 0 text 0 text 0 text 0
+texto 0 texto 0 texto 0 texto 0 texto 0
+texte 0 texte 0 texte 0 texte 0
+absatz 0 absatz 0 absatz 0 absatz 0
+zeile 0 zeile 0 zeile 0 zeile 0 wort 0 wort 0 wort 0
+paragraph 0 paragraph 0 paragraph 0 paragraph 0
+ligne 0 ligne 0 ligne 0 ligne 0 mot 0 mot 0 mot 0
+linea 0 linea 0 linea 0 palabra 0 palabra 0 palabra 0
+example text for
+sample text for
+dummy text for
+placeholder text for
+filler text for
+text goes here.
+description goes here.
+your text will appear here about
+your text here
+put the real description in this box about
+replace this paragraph with your own content about
+replace this text with your own content
+add your description here
+untitled document
+new page 0
+blindtext
+hier steht später die beschreibung
+hier steht später der text
+platzhaltertext für
+beispieltext für
+text folgt
+beschreibung folgt
+inhalt folgt
+texte à compléter
+texte à venir
+saisissez ici la description
+contenu à venir
+description à compléter
+texte d'exemple pour
+texto pendiente
+contenido por definir
+texto de ejemplo para
+escriba aquí la descripción
+introduzca aquí la descripción
+descripción pendiente
+"""
+
+FORM = """
+[short description]
+[long description, max 0 words]
+[long description, two to three paragraphs]
+[insert text here]
+contact: name@company.example
+phone: 0
+describe the bug
+a clear and short description of the problem.
+a clear and concise description of what the bug is.
+a clear description of what the bug is.
+describe the problem
+a clear and short description of what you expected.
+steps to reproduce
+go to '...'
+choose '....'
+click on '....'
+scroll down to '....'
+see error
+expected behaviour
+describe the change in one or two lines
+describe the change here
+explain why
+explain what and why
+a short text for reviewers
+paste output
+paste the output here
+list commands
+list the commands here
+how was it tested
+what does this change do?
+summary?
+purpose?
+why?
+[ ] tests added
+[ ] docs updated
+[ ] changelog entry
+[ ] owner of the module informed
+todo: fill in
+todo: fill in for
+todo: describe steps
+todo: write introduction for
+todo: complete this part
+todo: add table of values
+tbd: complete this part
+tbd: describe steps
+fixme: fill in for
+fixme: describe steps
+fixme: complete this part
+tbd: fill in for
+tbd: write introduction for
+tbd: add table of values
+tbd: add table of delta values
+to be written
+to be filled in
+datum: tt.mm.jjjj
+stand: tt.mm.jjjj
+ansprechpartner: n. n.
+date : jj/mm/aaaa
+auteur : xxx
+fecha: dd/mm/aaaa
+autor: xxx
+date: dd/mm/yyyy
+date: yyyy-mm-dd
+author: xxx
+name: xxx
+@
+summary: @
+owner: @
+status: @
+version: @
+zusammenfassung: @
+resumen: @
+résumé : @
+dear @, the review of @ is complete.
+hallo @, die prüfung von @ ist fertig.
+hola @, la revisión de @ ha terminado.
+bonjour @, la revue de @ est terminée.
+this change was requested by @ and affects @.
+please assign @ to @ before @.
+the @ module has @ open findings.
+version @ of @ was released on @.
+version @ von @ erscheint am @.
+la version @ de @ sort le @.
+la versión @ de @ sale el @.
+das modul @ hat @ offene befunde.
+le module @ a @ constats ouverts.
+el módulo @ tiene @ hallazgos abiertos.
+bitte @ vor @ an @ zuweisen.
+@ @ @
+"""
+
+ERROR = """
+404 not found
+404 - page not found
+404 nothing here
+error 404: page not found
+the page you are looking for does not exist
+the page you requested could not be found
+the address could not be found.
+this page isn't available right now.
+this page is not available
+this page does not exist
+page not found
+the link you followed may be broken, or it was removed.
+500 internal server error
+500 - something broke on our side
+something went wrong.
+something went wrong on our side
+oops! something went wrong.
+uh-oh.
+hmm. we hit a snag.
+we hit a snag.
+we could not load this page.
+error code: e0
+trace id: 0
+502 bad gateway
+http 502: bad answer from upstream
+503 service unavailable
+504 gateway timeout
+the server is busy.
+the server is too busy
+the server did not answer in time
+try again in 0 minutes.
+retry in 0 minutes.
+please try again later
+come back in 0 minutes.
+planned work is under way.
+we are down for maintenance
+this site is under maintenance
+we'll be back soon
+403 forbidden
+access denied
+permission denied
+you are not allowed to open report 0.
+you do not have permission to open report 0.
+you do not have permission to access this page
+login required.
+you were signed out
+you have been logged out
+your session has expired
+sign in again to continue to
+please sign in to continue
+upstream connect error or disconnect before headers (0 ms)
+upstream request timeout (0 ms)
+no healthy upstream
+connection refused
+connection reset by peer
+fetch failed: econnreset 0
+fetch failed: etimedout 0
+curl: (0) operation timed out after 0 ms
+curl: (0) could not resolve host
+wget: server returned error 0
+this site can't be reached
+took too long to respond.
+refused to connect.
+traceback: template failed at line 0: no attribute
+template 'report.html' failed at line 0: no attribute
+template error: undefined variable
+{"detail": "too many requests for client", "status": 0, "retry_after": 0}
+{"error": "too many requests for client", "status": 0, "retry_after": 0}
+{"message": "api rate limit exceeded for client", "status": 0, "retry_after": 0}
+{"detail": "quota used up for client", "status": 0, "retry_after": 0}
+{"error": "not found", "status": 0}
+{"error": "internal server error", "status": 0}
+{"message": "unauthorized", "status": 0}
+error code nosuchkey code key path/0 key requestid 0 requestid error
+error code accessdenied code key path/0 key requestid 0 requestid error
+error code internalerror key requestid hostid
+nosuchkey
+accessdenied
+request id: 0
+reference 0
+fehler 404
+404 - seite nicht gefunden
+seite nicht gefunden
+diese seite existiert nicht
+die adresse gibt es nicht.
+die adresse gibt es nicht mehr.
+interner serverfehler, bitte versuchen sie es in 0 minuten erneut.
+wartungsarbeiten, bitte versuchen sie es in 0 minuten erneut.
+bitte versuchen sie es später erneut
+zugriff verweigert.
+zugriff verweigert. vorgang 0
+vorgang 0
+keine berechtigung.
+anmeldung erforderlich.
+erreur 404
+404 - page inexistante
+404 - page introuvable
+page introuvable
+cette page n'existe pas
+erreur interne du serveur, réessayez dans 0 minutes.
+site en maintenance, réessayez dans 0 minutes.
+veuillez réessayer plus tard
+accès refusé.
+accès refusé. dossier 0
+accès interdit.
+connexion requise.
+error 404: página no encontrada
+error 404: página no disponible
+página no encontrada
+esta página no existe
+error interno del servidor, inténtelo de nuevo en 0 minutos.
+sitio en mantenimiento, inténtelo de nuevo en 0 minutos.
+acceso denegado.
+acceso denegado. referencia 0
+sin permiso.
+inicio de sesión obligatorio.
+checking your browser before the site opens.
+verifying your connection before we continue.
+verifying that you are human before we continue.
+checking that you are human
+this takes about 0 seconds.
+this takes up to 0 seconds.
+please wait while we verify
+"""
+
+SCRIPT = """
+this page needs javascript.
+this page needs scripts.
+this page requires javascript.
+this application requires javascript.
+this application needs a browser with scripts switched on.
+this site does not work without javascript.
+this app works only with javascript enabled.
+you need to enable javascript to run this app.
+you have to activate scripting to continue
+you have to turn on javascript to continue
+please enable javascript to view report 0.
+please turn on javascript and reload the page.
+please enable javascript and cookies to continue
+enable javascript to see this content
+turn on scripts to view report 0.
+javascript is disabled in your browser.
+javascript is not available.
+scripting is disabled in your browser.
+scripts are blocked in your browser.
+your browser does not support javascript, or they are switched off.
+your browser does not accept javascript, or they are switched off.
+your browser does not run scripts
+cookies are needed too to view report 0.
+cookies must be allowed to view report 0.
+reload the page afterwards.
+some parts of the page cannot be shown.
+some parts of this site cannot be shown.
+diese seite benötigt javascript.
+diese anwendung benötigt javascript.
+diese anwendung funktioniert nur mit javascript.
+diese seite funktioniert nur mit skripten.
+bitte aktivieren sie javascript, um fortzufahren.
+bitte schalten sie javascript ein.
+laden sie die seite danach neu.
+javascript ist in ihrem browser ausgeschaltet.
+cette page nécessite javascript.
+cette page a besoin de scripts pour s'afficher.
+cette application fonctionne uniquement avec javascript.
+veuillez activer javascript pour continuer.
+activez javascript puis rechargez la page.
+javascript est désactivé dans votre navigateur.
+esta página requiere javascript; actívelo y vuelva a cargar.
+esta página necesita javascript.
+esta aplicación necesita javascript.
+esta aplicación funciona solo con javascript.
+permita javascript para abrir el informe 0.
+active javascript para continuar.
+javascript está desactivado en su navegador.
+"""
+
+# Phrases put together from parts: each line has its alternatives in braces.
+SCRIPT_PARTS = """
+{please|kindly|you need to|you have to|you must} {allow|enable|activate|turn on|switch on|permit} {javascript|js|scripts|scripting} {to view report 0.|to continue|and reload the page.|and refresh the page.|for the full board|to see this page}
+{this page|this site|this application|this dashboard|this board|report 0} {needs|requires|relies on|depends on} {javascript.|js.|scripts.|scripting.}
+{javascript|js|scripting} {is|seems to be} {disabled|switched off|turned off|blocked} in {your|this} browser.
+{your browser|this browser} {does not support|does not accept|does not run|blocks} {javascript|js|scripts}, or they are switched off.
+{bitte|sie müssen} {javascript|skripte} {aktivieren|erlauben|einschalten}, um {fortzufahren|bericht 0 zu sehen}.
+{diese seite|diese anwendung} {benötigt|braucht|verlangt} {javascript|skripte}.
+{veuillez|merci de} {activer|autoriser} {javascript|les scripts} {pour continuer.|pour voir le rapport 0.|puis recharger la page.}
+{cette page|cette application} {requiert|nécessite|a besoin de} {javascript.|scripts.}
+{active|permita|habilite} {javascript|los scripts} {para continuar.|para abrir el informe 0.|para ver esta página.|y vuelva a cargar la página.}
+{esta página|esta aplicación} {requiere|necesita} {javascript.|scripts.}
+"""
+ERROR_PARTS = """
+{404|http 404|error 404:|erreur 404 :|fehler 404:} {not found|page not found|file or directory not found|file not found|nothing here|page inexistante|page introuvable|seite nicht gefunden|página no encontrada|página no disponible} (/path/0)
+{http 502|502|500|503|504} {bad gateway|service unavailable|gateway timeout|internal server error|something broke on our side}
+traceback: template 'report.html' failed at line 0{:|} {no attribute|has no attribute|undefined variable|unknown filter} 'summary'
+{site.example|the site|the server|the host} {took too long to respond.|refused to connect.|redirected you too many times.|can't be reached|did not answer.}
+too many redirects
+{the page|the address|the file|the report|the document} /path/0 {was moved or deleted, sorry.|could not be found.|was not found.|does not exist.|no longer exists.|has moved.}
+{you need|you require} permission to {open|view|see} report 0.
+{your session has|the session has|your session} {expired|ended|timed out}. {sign in again.|please sign in again to continue.|log in again.}
+"""
+
+
+def expand(text: str) -> str:
+    """Each line once for every choice of its alternatives."""
+    out = []
+    for line in text.strip().split("\n"):
+        parts = [p.split("|") if k % 2 else [p] for k, p in enumerate(re.split(r"[{}]", line))]
+        out += ["".join(x) for x in itertools.product(*parts)]
+    return "\n".join(out)
+
+
+#: (phrases, phrases from parts): both halves weigh the same.
+PARTS = {"script": expand(SCRIPT_PARTS), "error": expand(ERROR_PARTS)}
+CLASSES = {"filler": FILLER, "form": FORM, "error": ERROR, "script": SCRIPT}
