@@ -35,6 +35,7 @@ WORDS, THRESHOLD = 4, 0.7
 BANDS, ROWS = 40, 4
 FINGERPRINT_BITS, RADIUS = 128, 38
 HOT = 64
+BROADCAST_PAIRS = 500_000  # candidate pairs whose ends may be broadcast to the scan of the texts
 
 SIGNATURE = "n int, s1 long, s2 long, f1 long, f2 long, keys array<long>"
 
@@ -149,7 +150,10 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, w
                 names=["dataset", "a", "b", "similarity"],
             )
 
-    t = texts.select("dataset", "record_id", "source")
+    ends = pairs.select("dataset", F.col("a").alias("record_id")).union(pairs.select("dataset", "b")).distinct()
+    if pairs.count() <= BROADCAST_PAIRS:  # else a shuffle join
+        ends = F.broadcast(ends)
+    t = materialize(texts.select("dataset", "record_id", "source").join(ends, ["dataset", "record_id"], "left_semi"), "texts")
     both = (
         pairs.join(t.select("dataset", F.col("record_id").alias("a"), F.col("source").alias("text_a")), ["dataset", "a"])
         .join(t.select("dataset", F.col("record_id").alias("b"), F.col("source").alias("text_b")), ["dataset", "b"])
