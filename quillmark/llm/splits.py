@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -76,41 +77,106 @@ class Flow:
             total += push
 
 
-def solve(bundles: list[tuple[object, int, int, int]], shares: dict[str, float], heavy: list[tuple[object, int, int]]) -> tuple[dict, dict]:
-    """(split of each heavy component; components of each bundle per split).
+def place_heavy(heavy: list[tuple[object, int, int]], quota: dict[str, float], rate: float, rest_rate: float) -> dict[object, str]:
+    """A split for each heavy component: greedy, then single moves while they lower the cost.
 
-    bundles: (name, profile, components, records); heavy: (name, records, records with label 1).
+    The cost foresees that the rest fills each split up to its quota at ``rest_rate``.
     """
-    splits = sorted(shares)
-    total = sum(b[3] for b in bundles) + sum(h[1] for h in heavy)
-    positive = sum(h[2] for h in heavy)
-    left = {s: shares[s] * total for s in splits}
-    left_pos = {s: shares[s] * positive for s in splits}
+    splits = sorted(quota)
+    size, pos = dict.fromkeys(splits, 0), dict.fromkeys(splits, 0)
+
+    def cost(s: str) -> float:
+        room = quota[s] - size[s]
+        over = max(0.0, -room)
+        expected = pos[s] + max(0.0, room) * rest_rate
+        return 4 * over + 2 * abs(expected - rate * quota[s])
+
     placed: dict[object, str] = {}
-    for name, n, pos in sorted(heavy, key=lambda h: (-h[1], str(h[0]))):
+    todo = sorted(heavy, key=lambda h: (-h[1], str(h[0])))
+    for _ in range(1 + len(todo)):
+        changed = False
+        for name, n, k in todo:
+            at = placed.get(name)
+            if at is not None:
+                size[at] -= n
+                pos[at] -= k
+            best = None
+            for s in splits:
+                without = cost(s)
+                size[s] += n
+                pos[s] += k
+                d = (round(cost(s) - without, 9), s != at, -quota[s], s)
+                size[s] -= n
+                pos[s] -= k
+                best = d if best is None or d < best else best
+            s = best[3]
+            size[s] += n
+            pos[s] += k
+            changed |= s != at
+            placed[name] = s
+        if not changed:
+            break
+    return placed
 
-        def worse(s: str) -> float:
-            d = abs(left[s] - n) - abs(left[s]) + abs(left_pos[s] - pos) - abs(left_pos[s])
-            return d / max(shares[s], 1e-9) ** 0.5
 
-        s = min(splits, key=lambda s: (worse(s), -shares[s], s))
-        placed[name] = s
-        left[s] -= n
-        left_pos[s] -= pos
-    room = {s: max(0.0, left[s]) for s in splits}
+def profile_quotas(room: dict[str, float], need: dict[str, float], sizes: dict[int, int], rates: dict[int, float]) -> dict[tuple[str, int], float]:
+    """Records of each (split, profile): sums match the rooms and the profiles, and each split's expected
+    labels come as near to ``need`` as tilting towards profiles of higher or lower rate can bring them."""
+    splits, profiles = sorted(room), sorted(sizes)
+    tilt = dict.fromkeys(splits, 0.0)
+    row = dict.fromkeys(splits, 1.0)
+    q: dict[tuple[str, int], float] = {}
+    for _ in range(400):
+        for p in profiles:
+            w = {s: row[s] * room[s] * math.exp(tilt[s] * rates[p]) for s in splits}
+            t = sum(w.values()) or 1.0
+            for s in splits:
+                q[s, p] = sizes[p] * w[s] / t
+        for s in splits:
+            have = sum(q[s, p] for p in profiles)
+            if have:
+                row[s] *= room[s] / have
+            got = sum(q[s, p] * rates[p] for p in profiles)
+            tilt[s] = min(12.0, max(-12.0, tilt[s] + 2.0 * (need[s] - got) / max(1.0, room[s])))
+    return q
+
+
+def solve(
+    bundles: list[tuple[object, int, int, int, int]], shares: dict[str, float], heavy: list[tuple[object, int, int]]
+) -> tuple[dict, dict]:
+    """(split of each heavy component; components of each bundle per split).
+
+    bundles: (name, profile, components, records, records with label 1); heavy: (name, records, with label 1).
+    """
+    splits = sorted(shares)
+    whole = sum(shares.values())
     rest = sum(b[3] for b in bundles)
+    rest_pos = sum(b[4] for b in bundles)
+    total = rest + sum(h[1] for h in heavy)
+    rate = (rest_pos + sum(h[2] for h in heavy)) / max(1, total)
+    quota_all = {s: shares[s] / whole * total for s in splits}
+    placed = place_heavy(heavy, quota_all, rate, rest_pos / max(1, rest))
+    left, left_pos = dict(quota_all), {s: rate * quota_all[s] for s in splits}
+    for name, n, pos in heavy:
+        left[placed[name]] -= n
+        left_pos[placed[name]] -= pos
+    room = {s: max(0.0, left[s]) for s in splits}
     scale = rest / sum(room.values()) if sum(room.values()) else 0.0
     by_profile: dict[int, int] = {}
-    for _, profile, _, records in bundles:
+    positives: dict[int, int] = {}
+    for _, profile, _, records, pos in bundles:
         by_profile[profile] = by_profile.get(profile, 0) + records
+        positives[profile] = positives.get(profile, 0) + pos
+    rates = {p: positives[p] / max(1, by_profile[p]) for p in by_profile}
+    wanted = profile_quotas({s: room[s] * scale for s in splits}, left_pos, by_profile, rates)
     net, arcs = Flow(), {}
-    for name, profile, _, records in bundles:
+    for name, profile, _, records, _ in bundles:
         net.arc("source", ("b", name), records, 0)
         for s in splits:
             arcs[name, s] = net.arc(("b", name), ("p", s, profile), records, 0)
     for s in splits:
         for profile, records in by_profile.items():
-            quota = int(round(records * room[s] * scale / rest)) if rest else 0
+            quota = int(round(wanted[s, profile]))
             net.arc(("p", s, profile), ("s", s), quota, 0)
             net.arc(("p", s, profile), ("s", s), records, 1)
         quota = int(round(room[s] * scale))
@@ -119,7 +185,7 @@ def solve(bundles: list[tuple[object, int, int, int]], shares: dict[str, float],
     net.run("source", "sink")
     gone = {s: 0.0 for s in splits}
     out: dict[object, dict[str, int]] = {}
-    for name, _, count, records in sorted(bundles, key=lambda b: -(b[3] / max(1, b[2]))):
+    for name, _, count, records, _ in sorted(bundles, key=lambda b: -(b[3] / max(1, b[2]))):
         size = records / max(1, count)
         want = {s: net.cap[arcs[name, s] ^ 1] / size if size else 0.0 for s in splits}
         got = {s: int(want[s]) for s in splits}
@@ -203,8 +269,8 @@ def assign(records: DataFrame, ties: DataFrame, plan: DataFrame) -> DataFrame:
     shares = {r.split: float(r.share) for r in plan.where("split is not null and share > 0").collect()}
     heavy = [(r.component, r.n, r.pos) for r in sizes.where("heavy").select("component", "n", "pos").collect()]  # at most 1 / HEAVY
     bundles = [
-        ((r.size, r.profile), r.profile, r.k, r.records)
-        for r in sizes.where("not heavy").groupBy("size", "profile").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("records")).collect()
+        ((r.size, r.profile), r.profile, r.k, r.records, r.pos)
+        for r in sizes.where("not heavy").groupBy("size", "profile").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("records"), F.sum("pos").alias("pos")).collect()
     ]
     fixed, quotas = solve(bundles, shares, heavy)
     order = sorted(shares)
