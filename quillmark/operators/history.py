@@ -107,8 +107,8 @@ def k7_forecast(spark, sf_dir):
     g = h.withColumn("x", x).groupBy("file_id").agg(
         F.regr_slope("score", "x").alias("slope"), F.regr_intercept("score", "x").alias("intercept"), F.count(F.lit(1)).alias("n"), F.max_by("score", F.struct("ts", "entry_id")).alias("last")
     )
-    steps = F.when((F.col("slope") < 0) & (F.col("last") > 60), F.ceil((60 - F.col("intercept")) / F.col("slope") - (F.col("n") - 1)).cast("double"))
-    return g.select("file_id", F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"), steps.alias("steps"))
+    steps = F.when((F.col("slope") < 0) & (F.col("last") > 60), F.ceil((60 - F.col("intercept")) / F.col("slope") - (F.col("n") - 1)).cast("double") + F.lit(0.0))
+    return g.select("file_id", F.round("slope", 5).alias("slope"), F.round("intercept", 3).alias("intercept"), steps.alias("steps"))
 
 
 def k8_timelines(spark, sf_dir, most: int = 5):
@@ -257,7 +257,7 @@ ORACLE = {
     "j17_shares": f"WITH {H} SELECT repo, count(*) AS n, round(count(*) / (SELECT count(*) FROM h), 6) AS share FROM h GROUP BY 1 ORDER BY n DESC, repo LIMIT 8",
     "j18_calendar": f"WITH {H}, n AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM h GROUP BY 1), s AS (SELECT unnest(range((SELECT max(day) FROM n) - INTERVAL 34 DAY, (SELECT max(day) FROM n) + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day), j AS (SELECT day, coalesce(n, 0) AS n FROM s LEFT JOIN n USING (day)) SELECT day, n, CAST(ceil(4.0 * n / max(n) OVER ()) AS BIGINT) AS intensity FROM j",
     "j19_repos": f"WITH {H} SELECT repo, count(*) AS n, count(DISTINCT file_id) AS n_files, round(avg(score), 4) AS avg_score, CAST(count_if(score < 60) AS BIGINT) AS open_issues FROM h GROUP BY 1",
-    "k7_forecast": f"WITH {H}, x AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ts, entry_id) - 1 AS x FROM h), g AS (SELECT file_id, regr_slope(score, x) AS slope, regr_intercept(score, x) AS intercept, count(*) AS n, arg_max(score, x) AS last FROM x GROUP BY 1) SELECT file_id, round(slope, 5) AS slope, round(intercept, 4) AS intercept, CASE WHEN slope < 0 AND last > 60 THEN CAST(ceil((60 - intercept) / slope - (n - 1)) AS DOUBLE) END AS steps FROM g",
+    "k7_forecast": f"WITH {H}, x AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ts, entry_id) - 1 AS x FROM h), g AS (SELECT file_id, regr_slope(score, x) AS slope, regr_intercept(score, x) AS intercept, count(*) AS n, arg_max(score, x) AS last FROM x GROUP BY 1) SELECT file_id, round(slope, 5) AS slope, round(intercept, 3) AS intercept, CASE WHEN slope < 0 AND last > 60 THEN CAST(ceil((60 - intercept) / slope - (n - 1)) AS DOUBLE) + 0.0 END AS steps FROM g",
     "k8_timelines": f"WITH {H}, x AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ts, entry_id) AS x FROM h), g AS (SELECT file_id, count(*) AS n, arg_min(score, x) AS first, arg_max(score, x) AS last FROM x GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, file_id LIMIT 5) SELECT file_id, n, round(first, 4) AS first, round(last, 4) AS last, round(last - first, 4) AS delta FROM g",
     "k9_regressions": f"WITH {H}, x AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ts, entry_id) AS x FROM h), g AS (SELECT file_id, max(score) AS best, arg_min(score, x) AS first, arg_max(score, x) AS latest, count(*) AS n FROM x GROUP BY 1) SELECT g.file_id, round(latest, 4) AS latest, round(p.score, 4) AS before, best - latest >= 10 AS regressed, latest - first >= 5 AS improved FROM g LEFT JOIN x p ON p.file_id = g.file_id AND p.x = n - 1",
     "k11_latest": f"WITH {H} SELECT repo, file_id, entry_id, round(score, 4) AS score FROM h QUALIFY row_number() OVER (PARTITION BY repo, file_id ORDER BY ts DESC, entry_id DESC) = 1",

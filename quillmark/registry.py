@@ -10,7 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with QUERIES and ORACLE, in the order they are listed.
-MODULES = ["quillmark.operators.skew"]
+MODULES = [
+    "quillmark.operators.skew",
+    "quillmark.operators.text_metrics",
+    "quillmark.operators.rule_scan",
+    "quillmark.operators.history",
+    "quillmark.operators.evaluation",
+]
 
 
 def collect(modules: list[str]) -> tuple[dict[str, Query], dict[str, str]]:
