@@ -16,6 +16,13 @@ MODULES = [
     "quillmark.operators.rule_scan",
     "quillmark.operators.history",
     "quillmark.operators.evaluation",
+    "quillmark.operators.changes",
+    "quillmark.operators.clones",
+    "quillmark.operators.scoring",
+    "quillmark.operators.structure",
+    "quillmark.sources.formats",
+    "quillmark.streaming.replay",
+    "quillmark.plans.models",
 ]
 
 
