@@ -41,12 +41,13 @@ def held_out_auc(spark, sf_dir, name: str, stages: list) -> DataFrame:
     return _row(spark, name, "auc", BinaryClassificationEvaluator().evaluate(test), test.count())
 
 
-_SCALE = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
+def _scale() -> StandardScaler:
+    return StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
 
 
 def ml_logistic(spark, sf_dir):
     """P.1, P.4, P.17: weighted logistic regression."""
-    return held_out_auc(spark, sf_dir, "logistic", [_SCALE, LogisticRegression(featuresCol="scaled", weightCol="weight", maxIter=50, regParam=0.01)])
+    return held_out_auc(spark, sf_dir, "logistic", [_scale(), LogisticRegression(featuresCol="scaled", weightCol="weight", maxIter=50, regParam=0.01)])
 
 
 def ml_boosted(spark, sf_dir):
@@ -61,7 +62,7 @@ def ml_forest(spark, sf_dir):
 
 def ml_perceptron(spark, sf_dir):
     """P.3, P.15: multilayer perceptron."""
-    return held_out_auc(spark, sf_dir, "perceptron", [_SCALE, MultilayerPerceptronClassifier(featuresCol="scaled", layers=[27, 16, 2], maxIter=60, seed=7)])
+    return held_out_auc(spark, sf_dir, "perceptron", [_scale(), MultilayerPerceptronClassifier(featuresCol="scaled", layers=[27, 16, 2], maxIter=60, seed=7)])
 
 
 def ml_complexity(spark, sf_dir):
@@ -94,7 +95,7 @@ def ml_text_security(spark, sf_dir):
 def ml_isotonic(spark, sf_dir):
     """P.13, P.21: calibration error before and after isotonic regression of the logistic score."""
     d = materialize(labelled(spark, sf_dir), "labelled")
-    lr = Pipeline(stages=[_SCALE, LogisticRegression(featuresCol="scaled", maxIter=50)]).fit(d.where("not is_test"))
+    lr = Pipeline(stages=[_scale(), LogisticRegression(featuresCol="scaled", maxIter=50)]).fit(d.where("not is_test"))
     p = lr.transform(d).select("label", "is_test", vector_to_array("probability")[1].alias("p"))
     iso = IsotonicRegression(featuresCol="p", labelCol="label").fit(p.where("not is_test"))
     q = iso.transform(p.where("is_test"))

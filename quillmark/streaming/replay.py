@@ -113,7 +113,7 @@ def q8_feedback(spark, sf_dir):
     return run_to_table(s, "append", "feedback")
 
 
-QUERIES = {f.__name__: f for f in (q2_hourly, q3_admitted, q8_feedback)}
+QUERIES = {f.__name__: f for f in (q2_hourly, q3_admitted, q3_admitted_stream, q8_feedback)}
 ORACLE = {
     "q2_hourly": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "q8_feedback": "SELECT event_id, user_id, CAST(CASE WHEN value > 50 THEN 1 ELSE 0 END AS INT) AS verdict FROM events WHERE event_type = 'purchase'",
