@@ -47,6 +47,8 @@ class Flow:
         return len(self.to) - 2
 
     def run(self, s: object, t: object) -> int:
+        if s not in self.out or t not in self.out:
+            return 0
         high = dict.fromkeys(self.out, 0)
         total = 0
         while True:
