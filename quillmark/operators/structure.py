@@ -14,6 +14,7 @@ from quillmark.functions import pycode as P
 from quillmark.functions import text as T
 from quillmark.functions.normalize import language
 from quillmark.operators.text_metrics import files
+from quillmark.sources.tables import spread
 
 _ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
@@ -33,7 +34,7 @@ def per_source(df: DataFrame, schema: str, rows: Callable[[str], list[tuple]]) -
             arrays = [pa.array(ids, pa.int64())] + [pa.array([r[k] for r in out], _ARROW[t]) for k, (_, t) in enumerate(cols)]
             yield pa.RecordBatch.from_arrays(arrays, names=["file_id", *(n for n, _ in cols)])
 
-    return df.select("file_id", "code").mapInArrow(run, f"file_id long, {schema}")
+    return spread(df.select("file_id", "code").where("code is not null")).mapInArrow(run, f"file_id long, {schema}")
 
 
 def python_files(spark, sf_dir) -> DataFrame:

@@ -33,6 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if its scan has fewer (few small files).
+
+    For stages that spend far more on a row than moving it costs; a table of many files stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
