@@ -40,13 +40,14 @@ _XML = re.compile(r"</?(Error|Code|Key|RequestId|HostId|Message|Resource)>")
 _COMMENT = re.compile(r"<!--(.*?)-->", re.S)
 _TAG = re.compile(r"</?(?:html|head|title|body|h\d|p|div|span|noscript|script|style|br|hr|a|b|i|em|strong|ul|ol|li|img|meta|link|center|table|tr|td|th)\b[^>]*>", re.I)
 _PLACE = re.compile(
+    r"(?=[{<$\[@_%])(?:"  # rules out most places at once
     r"\{\{\s*[\w .\-]{1,40}\s*\}\}|\{%\s*[\w .\-]{1,40}\s*%\}|<%=?\s*[\w .\-]{1,40}\s*%>|\$\{[\w .\-]{1,40}\}|<<\s*[\w .\-]{1,40}\s*>>|"
     r"\[\[\s*[\w .\-]{1,40}\s*\]\]|@@[\w .\-]{1,40}@@|(?<!\w)__(?!_)[A-Za-z][\w ]{0,38}[A-Za-z]__(?!\w)|(?<![\w$])\$[A-Za-z][A-Za-z_ ]{1,38}\$(?!\w)|%[A-Z][A-Z_]{2,38}%|"
     r"<[A-Z][A-Z_]{2,38}>|<(?:insert|your|enter)[ _][\w .\-]{1,40}>|\[(?:insert|your|enter)[ _][\w .\-]{1,40}\]|\{(?:insert|your|enter)[ _][\w .\-]{1,40}\}|"
-    r"\[[A-Z][A-Z]+(?:_[A-Z]+)+\]|\[[a-z]+(?:_[a-z]+)+\](?![(\[:])|(?<=[:, ])\[[a-z]{3,12}\](?![(\[:\w])|^\[[a-z]{3,12}\]$|<[a-z]+_[a-z_]+>|(?<=: )<[a-z]{3,12}>$|(?<=: )\[[A-Z]{3,12}\]$",
+    r"\[[A-Z][A-Z]+(?:_[A-Z]+)+\]|\[[a-z]+(?:_[a-z]+)+\](?![(\[:])|(?<=[:, ])\[[a-z]{3,12}\](?![(\[:\w])|^\[[a-z]{3,12}\]$|<[a-z]+_[a-z_]+>|(?<=: )<[a-z]{3,12}>$|(?<=: )\[[A-Z]{3,12}\]$)",
     re.M,
 )
-_NUMBER = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{12,}\b|\d[\d.,:]*")
+_NUMBER = re.compile(r"\b[0-9a-f]{12,}\b|\d[\d.,:]*")
 _LEAD = re.compile(r"^[\s>*#|\-•–]+|[\s*|]+$")
 _CUT = re.compile(r"\n+|(?<=[.!?])\s+")
 _REPEAT = re.compile(r"\b((?:[^\W\d_]{2,12}\W+){1,2}?(?:0\W+)?)\1{7,}")
@@ -161,26 +162,44 @@ def score(lines: list[str], table_: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return kind, best, cover
 
 
+def _repeats(s: str) -> bool:
+    """Eight times the same one to three tokens; few distinct tokens are asked for first."""
+    w = s.split()
+    return len(w) >= 8 and 4 * len(set(w)) <= len(w) and _REPEAT.search(s + " ") is not None
+
+
 #: Lines that go with residue but are no evidence by themselves.
 _WEAK = {"menu", "see error", "why?", "testing", "checks", "component", "summary", "untitled document", "reference 0", "vorgang 0", "referencia 0"}
 
 
 def judge(lines: list[str], table_: np.ndarray) -> tuple[str | None, float]:
     """(class of the strongest residue or None, share of characters in residue sentences)."""
-    if not lines:
-        return None, 0.0
-    kind, mean, cover = score(lines, table_)
+    return judge_all([lines], table_)[0]
+
+
+def judge_all(docs: list[list[str]], table_: np.ndarray) -> list[tuple[str | None, float]]:
+    """``judge`` of many documents: their sentences are scored together, since calls cost more than characters."""
+    flat = [s for lines in docs for s in lines]
+    if not flat:
+        return [(None, 0.0)] * len(docs)
+    kind, mean, cover = (x.tolist() for x in score(flat, table_))
     names = list(CLASSES)
-    found, top, inside, total = None, 0.0, 0, 0
-    for s, k, m, c in zip(lines, kind, mean, cover):
-        total += len(s)
-        strong = PLACEHOLDER in s and not s.startswith(CODE)
-        rest = sum(ch.isalnum() for ch in s)
-        if strong or (rest >= LEAST and s not in _WEAK and m >= MEAN and c >= COVERAGE) or (len(s) > 40 and _REPEAT.search(s + " ")):
-            inside += len(s)
-            if found is None or m > top:
-                found, top = ("form" if strong else names[k]), m
-    return found, inside / max(1, total)
+    out: list[tuple[str | None, float]] = []
+    at = 0
+    for lines in docs:
+        found, top, inside, total = None, 0.0, 0, 0
+        for n, s in enumerate(lines, at):
+            size = len(s)
+            total += size
+            strong = PLACEHOLDER in s
+            likely = mean[n] >= MEAN and cover[n] >= COVERAGE and s not in _WEAK and sum(map(str.isalnum, s)) >= LEAST
+            if strong or likely or (size > 40 and _repeats(s)):
+                inside += size
+                if found is None or mean[n] > top:
+                    found, top = ("form" if strong else names[kind[n]]), mean[n]
+        at += len(lines)
+        out.append((found, inside / max(1, total)))
+    return out
 
 
 def p10_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,10 +217,11 @@ def detect(docs: DataFrame) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             kinds, covers = [], []
-            for text in part.column("text").to_pylist():
-                k, c = judge(sentences(text), model.value) if text and not text.isspace() else (None, 0.0)
-                kinds.append(k)
-                covers.append(c)
+            texts = part.column("text").to_pylist()
+            for i, j in batches(texts, chars=300_000):
+                for k, c in judge_all([sentences(t) if t and not t.isspace() else [] for t in texts[i:j]], model.value):
+                    kinds.append(k)
+                    covers.append(c)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(kinds, pa.string()), pa.array(covers, pa.float64())], names=["doc_id", "residue", "coverage"]
             )
