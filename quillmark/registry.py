@@ -19,6 +19,7 @@ MODULES = [
     "quillmark.operators.changes",
     "quillmark.operators.clones",
     "quillmark.operators.scoring",
+    "quillmark.operators.checks",
     "quillmark.operators.structure",
     "quillmark.sources.formats",
     "quillmark.streaming.replay",
