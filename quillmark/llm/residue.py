@@ -142,22 +142,23 @@ def ratios(prose: np.ndarray) -> np.ndarray:
 def score(lines: list[str], table_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(best class, mean ratio, covered share) of each line."""
     where, begin, end = _line_cells(lines)
-    best = np.full(len(lines), -np.inf)
-    cover = np.zeros(len(lines))
-    kind = np.zeros(len(lines), np.int64)
+    n = len(lines)
+    best, cover, kind = np.full(n, -np.inf), np.zeros(n), np.zeros(n, np.int64)
+    size = end - begin
+    owner = np.repeat(np.arange(n), size)
+    first = np.cumsum(size) - size
+    pos = np.arange(len(owner)) + np.repeat(begin - first, size)
+    # windows are cut at the line's ends
+    lo = np.maximum(pos - WINDOW // 2, begin[owner])
+    hi = np.minimum(pos + WINDOW // 2 + 1, end[owner])
+    least = 0.25 * (hi - lo)
+    total = np.zeros(len(where) + 1)
     for c in range(len(table_)):
-        s = table_[c][where].astype(np.float64)
-        total = np.concatenate(([0.0], np.cumsum(s)))
-        mean = (total[end] - total[begin]) / (end - begin)
-        # smoothed within the line: the window is cut at the line's ends
-        size = end - begin
-        owner = np.repeat(np.arange(len(lines)), size)
-        pos = np.concatenate([np.arange(b, e) for b, e in zip(begin, end)]) if len(lines) else np.zeros(0, np.int64)
-        lo = np.maximum(pos - WINDOW // 2, begin[owner])
-        hi = np.minimum(pos + WINDOW // 2 + 1, end[owner])
-        good = (total[hi] - total[lo]) > 0.25 * (hi - lo)
-        share = np.bincount(owner, weights=good, minlength=len(lines)) / np.maximum(1, size)
-        better = mean > best
+        np.cumsum(table_[c][where], dtype=np.float64, out=total[1:])
+        mean = (total[end] - total[begin]) / size
+        better = np.flatnonzero(mean > best)
+        good = (total[hi] - total[lo]) > least
+        share = np.add.reduceat(good, first, dtype=np.int64) / size if n else cover
         best[better], kind[better], cover[better] = mean[better], c, share[better]
     return kind, best, cover
 
