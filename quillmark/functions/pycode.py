@@ -14,13 +14,16 @@ import sys
 import tokenize
 import warnings
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 LOOPS = (ast.For, ast.AsyncFor, ast.While)
 FUNCS = (ast.FunctionDef, ast.AsyncFunctionDef)
 DECISIONS = (ast.If, ast.While, ast.For, ast.ExceptHandler, ast.With, ast.Assert, ast.comprehension)
 
 
+@lru_cache(maxsize=2)
 def parse(source: str | None) -> ast.Module | None:
+    """The tree, or None.  The last sources' trees are kept, so that analyzers called one after another share one."""
     if source is None:
         return None
     try:
