@@ -26,6 +26,7 @@ MODULES = [
     "quillmark.operators.clones",
     "quillmark.operators.scoring",
     "quillmark.operators.checks",
+    "quillmark.operators.enrichment",
     "quillmark.operators.structure",
     "quillmark.sources.formats",
     "quillmark.streaming.replay",
