@@ -32,6 +32,7 @@ CLAMP = 4.0
 WINDOW = 11
 MEAN, COVERAGE = 0.65, 0.55
 LEAST = 5
+SHORT, SHORT_MEAN = 20, 0.85  # a few words, as headings have, need more evidence
 PLACEHOLDER, CODE = "@", ""
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.S | re.M)
@@ -50,7 +51,7 @@ _PLACE = re.compile(
 _NUMBER = re.compile(r"\b[0-9a-f]{12,}\b|\d[\d.,:]*")
 _LEAD = re.compile(r"^[\s>*#|\-•–]+|[\s*|]+$")
 _CUT = re.compile(r"\n+|(?<=[.!?])\s+")
-_REPEAT = re.compile(r"\b((?:[^\W\d_]{2,12}\W+){1,2}?(?:0\W+)?)\1{7,}")
+_REPEAT = re.compile(r"\b((?:[^\W\d_]{2,12}\W+){1,2}?(?:0\W+)?)\1{5,}")
 
 
 def sentences(text: str) -> list[str]:
@@ -164,9 +165,9 @@ def score(lines: list[str], table_: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _repeats(s: str) -> bool:
-    """Eight times the same one to three tokens; few distinct tokens are asked for first."""
+    """Six times the same one to three tokens; few distinct tokens are asked for first."""
     w = s.split()
-    return len(w) >= 8 and 4 * len(set(w)) <= len(w) and _REPEAT.search(s + " ") is not None
+    return len(w) >= 6 and 3 * len(set(w)) <= len(w) and _REPEAT.search(s + " ") is not None
 
 
 #: Lines that go with residue but are no evidence by themselves.
@@ -193,7 +194,7 @@ def judge_all(docs: list[list[str]], table_: np.ndarray) -> list[tuple[str | Non
             size = len(s)
             total += size
             strong = PLACEHOLDER in s
-            likely = mean[n] >= MEAN and cover[n] >= COVERAGE and s not in _WEAK and sum(map(str.isalnum, s)) >= LEAST
+            likely = mean[n] >= (MEAN if size >= SHORT or "0" in s or "." in s else SHORT_MEAN) and cover[n] >= COVERAGE and s not in _WEAK and sum(map(str.isalnum, s)) >= LEAST
             if strong or likely or (size > 40 and _repeats(s)):
                 inside += size
                 if found is None or mean[n] > top:

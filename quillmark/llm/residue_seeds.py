@@ -344,15 +344,16 @@ javascript está desactivado en su navegador.
 
 # Phrases put together from parts: each line has its alternatives in braces.
 SCRIPT_PARTS = """
-{please|kindly|you need to|you have to|you must} {allow|enable|activate|turn on|switch on|permit} {javascript|js|scripts|scripting} {to view report 0.|to continue|and reload the page.|and refresh the page.|for the full board|to see this page}
+{please|kindly|you need to|you have to|you must} {allow|enable|activate|turn on|switch on|permit} {javascript|js|scripts|scripting} {to view report 0.|to continue|and reload the page.|and refresh the page.|for the full board|to see this page|to see the board}
 {this page|this site|this application|this dashboard|this board|report 0} {needs|requires|relies on|depends on} {javascript.|js.|scripts.|scripting.}
 {javascript|js|scripting} {is|seems to be} {disabled|switched off|turned off|blocked} in {your|this} browser.
 {your browser|this browser} {does not support|does not accept|does not run|blocks} {javascript|js|scripts}, or they are switched off.
 {bitte|sie müssen} {javascript|skripte} {aktivieren|erlauben|einschalten}, um {fortzufahren|bericht 0 zu sehen}.
-{diese seite|diese anwendung} {benötigt|braucht|verlangt} {javascript|skripte}.
-{veuillez|merci de} {activer|autoriser} {javascript|les scripts} {pour continuer.|pour voir le rapport 0.|puis recharger la page.}
+bitte {erlauben|aktivieren} sie {javascript|skripte}, um {das board|diese seite|die seite|bericht 0} zu sehen.
+{diese seite|diese anwendung|das board} {benötigt|braucht|verlangt} {javascript|skripte}.
+{veuillez|merci de} {activer|autoriser} {javascript|les scripts} {pour continuer.|pour voir le rapport 0.|pour voir le tableau.|pour afficher cette page.|puis recharger la page.}
 {cette page|cette application} {requiert|nécessite|a besoin de} {javascript.|scripts.}
-{active|permita|habilite} {javascript|los scripts} {para continuar.|para abrir el informe 0.|para ver esta página.|y vuelva a cargar la página.}
+{active|permita|habilite} {javascript|los scripts} {para continuar.|para abrir el informe 0.|para ver esta página.|para ver el tablero.|y vuelva a cargar la página.}
 {esta página|esta aplicación} {requiere|necesita} {javascript.|scripts.}
 """
 ERROR_PARTS = """
@@ -361,6 +362,7 @@ ERROR_PARTS = """
 traceback: template 'report.html' failed at line 0{:|} {no attribute|has no attribute|undefined variable|unknown filter} 'summary'
 {site.example|the site|the server|the host} {took too long to respond.|refused to connect.|redirected you too many times.|can't be reached|did not answer.}
 too many redirects
+{verifying|checking} {your connection|your browser|that you are human} before {we continue.|access is given.|the site opens.|the page loads.}
 {the page|the address|the file|the report|the document} /path/0 {was moved or deleted, sorry.|could not be found.|was not found.|does not exist.|no longer exists.|has moved.}
 {you need|you require} permission to {open|view|see} report 0.
 {your session has|the session has|your session} {expired|ended|timed out}. {sign in again.|please sign in again to continue.|log in again.}

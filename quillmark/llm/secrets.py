@@ -72,12 +72,15 @@ _NAME_WORDS = (
 )
 _NAME = re.compile(rf"(?:^|[_\-.]|(?<=[a-z0-9])(?=[A-Z]))(?:{_NAME_WORDS})(?:[_\-]?(?:value|str|string|raw|prod|dev|test|live|\d+))?$", re.I)
 _NAME_MID = re.compile(rf"(?:^|[_\-.])(?:{_NAME_WORDS})[_\-][a-z]+\d*$", re.I)
-_NOT_NAME = re.compile(r"(?:_|-|(?<=[a-z]))(?:ref|refs|field|name|header|param|params|label|url|uri|path|file|hash|digest|checksum|sha|id_field|column|prompt|hint|regex|pattern|type|policy|length|len|min|max|count|expiry|ttl|env|var|placeholder|key_name|public)$", re.I)
+_NOT_WORDS = "ref|refs|field|name|header|param|params|label|url|uri|path|file|hash|digest|checksum|sha|id_field|column|prompt|hint|regex|pattern|type|policy|length|len|min|max|count|expiry|ttl|env|var|placeholder|key_name|public"
+_NOT_NAME = re.compile(
+    rf"(?:^|[_\-.])(?:{_NOT_WORDS})$|" + "(?-i:(?<=[a-z0-9])(?:" + "|".join(w.capitalize() for w in _NOT_WORDS.split("|")) + "))$", re.I
+)
 _LIT = r"(?:\"(?P<d>(?:[^\"\\\n]|\\.)*)\"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`)"
 _KEYCHARS = r"[A-Za-z_$][\w$\-.]*"
 # name = literal, name: literal, "name": literal, name := literal, name => literal, with a type annotation or an opening parenthesis
 _ASSIGN = re.compile(
-    rf"(?P<q>[\"'`]?)(?P<name>{_KEYCHARS})(?P=q)\]?\s*(?::\s*[A-Za-z_][\w\[\]., |]*\s*)?(?:=>|:=|==?|:)\s*(?P<open>\(\s*)?(?:[bBuUrR]{{0,2}}){_LIT}"
+    rf"(?P<q>[\"'`]?)(?P<name>{_KEYCHARS})(?P=q)\]?[ \t]*(?::[ \t]*[A-Za-z_][\w\[\]., |]*?[ \t]*)?(?:(?:=>|:=|==?)\s*|:[ \t]*)(?P<open>\(\s*)?(?:[bBuUrR]{{0,2}}){_LIT}"
 )
 _CALL = re.compile(rf"(?P<q>[\"'`])(?P<name>{_KEYCHARS})(?P=q)\s*,\s*{_LIT}")
 _GETTER = re.compile(
@@ -151,8 +154,13 @@ def is_value(v: str, named: bool = True) -> bool:
     if _FIELD.match(s):
         # words only: several separated words are a pass phrase, mixed case runs a random token
         inner = re.findall(r"[A-Z]", s[1:])
-        if re.fullmatch(r"[A-Za-z]?[a-z]*(?:[A-Z][a-z]+|[_\-][A-Za-z][a-z]+)*|[A-Z_\-]+|[A-Za-z]+(?:ID|URL|URI|API|KEY|JWT)", s):
+        if re.fullmatch(r"[A-Z_\-]+|[A-Za-z]+(?:ID|URL|URI|API|KEY|JWT)", s):
             return False
+        if re.fullmatch(r"[A-Za-z]?[a-z]*(?:[A-Z][a-z]+|[_\-][A-Za-z][a-z]+)*", s):
+            # words in camel or snake case, unless a part of it cannot be said; one long word only by its name
+            parts = re.findall(r"[A-Z]?[a-z]+", s)
+            unsaid = any(len(w) >= 2 and not re.search(r"[aeiouyAEIOUY]", w) for w in parts)
+            return len(s) >= 8 and (unsaid and len(parts) > 1 or named and s.islower() and s.isalpha())
         return len(s) >= 8 and bool(inner)
     return kinds >= 2 and len(s) >= 8
 
@@ -295,7 +303,7 @@ def _in_window(text: str, low: str, begin: int, stop: int) -> list[tuple[int, in
                 add((m.start("value"), m.end("value"), "pair"))
     for m in _INSIDE.finditer(text, begin, stop):
         v = m.group("value")
-        if is_name(m.group("name")) and is_value(v) and any(c.isdigit() for c in v) and _quoted(text, m.start("name")):
+        if is_name(m.group("name")) and is_value(v) and not (v.isalpha() and (v.islower() or len(v) < 8)) and _quoted(text, m.start("name")):
             add((m.start("value"), m.end("value"), "inside"))
     return spans
 
