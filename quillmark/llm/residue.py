@@ -3,8 +3,8 @@
 1. Texts are normalised (code blocks and inline code cut out, markup stripped, numbers and unfilled
    placeholders made one sign each) and cut into sentences.
 2. Character n-gram models: one of each residue class, fitted on the labelled phrases in
-   ``residue_seeds``, and one of natural prose, counted over *all* documents.  Counts are hashed into
-   ``BUCKETS`` cells, so what is gathered has a fixed size.
+   ``residue_seeds``, and one of natural prose, counted over the distinct sentences of *all* documents: a page that
+   many documents hold counts once.  Counts are hashed into ``BUCKETS`` cells, so what is gathered has a fixed size.
 3. Every character position gets the log-likelihood ratio of its n-gram, residue against prose.
    Windows of positions with a positive smoothed ratio localise residue.
 4. A sentence is residue when such windows cover enough of it and the mean ratio is high; a document is
@@ -114,20 +114,25 @@ def residue_counts() -> dict[str, np.ndarray]:
 
 
 def prose_counts(docs: DataFrame) -> np.ndarray:
-    """n-gram frequencies over all documents (columns text); at most BUCKETS sums reach the driver."""
+    """n-gram frequencies over the distinct sentences of all documents (columns text), so that copies teach nothing
+    anew; at most BUCKETS sums reach the driver."""
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            lines = {s for t in part.column(0).to_pylist() if t for s in sentences(t)}
+            yield pa.RecordBatch.from_arrays([pa.array([s.encode("utf-8", "surrogatepass") for s in lines], pa.binary())], names=["line"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for part in parts:
-            texts = [t for t in part.column(0).to_pylist() if t]
-            for i, j in batches(texts):
-                lines = [s for t in texts[i:j] for s in sentences(t)]
-                if lines:
-                    total += np.bincount(cells(lines)[0], minlength=BUCKETS)
+            lines = [s.decode("utf-8", "surrogatepass") for s in part.column(0).to_pylist()]
+            for i, j in batches(lines, most=len(lines)):
+                total += np.bincount(cells(lines[i:j])[0], minlength=BUCKETS)
         has = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(total[has])], names=["cell", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    lines = docs.select("text").mapInArrow(cut, "line binary").distinct()
+    sums = lines.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS)
     got = sums.toArrow()
     out[got.column("cell").to_numpy()] = got.column("n").to_numpy()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark import registry
-from quillmark.llm import neardup
+from quillmark.llm import neardup, residue
 from quillmark.llm.packing import pack
 from quillmark.llm.registry import MODULES
 
@@ -116,6 +116,18 @@ def test_containers_hold_everything(spark):
         assert used > 0.9
 
 
+def test_common_error_page(spark, sf):
+    """A third of all rows are one error page: all of them are found, and no other document more than without them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    n = docs.count()
+    page = "# 503 Service Unavailable\n\nThe server is temporarily unable to service your request due to maintenance downtime or capacity problems.\nPlease try again later.\n"
+    copies = spark.range(n // 2).select((F.col("id") + 10**9).alias("doc_id"), F.lit(page).alias("text"))
+    alone = {r.doc_id for r in residue.detect(docs).where("residue is not null").collect()}
+    found = {r.doc_id for r in residue.detect(docs.union(copies)).where("residue is not null").collect()}
+    assert len({i for i in found if i >= 10**9}) == n // 2
+    assert {i for i in found if i < 10**9} == alone
+
+
 def test_awkward_rows(spark, tables, sf):
     """Nulls in any column, blank and very long texts, repeated rows, and an extra column with a clashing name."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
