@@ -22,7 +22,6 @@ class Wrong(Exception):
         self.at, self.message = at, message
 
 
-MOST_FAULTS = 50  # recovery ends after so many faults of one text; the text is invalid already
 CACHED = 200_000  # entries kept of any cache; a full one is emptied
 
 

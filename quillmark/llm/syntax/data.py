@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
-from quillmark.llm.syntax.base import MOST_FAULTS, Fault
+from quillmark.llm.syntax.base import Fault
 
 _JSON = re.compile(
     r"[ \t\n\r]*(?:(?P<s>\"(?:[^\"\\\x00-\x1f]|\\(?:[\"\\/bfnrt]|u[0-9a-fA-F]{4}))*\")|(?P<n>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w.])|"
@@ -12,23 +13,31 @@ _JSON = re.compile(
 )
 
 
+_BROKEN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|[^\s{}\[\],:\"']+|[\s\S]")
+
+
 def check_json(source: str) -> list[Fault]:
-    """The first fault of a JSON text; none for a valid or empty one."""
+    """All faults of a JSON text, in order; none for a valid or empty one.  After a fault, on with the next comma,
+    bracket or entry."""
     if not source:
         return []
     kinds, at = [], []
-    for m in _JSON.finditer(source):
+    i = 0
+    while not kinds or kinds[-1] != "\0":
+        m = _JSON.match(source, i)
         what = m.lastgroup
+        i = m.end() - len(m.group(what))
         kinds.append(m.group("p") if what == "p" else {"s": "s", "n": "0", "w": "0", "e": "\0", "x": "?"}[what])
-        at.append(m.end() - len(m.group(what)))
-        if what in "ex":
-            break
-    k = "".join(kinds)
+        at.append(i)
+        i = _BROKEN.match(source, i).end() if what == "x" else m.end()
+    k = "".join(kinds) + "\0"
+    found: list[tuple[int, str]] = []
     # a stack instead of recursion, so that deep nesting is no fault
     stack: list[str] = []
     p, state = 0, "value"
     while True:
         c = k[p]
+        good = True
         if state in ("value", "value or ]"):
             if c == "{":
                 stack.append("{")
@@ -42,28 +51,56 @@ def check_json(source: str) -> list[Fault]:
                 stack.pop()
                 state = "end"
             else:
-                break
+                good = False
         elif state in ("key", "key or }"):
-            if c == "s" and k[p + 1 : p + 2] == ":":
+            if c == "s" and k[p + 1] == ":":
                 p += 1
                 state = "value"
             elif c == "}" and state == "key or }":
                 stack.pop()
                 state = "end"
             else:
-                break
+                good = False
         elif not stack:
             if c == "\0":
-                return []
-            break
+                break
+            good = False
         elif c == ",":
             state = "key" if stack[-1] == "{" else "value"
         elif c == ("}" if stack[-1] == "{" else "]"):
             stack.pop()
         else:
+            good = False
+        if good:
+            p += 1
+            continue
+        found.append((at[p], f"expected {state}"))
+        p, state = _resume(k, p, state, stack)
+        if k[p] == "\0":
             break
+    breaks = [m.start() for m in re.finditer("\n", source)] if found else []
+    return [Fault(bisect_left(breaks, x) + 1, message) for x, message in found]
+
+
+def _resume(k: str, p: int, state: str, stack: list[str]) -> tuple[int, str]:
+    """Where and in which state to go on after a fault at ``p``; brackets left open are taken off the stack."""
+    if state in ("key", "key or }") and k[p] in "?0" and k[p + 1] == ":":
+        return p + 2, "value"
+    while True:
+        c = k[p]
+        if c in "{[\0":
+            return p, "value"
+        if c in "s?" and k[p + 1] == ":" and stack and stack[-1] == "{" and state == "end":
+            return p, "key"
+        if c in "s0" and state == "end" and (not stack or stack[-1] == "["):
+            return p, "value"
+        if c == "," and stack:
+            return p, "end"
+        if c in "]}" and ("[" if c == "]" else "{") in stack:
+            while stack.pop() != ("[" if c == "]" else "{"):
+                pass
+            return p + 1, "end"
         p += 1
-    return [Fault(source.count("\n", 0, at[min(p, len(at) - 1)]) + 1, f"expected {state}")]
 
 
 _KEY = re.compile(r"(?:(?P<q>\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*')|(?P<p>(?:[^\s\-?:,\[\]{}#&*!|>'\"%@`]|[\-?:](?=\S))(?:[^:#\n]|:(?=\S)|(?<=\S)#)*?))[ \t]*:(?=[ \t]|$)")
@@ -79,8 +116,7 @@ class _Yaml:
         self.anchors: set[str] = set()
 
     def say(self, message: str, line: int | None = None) -> None:
-        if len(self.faults) < MOST_FAULTS:
-            self.faults.append(Fault((self.i if line is None else line) + 1, message))
+        self.faults.append(Fault((self.i if line is None else line) + 1, message))
 
     def run(self) -> list[Fault]:
         # each open collection: its indent, its kind (map, seq or "" not known yet)
@@ -100,7 +136,6 @@ class _Yaml:
                     self.lines[self.i] = "    " + rest if not _KEY.match(rest) else rest
                     if _KEY.match(rest):
                         self.say("a mapping cannot begin on the line of ---")
-                        return self.faults
                     continue
                 self.i += 1
                 continue
@@ -110,18 +145,37 @@ class _Yaml:
             indent = len(raw) - len(raw.lstrip(" "))
             if raw[indent : indent + 1] == "\t":
                 self.say("a tab cannot begin an indent")
-                return self.faults
+                self.i += 1
+                continue
             if done:
                 self.say("more than one root value")
-                return self.faults
+                while self.i < len(self.lines) and not re.match(r"(?:---|\.\.\.)(?:\s|$)", self.lines[self.i]):
+                    self.i += 1
+                continue
             while len(stack) > 1 and stack[-1][0] > indent:
                 stack.pop()
+            begun = self.i
             if not self.entry(stack, indent, text, indent):
-                return self.faults
+                self.resume(begun, stack, indent)
+                continue
             if len(stack) == 1:
                 done = True
         return self.faults
 
+    def resume(self, begun: int, stack: list[list], indent: int) -> None:
+        """On with the next entry that is not nested in the one with a fault, which begins at line ``begun``; the
+        others of a level that has no place here belong to the same fault."""
+        while len(stack) > 1 and stack[-1][0] > indent:
+            stack.pop()
+        deeper = indent + (stack[-1][0] == indent)
+        # a scalar without end stops at a line that may be an entry
+        self.i = max(begun + 1, self.i + (self.faults[-1].line == self.i + 1))
+        while self.i < len(self.lines):
+            line = self.lines[self.i].rstrip("\r")
+            if line.strip() and len(line) - len(line.lstrip(" ")) < deeper or re.match(r"(?:---|\.\.\.)(?:\s|$)", line):
+                break
+            self.i += 1
+
     def entry(self, stack: list[list], indent: int, text: str, column: int) -> bool:
         """One entry ``text`` that stands at ``column``; nested ones on the same line too."""
         props = _PROPS.match(text)
@@ -346,9 +400,12 @@ class _Yaml:
                 last = "v"
 
 
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+
+
 def check_yaml(source: str) -> list[Fault]:
-    """Faults of a YAML text up to where its structure is lost; none for a valid or blank one."""
-    if re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", source):
-        m = re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", source)
-        return [Fault(source.count("\n", 0, m.start()) + 1, "special characters are not allowed")]
-    return _Yaml(source).run()
+    """All faults of a YAML text, in order; none for a valid or blank one.  After a fault, on with the next entry."""
+    special = [Fault(n, "special characters are not allowed") for n, x in enumerate(source.split("\n"), 1) if _CONTROL.search(x)]
+    if not special:
+        return _Yaml(source).run()
+    return sorted(special + _Yaml(_CONTROL.sub("_", source)).run(), key=lambda f: f.line)

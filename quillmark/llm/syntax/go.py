@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 
-from quillmark.llm.syntax.base import MOST_FAULTS, Descent, Fault, Wrong
-from quillmark.llm.syntax.lexer import Tokens, fault
+from quillmark.llm.syntax.base import Descent, Fault, Wrong
+from quillmark.llm.syntax.lexer import Tokens, faults, faulty
 
 _WORDS = {
     "break": "b", "case": "7", "chan": "H", "const": "c", "continue": "C", "default": "D", "defer": "g", "else": "2", "fallthrough": "t",
@@ -40,9 +40,13 @@ def tokenize(source: str) -> Tokens:
     while i < n:
         m = match(source, i)
         if not m:
-            out.bad = (len(kinds), "invalid character or literal")
-            at.append(i)
-            return out
+            out.bad.append((len(kinds), i, "invalid character or literal"))
+            begin = i
+            i, literal = faulty(source, i, ("`", "/*"))
+            if literal:
+                kinds.append("'" if source[begin] in "\"`" else "0")
+                at.append(begin)
+            continue
         what, text = m.lastgroup, m.group()
         if what == "l" or what == "b" and "\n" in text:
             if kinds and kinds[-1] in _ENDS:
@@ -78,8 +82,6 @@ class File(Descent):
             parse()
         except Wrong as w:
             self.faults.append(w)
-            if len(self.faults) > MOST_FAULTS:
-                raise
             self.level = level
             p = max(begin, min(w.at, len(self.k) - 5))
             while self.k[p] not in ";}\0":
@@ -728,8 +730,6 @@ def check_go(source: str) -> list[Fault]:
     if not source.strip():
         return []
     tokens = tokenize(source)
-    if tokens.bad:
-        return [fault(source, tokens, *tokens.bad)]
     bad = tokens.match_brackets()
     unit = File(tokens, source)
     try:
@@ -739,6 +739,6 @@ def check_go(source: str) -> list[Fault]:
             unit.faults.append(w)
     except RecursionError:
         unit.faults.append(Wrong(unit.p, "nested too deeply"))
-    if bad and not unit.faults:
+    if bad and not tokens.bad and not unit.faults:
         unit.faults.append(Wrong(*bad))
-    return [fault(source, tokens, w.at, w.message) for w in unit.faults]
+    return faults(source, tokens, unit.faults)

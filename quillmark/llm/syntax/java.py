@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 
-from quillmark.llm.syntax.base import MOST_FAULTS, Descent, Fault, Wrong
-from quillmark.llm.syntax.lexer import Tokens, fault
+from quillmark.llm.syntax.base import Descent, Fault, Wrong
+from quillmark.llm.syntax.lexer import Tokens, faults, faulty
 
 _WORDS = {
     "abstract": "M", "final": "f", "native": "M", "private": "M", "protected": "M", "public": "M", "static": "s", "strictfp": "M",
@@ -41,16 +41,19 @@ def tokenize(source: str) -> Tokens:
     kinds, at = out.kinds, out.at
     i, n = 0, len(source)
     if source.startswith("\ufeff"):
-        out.bad = (0, "illegal character")
-        at.append(0)
-        return out
+        out.bad.append((0, 0, "illegal character"))
+        i = 1
     match = _TOKEN.match
     while i < n:
         m = match(source, i)
         if not m:
-            out.bad = (len(kinds), "illegal character or unclosed literal")
-            at.append(i)
-            return out
+            out.bad.append((len(kinds), i, "illegal character or unclosed literal"))
+            begin = i
+            i, literal = faulty(source, i, ('"""', "/*"))
+            if literal:
+                kinds.append("0")
+                at.append(begin)
+            continue
         what = m.lastgroup
         if what != "s":
             text = m.group()
@@ -90,8 +93,6 @@ class Unit(Descent):
             parse()
         except Wrong as w:
             self.faults.append(w)
-            if len(self.faults) > MOST_FAULTS:
-                raise
             p = max(begin, min(w.at, len(self.k) - 5))
             while self.k[p] not in ";}\0":
                 p = self.closes.get(p, p) + 1
@@ -911,8 +912,6 @@ class Unit(Descent):
 def check_java(source: str) -> list[Fault]:
     """All faults of a source, in order; none for a valid (or blank) one."""
     tokens = tokenize(source)
-    if tokens.bad:
-        return [fault(source, tokens, *tokens.bad)]
     bad = tokens.match_brackets()
     unit = Unit(tokens, source)
     try:
@@ -922,6 +921,6 @@ def check_java(source: str) -> list[Fault]:
             unit.faults.append(w)
     except RecursionError:
         unit.faults.append(Wrong(unit.p, "nested too deeply"))
-    if bad and not unit.faults:
+    if bad and not tokens.bad and not unit.faults:
         unit.faults.append(Wrong(*bad))
-    return [fault(source, tokens, w.at, w.message) for w in unit.faults]
+    return faults(source, tokens, unit.faults)

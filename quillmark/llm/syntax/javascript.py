@@ -7,8 +7,8 @@ from __future__ import annotations
 
 import re
 
-from quillmark.llm.syntax.base import MOST_FAULTS, Descent, Fault, Wrong
-from quillmark.llm.syntax.lexer import Tokens, fault
+from quillmark.llm.syntax.base import Descent, Fault, Wrong
+from quillmark.llm.syntax.lexer import Tokens, faults, faulty
 
 _WORDS = {
     "var": "v", "let": "e", "const": "c", "function": "f", "return": "r", "if": "i", "else": "l", "for": "F", "while": "w", "do": "d",
@@ -65,16 +65,16 @@ def tokenize(source: str) -> Tokens:
         if c == "/" and (not kinds or kinds[-1] not in _VALUE_ENDS or kinds[-1] == ")" and control) and source[i + 1 : i + 2] not in ("/", "*"):
             m = _REGEX.match(source, i)
             if not m:
-                out.bad = (len(kinds), "invalid regular expression")
-                return out
+                out.bad.append((len(kinds), i, "invalid regular expression"))
             put("0")
-            i = m.end()
+            i = m.end() if m else faulty(source, i, ())[0]
             continue
         if c == "`" or c == "}" and braces and braces[-1]:
             m = _TEMPLATE.match(source, i + 1)
             if not m:
-                out.bad = (len(kinds), "unterminated template")
-                return out
+                out.bad.append((len(kinds), i, "unterminated template"))
+                put("'" if c == "`" else "j")
+                break
             begins, ends = c == "`", m.group(1) == "`"
             put("'" if begins and ends else "B" if begins else "j" if ends else "M")
             if begins and not ends:
@@ -90,9 +90,12 @@ def tokenize(source: str) -> Tokens:
                 put("0")
                 i = b.end()
                 continue
-            out.bad = (len(kinds), "invalid or unexpected token")
-            at.append(i)
-            return out
+            out.bad.append((len(kinds), i, "invalid or unexpected token"))
+            end, literal = faulty(source, i, ())
+            if literal:
+                put("'" if c in "'\"" else "0")
+            i = end
+            continue
         what, text = m.lastgroup, m.group()
         if what == "s" or what == "c":
             broke = broke or "\n" in text or "\r" in text or " " in text
@@ -177,8 +180,6 @@ class Script(Descent):
             self.statement()
         except Wrong as w:
             self.faults.append(w)
-            if len(self.faults) > MOST_FAULTS:
-                raise
             self.functions, self.loops, self.breakable, self.is_async, self.is_generator = state
             p = max(begin, min(w.at, len(self.k) - 5))
             while self.k[p] not in ";}\0":
@@ -726,8 +727,6 @@ class Script(Descent):
 def check_javascript(source: str) -> list[Fault]:
     """All faults of a source, in order; none for a valid (or blank) one."""
     tokens = tokenize(source)
-    if tokens.bad:
-        return [fault(source, tokens, *tokens.bad)]
     bad = tokens.match_brackets()
     script = Script(tokens, source)
     try:
@@ -737,6 +736,6 @@ def check_javascript(source: str) -> list[Fault]:
             script.faults.append(w)
     except RecursionError:
         script.faults.append(Wrong(script.p, "nested too deeply"))
-    if bad and not script.faults:
+    if bad and not tokens.bad and not script.faults:
         script.faults.append(Wrong(*bad))
-    return [fault(source, tokens, w.at, w.message) for w in script.faults]
+    return faults(source, tokens, script.faults)

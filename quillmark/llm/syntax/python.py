@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from quillmark.llm.syntax.base import CACHED, MOST_FAULTS, Descent, Fault, Kinds, Wrong
+from quillmark.llm.syntax.base import CACHED, Descent, Fault, Kinds, Wrong
 
 _STR1 = r"'(?!'')(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'|\"(?!\"\")(?:[^\"\\\n]|\\(?:\r\n|[\s\S]))*\""
 _STR3 = r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\""
@@ -1011,8 +1011,6 @@ def _check(source: str, tokens: list[str]) -> list[Fault]:
         found = BRACKETS[kinds]
         if found is None or len(found[0]) > len(opened) or found[0] != opened[len(opened) - len(found[0]) :][::-1]:
             faults.append(Fault(number + 1, "closing bracket does not match"))
-            if len(faults) > MOST_FAULTS:
-                return faults
             joined, opened, wants = [], "", ""
             continue
         opened = opened[: len(opened) - len(found[0])] + found[1]
@@ -1080,8 +1078,6 @@ def _check(source: str, tokens: list[str]) -> list[Fault]:
         wants = kind if block else ""
         if message:
             faults.append(Fault(begun + 1, message))
-            if len(faults) > MOST_FAULTS:
-                return faults
     if opened:
         faults.append(Fault(begun + 1, "bracket was never closed"))
     elif wants:

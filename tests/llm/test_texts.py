@@ -104,6 +104,23 @@ def test_recovery_reports_all_and_first():
     assert [f.line for f in faults] == [1, 3]
 
 
+MANY = 120
+FAULTY = {  # every line of each text that has a fault of its own
+    "python": [("x = = 1\n" * MANY, range(1, MANY + 1)), ("x = )\n" * MANY, range(1, MANY + 1))],
+    "javascript": [("let y = ;\n" * MANY, range(1, MANY + 1)), ("x = 'a\nlet y = ;\nz = 1\nw = \"b\nlet v = ;\n", [1, 2, 4, 5]), ("a = /b\nc = = 1\n", [1, 2])],
+    "java": [("class A { void f() {\n" + "x;\n" * MANY + "} }\n", range(2, MANY + 2)), ("class A {\nString s = \"abc;\nint i = ;\nint j = 0x;\n}\n", [2, 3, 4])],
+    "go": [("package a\nfunc f() {\n" + "x y\n" * MANY + "}\n", range(3, MANY + 3)), ("package a\nfunc f() {\n\tx := \"abc\n\ty := 1\n\tz := +\n\t}\n", [3, 6])],
+    "json": [("[" + "1 2,\n" * MANY + "3]", range(1, MANY + 1)), ('{"a": 1,,\n"b" 2,\n"c": [1,\n2 3],\n"d": nul,\n\'e\': 4,\n"f": "x\n}', [1, 2, 4, 5, 6, 7]), ('{"a": [1, 2}', [1]), ('{"a": 1', [1]), ("{}\n{}\n[1,]", [2, 3, 3])],
+    "yaml": [("a: b: c\n" * MANY, range(1, MANY + 1)), ("a: b: c\nd: 1\ne: [1, 2\nf:\n  g: @h\n  i: 1\nj: 'k\nl: 2\n", [1, 3, 5, 7]), ("a: 1\n  b: 2\n  c: 3\nd: \"\\q\"\n", [2, 4]), ("a: \x01\nb: c: d\n", [1, 2])],
+}
+
+
+@pytest.mark.parametrize("lang", sorted(FAULTY))
+def test_no_fault_is_dropped(lang):
+    for text, lines in FAULTY[lang]:
+        assert [f.line for f in CHECKS[lang](text)] == list(lines), text
+
+
 def test_bpe_round_trip_and_reference():
     tiktoken = pytest.importorskip("tiktoken")
     bpe = ByteBPE()
