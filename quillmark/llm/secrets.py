@@ -1,7 +1,7 @@
 """Problem 6: credentials in source code, found and redacted in place.
 
-1. A keyword automaton (Aho-Corasick over the lower-cased text) says which texts can hold a credential at all;
-   every pattern below needs one of its keywords, so nothing is lost by it.
+1. A keyword automaton (Aho-Corasick over the lower-cased text) says which lines can hold a credential; every
+   pattern below needs one of its keywords but the pairs in comments, whose lines are sought by themselves.
 2. Issuer formats, key blocks, logins in URLs, commands and connection strings, and assignments of a literal
    to a credential's name.
 3. Validation: structure (JWT parts decode to JSON, Basic decodes to user:password), and no placeholder,
@@ -64,6 +64,10 @@ _CLI_LONG = re.compile(r"--(?:password|passwd|pass|token|api-key|apikey|secret|a
 _SSHPASS = re.compile(r"\bsshpass\s+-p\s*(?P<value>[^\s\"'`]+)")
 # user / value or user:value at the end of a comment, after a colon
 _PAIR = re.compile(r"^[ \t]*(?:#|//|/?\*|--|;).*?:\s+(?P<user>[\w.@\-]+)\s*(?:/|:|\|)\s*(?P<value>\S+?)[ \t]*(?:\*/)?$", re.M)
+_PAIR_COLON = re.compile(r":(?=[^\S\n]+[\w.@\-]+[^\S\n]*[/:|])")  # what any pair on one line has, wherever a line's colon stands
+_COMMENT_LINE = re.compile(r"[ \t]*(?:#|//|/?\*|--|;)")
+# Times, file names and versions with a suffix: as values of pairs they need more than the pair's form.
+_NO_PAIR = re.compile(r"[\d:.,\-+TZ]+|.*\.[A-Za-z]\w{0,4}(?::\d+)*|[vV]?\d+(?:\.\d+)+[\w.\-]*|//.*")
 # Names of credentials as they end an identifier (camel case and _ - separated), in several languages.
 _NAME_WORDS = (
     r"pass(?:word|wd|phrase|code|wort)?|pwd|pw|passwort|kennwort|contrase(?:n|ñ)a|clave|secreto?|geheimnis|jeton|"
@@ -198,10 +202,11 @@ def find(text: str, auto: ahocorasick.Automaton | None = None) -> list[tuple[int
 
     A value joined from several literals gives one span per literal.
     """
-    low = text.lower()
+    low = lowered(text)
     windows = _windows(text, low, auto or _AUTO)
+    pairs = _pairs(text)
     if not windows:
-        return []
+        return _merged(pairs)
     spans: list[tuple[int, int, str]] = []
     add = spans.append
     for key, rule in _ISSUER_RULES:
@@ -226,7 +231,38 @@ def find(text: str, auto: ahocorasick.Automaton | None = None) -> list[tuple[int
                 add((m.start(), end, "private_key"))
     for begin, stop in windows:
         spans.extend(_in_window(text, low, begin, stop))
-    return _merged(spans)
+    have = {s[:2] for s in spans}
+    return _merged(spans + [s for s in pairs if s[:2] not in have])
+
+
+def lowered(text: str) -> str:
+    """Lower case without a change of length, so that places in it hold in ``text``."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _pairs(text: str) -> list[tuple[int, int, str]]:
+    """Values of pairs at the end of comment lines, whether or not the line has a keyword."""
+    spans: list[tuple[int, int, str]] = []
+    done = -1
+    for m in _PAIR_COLON.finditer(text):
+        if m.start() < done:
+            continue
+        begin = text.rfind("\n", 0, m.start()) + 1
+        done = text.find("\n", begin)
+        done = len(text) if done < 0 else done
+        if _COMMENT_LINE.match(text, begin):
+            spans.extend(s for s in _pair(text, begin, done) if not _NO_PAIR.fullmatch(text, s[0], s[1]))
+    return spans
+
+
+def _pair(text: str, begin: int, stop: int) -> list[tuple[int, int, str]]:
+    spans = []
+    for m in _PAIR.finditer(text, begin, stop):
+        v = m.group("value")
+        if is_value(v, False) and not _PATH.match(v) and not re.search(r"[()\[\]{}<>,;]", v) and (any(c.isdigit() for c in v) or len(v) >= 8):
+            spans.append((m.start("value"), m.end("value"), "pair"))
+    return spans
 
 
 def _windows(text: str, low: str, auto: ahocorasick.Automaton) -> list[tuple[int, int]]:
@@ -258,7 +294,7 @@ def _windows(text: str, low: str, auto: ahocorasick.Automaton) -> list[tuple[int
 def _in_window(text: str, low: str, begin: int, stop: int) -> list[tuple[int, int, str]]:
     spans: list[tuple[int, int, str]] = []
     add = spans.append
-    low = low[begin:stop] if len(low) == len(text) else text[begin:stop].lower()
+    low = low[begin:stop]
     if "://" in low:
         for m in _URL.finditer(text, begin, stop):
             v = m.group("value")
@@ -296,11 +332,8 @@ def _in_window(text: str, low: str, begin: int, stop: int) -> list[tuple[int, in
     for m in _BARE.finditer(text, begin, stop):
         if is_name(m.group("name")) and is_value(m.group("value")) and any(c.isdigit() for c in m.group("value")) and not re.search(r"[.\[(]", m.group("value")):
             add((m.start("value"), m.end("value"), "bare"))
-    if " / " in low or ": " in low:
-        for m in _PAIR.finditer(text, begin, stop):
-            v = m.group("value")
-            if is_value(v, False) and not _PATH.match(v) and not re.search(r"[()\[\]{}<>,;]", v) and (any(c.isdigit() for c in v) or len(v) >= 8):
-                add((m.start("value"), m.end("value"), "pair"))
+    if ":" in low:
+        spans.extend(_pair(text, begin, stop))
     for m in _INSIDE.finditer(text, begin, stop):
         v = m.group("value")
         if is_name(m.group("name")) and is_value(v) and not (v.isalpha() and (v.islower() or len(v) < 8)) and _quoted(text, m.start("name")):

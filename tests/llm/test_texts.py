@@ -57,6 +57,37 @@ def test_secrets():
         assert len(red) == len(text) and not any(v in red for v in FOUND.values())
 
 
+PAIRS = {"# staging db: deploy:Xk29fQ81": "Xk29fQ81", "x = 1\n-- replica:\tbob|Qw9rTy77\n": "Qw9rTy77", "// db: svc/Ab12cd34XY\n": "Ab12cd34XY", "/* ftp: a: up : pQ7#tt19 */": "pQ7#tt19"}
+NO_PAIRS = ["# see: docs/chapter12.md", "# at: 10:30:45.123", "# image: base:3.13-slim2", "# docs: https://Foo.example/v2", "# see:\nimage: base12x\n", "a: b:c12345x\n", "# ratio: 16:9"]
+
+
+def test_pairs_without_a_keyword():
+    for text, value in PAIRS.items():
+        spans = secrets.find(text)
+        assert [text[b:e] for b, e, _ in spans] == [value], text
+        assert value not in secrets.redact(text, spans)
+    for text in NO_PAIRS:
+        assert secrets.find(text) == [], text
+
+
+def test_characters_that_grow_in_lower_case():
+    text = "# " + "\u0130" * 200 + '\npassword = "hunter2hunter"\n' + "x = 1\n" * 5
+    assert [text[b:e] for b, e, _ in secrets.find(text)] == ["hunter2hunter"]
+
+
+def test_keywords_lose_no_line():
+    """As if every line had a keyword."""
+    every = secrets.ahocorasick.Automaton()
+    for c in map(chr, range(33, 127)):
+        every.add_word(c, c)
+    every.make_automaton()
+    names = [n + " = 'Zk29fQ81xw'" for n in "passphrase dbPasscode my_pw kennwort contrasena clave secreto geheimnis jeton mot_de_passe tokens apiKey access_key_id license_key creds auth jwt_value bearer".split()]
+    for text in [*FOUND, *CLEAN, *PAIRS, *names]:
+        for line in text.split("\n"):
+            assert secrets.find(line) == secrets.find(line, every), line
+    assert all(secrets.find(line) for line in names)
+
+
 VALID = {
     "python": ["", "x = 1\n", BODY, "match x:\n    case {'a': [1, *rest], **kw} if rest:\n        pass\n    case A(b=1) | None:\n        pass\n", "def f[T: int](a, /, b=1, *c, d, **e) -> T: return f'{a!r:>{b}} {c[\"x\"]}'\n", "with (open(a) as b, open(c) as d):\n    pass\n", "print(*a, **b, sep='')\nx: int = (y := 3)\n"],
     "javascript": ["const {a, b: [c = 1, ...d]} = x ?? {};\nlet f = async (a, {b}) => { await a?.b?.[c](...d) }\n", "class A extends B { #x = 1; static async *g() { yield* h() } get v() { return this.#x } }", "for (const x of y) if (x) continue; else break\nlabel: while (1) { break label }", "x = `a${`b${c}`}d` / 2; y = /[/]\\/x/g.test(z)"],
