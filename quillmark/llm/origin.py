@@ -1,6 +1,7 @@
 """Problem 1: generated, minified, vendored and data files, so that hand-written source remains.
 
-Notices are searched in the header's comment lines with one Aho-Corasick automaton over all phrases; path
+Notices are searched in comment lines of the whole text with one Aho-Corasick automaton over all phrases, and count in
+the header and in the comment blocks that begin and end the text, however long; path
 rules name directories, suffixes, lock files and repos; two measures over the whole text find minified
 code and data stored as code.  A notice inside a string or in prose about generators is no notice: the line
 has to be a comment and to carry the phrase in the form that tools write.
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from quillmark.functions.normalize import repo_key
 from quillmark.sources.tables import table
 
-HEADER_LINES = 40
+HEADER_LINES = 40  # a notice may stand between code here; further down only in the leading or trailing comment block
+WIDE = 400  # from this column on, what follows a closed comment is code
 MINIFIED_LINE = 200  # a line this long is no hand-written line
 LONG_SHARE = 0.5
 MINIFIED_MEAN = 100  # characters a line, over the whole text
@@ -122,20 +124,56 @@ def repo_reason(key: str | None) -> str | None:
     return "vendored" if key and _REPO.match(key.rpartition("/")[2]) else None
 
 
+def _blocks(lines: list[str]) -> tuple[int, int]:
+    """(line after the leading comment block, first line of the trailing one); both of any length, blank lines included."""
+    first, inside = 0, ""
+    for x in lines:
+        t = x.strip()
+        if inside:
+            inside = "" if inside in t else inside
+        elif t.startswith(("/*", "<!--")):
+            close = "*/" if t[0] == "/" else "-->"
+            inside = "" if close in t[2:] else close
+        elif t and not _COMMENT.match(x) and not t.startswith(("#!", "<?")):
+            break
+        first += 1
+    last = len(lines)
+    while last > first:
+        t = lines[last - 1].strip()
+        opener = {"*/": "/*", "->": "<!--"}.get(t[-2:])
+        k = last - 1
+        while opener and k >= first and opener not in lines[k]:
+            k -= 1
+        if opener and k >= first and lines[k].lstrip().startswith(opener):
+            last = k + 1
+        elif t and not _COMMENT.match(t):
+            break
+        last -= 1
+    return first, last
+
+
 def header_reason(source: str, auto: ahocorasick.Automaton) -> str | None:
-    lines = source.split("\n", HEADER_LINES)
-    head = "\n".join(x[:400] for x in lines[:HEADER_LINES]).lower()
-    last = -1
-    for end, (kind, rule) in auto.iter(head):
-        begin = head.rfind("\n", 0, end) + 1
-        stop = head.find("\n", end)
-        line = head[begin : stop if stop >= 0 else len(head)]
-        if _COMMENT.match(line) and rule.search(re.sub(r"^[\s#/*;%<!-]+(?=\w|@|\(|<|©)", "", line) if kind != "generated" or "-*-" not in line else line):
+    """By a notice on a comment line of the first lines, or of the comment block that the text begins or ends with."""
+    low = source.lower()
+    lines: list[str] = []
+    first = last = 0
+    for end, (kind, rule) in auto.iter(low):
+        begin = low.rfind("\n", 0, end) + 1
+        stop = low.find("\n", end)
+        line = low[begin : stop if stop >= 0 else len(low)]
+        if not _COMMENT.match(line):
+            continue
+        if end - begin >= WIDE and line.lstrip().startswith("/*"):
+            line = line.partition("*/")[0]  # no string of the code that follows the comment
+        if not rule.search(re.sub(r"^[\s#/*;%<!-]+(?=\w|@|\(|<|©)", "", line) if kind != "generated" or "-*-" not in line else line):
+            continue
+        at = low.count("\n", 0, begin)
+        if at >= HEADER_LINES and not lines:
+            lines = low.split("\n")
+            first, last = _blocks(lines)
+        if at < HEADER_LINES or at < first or at >= last:
             return kind
-        last = end
-    if last < 0 and "sourcemappingurl=" not in source[-300:].lower():
-        return None
-    tail = source[-300:].rstrip().rpartition("\n")[2].lower()
+    tail = source.rstrip().rpartition("\n")[2].lower()
     return "minified" if re.match(r"\s*//[#@] sourcemappingurl=\S+\.map$", tail) else None
 
 
