@@ -257,7 +257,7 @@ def g2_reach(spark, sf_dir):
 
 
 def g8_traces(spark, sf_dir, back: int = 80):
-    """G.8, G.9, G.12: of each assignment the one of the same name before it, at most ``back`` lines up, and the kind of its source."""
+    """G.9, G.8 in part: of each assignment the nearest one of the same name before it, at most ``back`` lines up, and the kind of its source."""
     f = files(spark, sf_dir).where("code is not null")
     ls = f.select("file_id", F.posexplode(T.lines(F.col("code"))).alias("pos", "line"))
     name = F.regexp_extract("line", r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*:?=\s*[^=]", 1)
