@@ -58,6 +58,11 @@ def c13_guard(spark, sf_dir, most: int = 100):
     return f.select("file_id", (F.size(ls) <= most).alias("accepted"), F.length(F.array_join(F.slice(ls, 1, most), "\n")).cast("long").alias("n_chars"))
 
 
+def c13_guard_2000(spark, sf_dir):
+    """C.13 at its full size; ``c13_guard`` is the same with 100 lines."""
+    return c13_guard(spark, sf_dir, 2000)
+
+
 def c24_tool_labels(spark, sf_dir):
     """C.24: a label only where metric bands agree; records without one are dropped."""
     m = metrics(spark, sf_dir)

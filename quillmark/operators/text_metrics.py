@@ -125,6 +125,17 @@ def d19_token_ids(spark, sf_dir):
     return token_ids(f, vocabulary(tokens_of(f)))
 
 
+def d18_vocabulary_10000(spark, sf_dir):
+    """D.18 at its full size; ``d18_vocabulary`` is the same with 1,000."""
+    return vocabulary(tokens_of(files(spark, sf_dir)), 10_000)
+
+
+def d19_token_ids_512(spark, sf_dir):
+    """D.19 at its full size, over the vocabulary of D.18; ``d19_token_ids`` is the same with 64 and 1,000."""
+    f = files(spark, sf_dir)
+    return token_ids(f, vocabulary(tokens_of(f), 10_000), 512)
+
+
 def d10_languages(spark, sf_dir):
     """D.10, R.2, C.14, A.7-A.9: language by extension, repo label and file key of each origin."""
     f = files(spark, sf_dir)
@@ -185,7 +196,7 @@ def suppressions(df: DataFrame, tool: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (d2_line_lengths, d24_loc, d7_halstead, d13_normalised, d16_sub_tokens, d18_vocabulary, d19_token_ids, d10_languages, d23_keyword_scan, d28_string_literals, c8_suppressions)
+    for f in (d2_line_lengths, d24_loc, d7_halstead, d13_normalised, d16_sub_tokens, d18_vocabulary, d19_token_ids, d18_vocabulary_10000, d19_token_ids_512, d10_languages, d23_keyword_scan, d28_string_literals, c8_suppressions)
 }
 
 _L = f"WITH f AS (SELECT * FROM {FILES} WHERE code IS NOT NULL), l AS (SELECT *, {SQL_LINES} AS ls FROM f) "

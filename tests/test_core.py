@@ -1,17 +1,33 @@
 import ast
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from quillmark.functions import pycode as P
 from quillmark.functions.normalize import repo_key
-from quillmark.operators import skew, structure
+from quillmark.operators import checks, skew, structure, text_metrics
 from quillmark.operators.components import connected_components
 from quillmark.operators.evaluation import average_ranks, ranked
 from quillmark.plans.models import min_norm_weights
 from quillmark.streaming.replay import admit
 
 
+def test_full_sizes(spark, sf):
+    """Tokens 65 to 512, ranks past 998 and lines 101 to 2,000 count."""
+    code = {r.file_id: r.code for r in text_metrics.files(spark, sf).where("code is not null").collect()}
+    toks = {i: re.findall("[A-Za-z_][A-Za-z0-9_]*", c) for i, c in code.items()}
+    count = Counter(t for ts in toks.values() for t in ts)
+    ids = {t: n for n, t in enumerate(sorted(count, key=lambda t: (-count[t], t))[:9998], 2)}
+    assert len(ids) > 998 and max(map(len, toks.values())) > 64
+    assert {r.token: r.id for r in text_metrics.d18_vocabulary_10000(spark, sf).collect()} == ids
+    want = {i: ([ids.get(t, 1) for t in ts[:512]] + [0] * 512)[:512] for i, ts in toks.items()}
+    assert {r.file_id: r.ids for r in text_metrics.d19_token_ids_512(spark, sf).collect()} == want
+    small, full = (sum(r.accepted for r in q(spark, sf).collect()) for q in (checks.c13_guard, checks.c13_guard_2000))
+    assert small < full
+
+
 def test_repo_key(spark):
     given = ["https://git.example/Own/Name.git", "own/name/", "git@h:own/name", " OWN/NAME ", None, "", "name"]
     got = [r[0] for r in spark.createDataFrame([(g,) for g in given], "r string").select(repo_key(F.col("r"))).collect()]
