@@ -2,28 +2,34 @@
 
 Both follow one plan.
 
-1. *Signatures* (Arrow batches, NumPy): of each text the set of word shingles, a 128-bit name of the set,
-   ``BANDS`` band keys of ``ROWS`` min-max codes each, and a 128-bit similarity fingerprint.
+1. *Signatures* (Arrow batches, NumPy): of each text the set of word shingles, a 128-bit name of the set and a
+   similarity fingerprint of 160 min-max codes of 16 bits: ``BANDS`` segments of ``ROWS`` codes (64 bits each, the
+   join keys), and the lowest bits of the first 128 codes, on which the Hamming distance is taken.
 2. *Classes*: texts with the same set are one class; only classes are compared.
-3. *Candidates*: classes that share a band key meet in one bucket.  Keys held by one class are dropped
-   right after the shuffle.  A bucket of more than ``HOT`` classes is not paired: its members are keyed
-   again by (hot key, any other band key), so pairs there must share two bands.
-4. A candidate must lie within ``RADIUS`` of the fingerprints' Hamming distance.
-5. *Verification*: exact similarity of the texts' shingle sets.
-6. Class pairs are expanded to record pairs by membership.
-
-A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: at the bound 0.7 all but
-2e-5 of the pairs, at 0.75 all but 4e-7.  Its fingerprints differ in (1 - s)/2 of 128 bits: 19 +- 4 at 0.7.
+3. *Candidates*: classes that share a segment meet in its bucket.  Buckets are counted by partial aggregation; those
+   of one class are dropped.
+4. *Hot buckets* (over ``HOT`` classes) are not paired.  Their classes meet once more, exactly and whatever the
+   number of buckets they share: sets of similarity t have a shingle in common among the n - ceil(t n) + 1 rarest
+   shingles of each (one order for all sets).  Text that a whole bucket shares is common, so it is no such key.
+   Keys that are hot even then are cut into blocks of ``BLOCK`` classes, and block meets block: all pairs of the key
+   are compared, none in a task of more than 2 * ``BLOCK`` classes a key.
+5. A candidate must lie within ``RADIUS`` of the fingerprints' Hamming distance.
+6. *Verification*: exact similarity of the texts' shingle sets.
+7. Class pairs are expanded to record pairs by membership.
+
+A pair of similarity s shares a segment with probability 1 - (1 - s**ROWS)**BANDS: at the bound 0.7 all but
+2e-5 of the pairs, at 0.75 all but 4e-7; step 4 adds nothing to what is lost.  Its fingerprints differ in (1 - s)/2 of
+128 bits: 19 +- 4 at 0.7.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions.normalize import clean_name, repo_key
@@ -34,8 +40,9 @@ from quillmark.sources.tables import materialize, table
 WORDS, THRESHOLD = 4, 0.7
 BANDS, ROWS = 40, 4
 FINGERPRINT_BITS, RADIUS = 128, 38
-HOT = 64
-BROADCAST_PAIRS = 500_000  # candidate pairs whose ends may be broadcast to the scan of the texts
+HOT, BLOCK = 64, 1024
+CELLS = 1 << 16  # hashed counters of shingles: the order of rareness has a fixed size
+BROADCAST_PAIRS = 500_000  # candidate pairs (or hot classes) whose ends may be broadcast to the scan of the texts
 
 SIGNATURE = "n int, s1 long, s2 long, f1 long, f2 long, keys array<long>"
 
@@ -54,7 +61,7 @@ def signatures(df: DataFrame, text: str, salt: str, words: int = WORDS) -> DataF
     at, at_salt = df.columns.index(text), df.columns.index(salt)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        banding, bits = MinMax(BANDS * ROWS // 2, seed=7), MinMax(FINGERPRINT_BITS // 2, seed=11)
+        banding = MinMax(BANDS * ROWS // 2, seed=7)
         mult = np.random.default_rng(13).integers(1, 2**63, size=(BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         salts: dict[str, np.uint64] = {}
         for part in parts:
@@ -66,12 +73,12 @@ def signatures(df: DataFrame, text: str, salt: str, words: int = WORDS) -> DataF
                 has = np.flatnonzero(sizes)
                 if not len(has):
                     continue
-                codes = banding.codes(hashes, offsets).reshape(len(has), BANDS, ROWS).astype(np.uint64)
-                key = (codes * mult).sum(axis=2, dtype=np.uint64)
+                codes = banding.codes(hashes, offsets)
+                finger = _pack((codes[:, :FINGERPRINT_BITS] & 1).astype(np.uint8))
+                key = (codes.reshape(len(has), BANDS, ROWS).astype(np.uint64) * mult).sum(axis=2, dtype=np.uint64)
                 for name in set(names[a:b]):
-                    salts.setdefault(name, np.uint64(int.from_bytes(str(name).encode()[:7].ljust(7, b"_"), "big")))
+                    salts.setdefault(name, np.uint64(int.from_bytes(blake2b(str(name).encode(), digest_size=8).digest(), "big")))
                 key = (key ^ np.array([salts[names[a + i]] for i in has], np.uint64)[:, None]) * np.uint64(0x9E3779B97F4A7C15)
-                finger = _pack((bits.codes(hashes, offsets) & 1).astype(np.uint8))
                 s1, s2 = set_ids(hashes, offsets)
                 flat = pa.array(np.ascontiguousarray(key).view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), flat)
@@ -99,37 +106,116 @@ def classes(signed: DataFrame, flags: dict[str, Column]) -> DataFrame:
     )
 
 
-def _meet(rows: DataFrame, allowed: Column, hot: int | None) -> tuple[DataFrame, DataFrame]:
-    """(pairs a, b; rows of hot keys) of ``rows`` key, rep, n, f1, f2, flags."""
-    counted = rows.withColumn("_m", F.count(F.lit(1)).over(W.partitionBy("key")))
-    cold = counted.where("_m >= 2" if hot is None else f"_m between 2 and {hot}").drop("_m")
-    x, y = cold.alias("x"), cold.alias("y")
+def _near() -> Column:
+    """Condition on sides ``x`` and ``y``: sizes that can reach the threshold, fingerprints within the radius."""
     near = F.bit_count(F.col("x.f1").bitwiseXOR(F.col("y.f1"))) + F.bit_count(F.col("x.f2").bitwiseXOR(F.col("y.f2")))
-    # sets whose sizes differ too much cannot reach the threshold
-    sized = F.least("x.n", "y.n") >= F.lit(THRESHOLD) * F.greatest("x.n", "y.n")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & sized & (near <= RADIUS) & allowed)
-    return pairs.select(F.col("x.dataset").alias("dataset"), F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), counted
+    return (F.least("x.n", "y.n") >= F.lit(THRESHOLD - 1e-9) * F.greatest("x.n", "y.n")) & (near <= RADIUS)
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.col("x.dataset").alias("dataset"), F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+
+
+def _met(rows: DataFrame, useful: Column) -> DataFrame:
+    """The rows whose key holds at least two classes and passes ``useful`` (a condition on the maxima of the flags),
+    with ``m``, the number of classes of the key.
+
+    Counted by partial aggregation, so a key of any size costs each task one row; the join back has few keys
+    and is broadcast or split by the engine as their size asks for.
+    """
+    flags = [c for c in rows.columns if c not in ("dataset", "rep", "n", "f1", "f2", "key")]
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *(F.max(c).alias(c) for c in flags)).where((F.col("m") >= 2) & useful)
+    return rows.join(counts.select("key", "m"), "key")
+
+
+def _cold_pairs(met: DataFrame, allowed: Column, hot: int) -> DataFrame:
+    cold = met.where(F.col("m") <= hot).drop("m")
+    x, y = cold.alias("x"), cold.alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.dataset") == F.col("y.dataset")) & (F.col("x.rep") < F.col("y.rep"))
+    return _pairs(x.join(y, same & _near() & allowed))
+
+
+def _block_pairs(met: DataFrame, allowed: Column, hot: int, block: int) -> DataFrame:
+    """All pairs of the hot keys: each key's classes are dealt to m / block groups by hash, and each pair of groups
+    (lo <= hi) is a join key of its own."""
+    rows = met.where(F.col("m") > hot).withColumn("_g", F.ceil(F.col("m") / block).cast("int"))
+    rows = rows.withColumn("_i", F.pmod(F.xxhash64("rep"), F.col("_g")).cast("int"))
+    x = rows.withColumn("lo", F.col("_i")).withColumn("hi", F.explode(F.expr("sequence(_i, _g - 1)"))).alias("x")
+    y = rows.withColumn("hi", F.col("_i")).withColumn("lo", F.explode(F.expr("sequence(0, _i)"))).alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "lo", "hi", "dataset")]
+    order = (F.col("x.lo") < F.col("x.hi")) | (F.col("x.rep") < F.col("y.rep"))
+    return _pairs(x.join(y, same[0] & same[1] & same[2] & same[3] & order & _near() & allowed))
+
+
+def _rareness(texts: DataFrame, words: int) -> np.ndarray:
+    """How often the shingles of each of ``CELLS`` cells occur in ``texts`` (source); at most CELLS rows reach the driver."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for part in parts:
+            got = part.column(0).to_pylist()
+            for i, j in batches(got):
+                total += np.bincount(shingle_sets(got[i:j], words)[0].astype(np.int64) & (CELLS - 1), minlength=CELLS)
+        has = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(total[has])], names=["cell", "k"])
+
+    got = texts.select("source").mapInArrow(run, "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[got.column("cell").to_numpy()] = got.column("k").to_numpy()
+    return out
 
 
-def candidates(cls: DataFrame, allowed: Column | None = None, hot: int = HOT) -> DataFrame:
-    """dataset, a, b (class representatives, a < b) that share a band and lie within the radius.
+def rare_keys(texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """dataset, rep, key: the n - ceil(threshold * n) + 1 rarest shingles of each text (dataset, rep, source).
 
-    ``allowed``: a condition on the flags of sides ``x`` and ``y``.
+    The order is the number of occurrences of a shingle's cell, then its hash.  Of two sets of similarity at least
+    ``threshold`` the overlap is at least ceil(threshold * n) of either size n, so their rarest shingle in common
+    stands among these of both.
+    """
+    often = texts.sparkSession.sparkContext.broadcast(_rareness(texts, words))  # CELLS numbers
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            got = part.column("source").to_pylist()
+            for i, j in batches(got):
+                hashes, offsets = shingle_sets(got[i:j], words)
+                sizes = np.diff(offsets)
+                owner = np.repeat(np.arange(j - i), sizes)
+                order = np.lexsort((hashes, often.value[hashes.astype(np.int64) & (CELLS - 1)], owner))
+                keep = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+                taken = order[np.arange(len(order)) - np.repeat(offsets[:-1], sizes) < np.repeat(keep, sizes)]
+                at = pa.array(owner[taken] + i)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("dataset").take(at), part.column("rep").take(at), pa.array(hashes[taken].astype(np.int64))], names=["dataset", "rep", "key"]
+                )
+
+    return texts.select("dataset", "rep", "source").mapInArrow(run, "dataset string, rep long, key long")
+
+
+def candidates(
+    cls: DataFrame, texts: DataFrame, allowed: Column | None = None, useful: Column | None = None, hot: int = HOT, block: int = BLOCK
+) -> DataFrame:
+    """dataset, a, b (class representatives, a < b) that share a segment and lie within the radius.
+
+    ``texts`` has dataset, record_id and source of the representatives.  ``allowed``: a condition on the flags of
+    sides ``x`` and ``y``; ``useful``: one on the flags' maxima, without which no pair of a key can be allowed.
     """
     allowed = F.lit(True) if allowed is None else allowed
+    useful = F.lit(True) if useful is None else useful
     light = [c for c in cls.columns if c not in ("keys", "s1", "s2")]
-    rows = cls.select(*light, F.explode("keys").alias("key"))
-    pairs, counted = _meet(rows, allowed, hot)
-    hot_rows = counted.where(f"_m > {hot}").select("dataset", "rep", F.col("key").alias("hot_key"))
-    again = (
-        hot_rows.join(cls.drop("s1", "s2"), ["dataset", "rep"])
-        .select(*light, "hot_key", F.explode("keys").alias("other"))
-        .where("other <> hot_key")
-        .select(*light, F.xxhash64(F.least("hot_key", "other"), F.greatest("hot_key", "other")).alias("key"))
-        .distinct()
-    )
-    more, _ = _meet(again, allowed, None)
-    return pairs.union(more).distinct()
+    met = materialize(_met(cls.select(*light, F.explode("keys").alias("key")), useful), "met")
+    pairs = _cold_pairs(met, allowed, hot)
+    crowded = materialize(met.where(F.col("m") > hot).select(*light).distinct(), "crowded")
+    n = crowded.count()
+    if n:
+        ends = crowded.select("dataset", F.col("rep").alias("record_id"))
+        ends = F.broadcast(ends) if n <= BROADCAST_PAIRS else ends  # else a shuffle join
+        own = texts.select("dataset", "record_id", "source").join(ends, ["dataset", "record_id"], "left_semi")
+        own = materialize(own.withColumnRenamed("record_id", "rep"), "crowded-texts")
+        again = rare_keys(own).join(crowded, ["dataset", "rep"]).withColumn("key", F.xxhash64("dataset", "key")).select(*light, "key")
+        again = materialize(_met(again, useful), "met-again")
+        pairs = pairs.union(_cold_pairs(again, allowed, hot)).union(_block_pairs(again, allowed, hot, block))
+    return pairs.distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -171,7 +257,9 @@ def _sources(spark: SparkSession, sf_dir: str, names: list[str], extra: dict[str
     return out
 
 
-def link(texts: DataFrame, flags: dict[str, Column] | None = None, allowed: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def link(
+    texts: DataFrame, flags: dict[str, Column] | None = None, allowed: Column | None = None, useful: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(members: dataset, record_id, rep and flags; links: dataset, a, b, similarity between classes).
 
     ``texts`` has dataset, record_id, source and the columns ``flags`` use.  Null, empty and short texts are
@@ -182,7 +270,7 @@ def link(texts: DataFrame, flags: dict[str, Column] | None = None, allowed: Colu
     names = cls.select("dataset", "s1", "s2", "rep")
     kept = [c for c in texts.columns if c not in ("dataset", "source")]
     members = signed.select("dataset", "s1", "s2", *kept).join(names, ["dataset", "s1", "s2"]).drop("s1", "s2")
-    found = materialize(candidates(cls, allowed), "candidates")
+    found = materialize(candidates(cls, texts, allowed, useful), "candidates")
     return members, verified(found, texts)
 
 
@@ -243,7 +331,7 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.col("split").isin("validation", "test")
     flags = {"has_train": F.col("split") == "train", "has_eval": held}
     across = (F.col("x.has_train") & F.col("y.has_eval")) | (F.col("x.has_eval") & F.col("y.has_train"))
-    members, links = link(_p2_texts(spark, sf_dir), flags, across)
+    members, links = link(_p2_texts(spark, sf_dir), flags, across, F.col("has_train") & F.col("has_eval"))
     train = members.where("split = 'train'").select(
         "dataset", F.col("rep").alias("a"), F.col("record_id").alias("record_train"), F.col("repo").alias("repo_train")
     )

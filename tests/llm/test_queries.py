@@ -1,5 +1,6 @@
 """The operators on Spark: against brute force, against SQL, and on awkward input."""
 
+import random
 import re
 
 import pytest
@@ -74,12 +75,49 @@ def test_hot_buckets_and_copies(spark):
     cls = neardup.classes(signed, {}).cache()
     assert cls.count() == 121
     want = _brute([(i, s) for i, s in texts if i < 1000])
-    for hot in (4, 10_000):
-        pairs = neardup.verified(neardup.candidates(cls, hot=hot), df)
+    for hot, block in ((4, 8), (64, 1024), (10_000, 1024)):
+        pairs = neardup.verified(neardup.candidates(cls, df, hot=hot, block=block), df)
         got = {(r.a, r.b) for r in pairs.collect()}
         assert len(want - got) <= 0.001 * len(want) and got <= want
 
 
+def test_one_bucket_of_ten_thousand_classes(spark):
+    """Half of each text is shared by all 10,000 (similarity about 0.5 of any two), 600 have an edited copy: exactly those pairs."""
+    rng = random.Random(5)
+    head = [f"h{i}" for i in range(100)]
+    texts = {}
+    for i in range(9400):
+        texts[i] = head + [f"w{rng.randrange(10**6)}" for _ in range(95)]
+    for i in range(600):
+        own = list(texts[i])
+        for k in rng.sample(range(100, 190), 1 + i % 12):
+            own[k] = f"e{rng.randrange(10**6)}"
+        texts[20_000 + i] = own
+    joined = [("t", i, " ".join(w)) for i, w in texts.items()]
+    sets = {i: _shingles(s) for _, i, s in joined}
+    common = set.intersection(*sets.values())
+    assert all(len(common) < 0.69 * len(v) for v in sets.values())  # so a pair needs more than what all share
+    owners = {}
+    for i, v in sets.items():
+        for g in v - common:
+            owners.setdefault(g, []).append(i)
+    met = {(a, b) for v in owners.values() for a in v for b in v if a < b}
+    want = {(a, b) for a, b in met if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(joined, "dataset string, record_id long, source string").repartition(8)
+    members, links = neardup.link(df)
+    assert members.count() == 10_000
+    got = {(r.a, r.b) for r in links.collect()}
+    assert len(want) > 200 and got == want
+
+
+def test_tables_are_never_paired_with_each_other(spark):
+    """Names that begin alike, the same texts under the same ids."""
+    text = [" ".join(f"w{i}_{k}" for k in range(30)) for i in range(5)]
+    rows = [(d, i + 10 * c, t + f" c{c}") for d in ("security_dataset", "security_finding") for i, t in enumerate(text) for c in (0, 1)]
+    _, links = neardup.link(spark.createDataFrame(rows, "dataset string, record_id long, source string"))
+    assert {(r.dataset, r.a, r.b) for r in links.collect()} == {(d, i, i + 10) for d in ("security_dataset", "security_finding") for i in range(5)}
+
+
 def test_groups_have_one_row_a_record(spark, sf):
     g = neardup.p4_groups(spark, sf).toPandas()
     pairs = neardup.p4_found(spark, sf).toPandas()
