@@ -51,18 +51,13 @@ def c11_ignored(spark, sf_dir):
     return files(spark, sf_dir).select("file_id", F.col("path").rlike("^(?:" + glob_regex(Config().ignore_paths) + ")").alias("ignored"))
 
 
-def c13_guard(spark, sf_dir, most: int = 100):
+def c13_guard(spark, sf_dir, most: int = 2000):
     """C.13: sources within the line limit, and their text cut to it."""
     f = files(spark, sf_dir).where("code is not null")
     ls = T.lines(F.col("code"))
     return f.select("file_id", (F.size(ls) <= most).alias("accepted"), F.length(F.array_join(F.slice(ls, 1, most), "\n")).cast("long").alias("n_chars"))
 
 
-def c13_guard_2000(spark, sf_dir):
-    """C.13 at its full size; ``c13_guard`` is the same with 100 lines."""
-    return c13_guard(spark, sf_dir, 2000)
-
-
 def c24_tool_labels(spark, sf_dir):
     """C.24: a label only where metric bands agree; records without one are dropped."""
     m = metrics(spark, sf_dir)
@@ -144,7 +139,7 @@ QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "chko" and k[1].i
 _AU = "(2 * rank() OVER (PARTITION BY feature ORDER BY x) + count(*) OVER (PARTITION BY feature, x) - 1) / 2.0"
 ORACLE = {
     "c11_ignored": f"SELECT file_id, regexp_matches(path, '^.*/tests/.*$') OR regexp_matches(path, '^.*/lib/.*\\.js$') AS ignored FROM {FILES}",
-    "c13_guard": f"WITH f AS (SELECT file_id, {SQL_LINES} AS ls FROM {FILES} WHERE code IS NOT NULL) SELECT file_id, len(ls) <= 100 AS accepted, length(coalesce(array_to_string(ls[:100], chr(10)), '')) AS n_chars FROM f",
+    "c13_guard": f"WITH f AS (SELECT file_id, {SQL_LINES} AS ls FROM {FILES} WHERE code IS NOT NULL) SELECT file_id, len(ls) <= 2000 AS accepted, length(coalesce(array_to_string(ls[:2000], chr(10)), '')) AS n_chars FROM f",
     "c24_tool_labels": f"WITH {_M}, l AS (SELECT id, CASE WHEN cc > 20 AND n_long > 5 THEN 'anti_pattern' WHEN cc <= 4 AND sloc <= 40 THEN 'clean' WHEN n_long > 10 OR n_complex > 10 THEN 'code_smell' WHEN over_80 >= 5 THEN 'style_violation' END AS label FROM m) SELECT * FROM l WHERE label IS NOT NULL",
     "h23_vulnerability": "WITH g AS (SELECT record_id AS file_id, min(CASE lower(severity) WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS worst FROM security_finding WHERE record_id IS NOT NULL GROUP BY 1) SELECT s.record_id AS file_id, CAST(CASE WHEN worst = 0 THEN 0.95 WHEN worst = 1 THEN 0.80 WHEN worst IS NOT NULL THEN 0.50 ELSE 0.05 END AS DOUBLE) AS score FROM security_dataset s LEFT JOIN g ON g.file_id = s.record_id",
     "h26_trust": f"WITH {_M} SELECT id, CASE WHEN sloc BETWEEN 5 AND 600 THEN 'complexity' || CASE WHEN code_churn > 0 THEN ',bug' ELSE '' END || CASE WHEN sloc >= 10 THEN ',security' ELSE '' END ELSE '' END AS reliable FROM m",

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions.normalize import repo_key
-from quillmark.sources.tables import table
+from quillmark.sources.tables import materialize, table
 
 BLOCK_ROWS = 1 << 14
 CHUNK_ROWS = 1 << 14
@@ -56,6 +56,27 @@ def number_rows(df: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("_n", F.col("_offset") + F.col("_rank")).drop("_k", "_b", "_offset", "_rank")
 
 
+HEAVY_PARTS, LEAST_HEAVY = 1024, 100_000
+
+
+def join_heavy(df: DataFrame, small: DataFrame, on: list[str], rows: str, total: int, least: int = LEAST_HEAVY) -> DataFrame:
+    """Inner join of ``df`` with ``small``, which has one row a key and in ``rows`` the number of rows that ``df`` has
+    of the key (an upper bound will do); ``total`` is the number of all rows of ``df``.
+
+    Keys with at least a 1024th of all rows (and ``least``) are at most 1024 by that definition; their rows of
+    ``small`` are broadcast and no row of ``df`` that has such a key is moved.  The rest is shuffled, and no key of it
+    is heavy.  Where ``df`` has fewer than ``least`` rows no key can be heavy.  Null keys match nothing.  Empty input: no
+    rows.
+    """
+    at = max(least, total // HEAVY_PARTS)
+    if total < at:
+        return df.join(small, on)
+    heavy = small.where(F.col(rows) >= at)
+    there = df.join(F.broadcast(heavy), on)
+    rest = df.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(small.where(F.col(rows) < at), on)
+    return there.unionByName(rest)
+
+
 def chunked_results(
     df: DataFrame, key: str, measures: dict[str, Column], merges: dict[str, Column], chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
@@ -122,8 +143,11 @@ def p5_key_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heavy_keys(df: DataFrame, key: str, value: str, share: float = 0.05) -> DataFrame:
-    """Keys that hold at least ``share`` of all rows, counted by the chunked operator; null is no key."""
-    counted = _counts(df, key, value)
+    """Keys that hold at least ``share`` of all rows, counted by the chunked operator; null is no key.
+
+    The counts (one row a key) are written once and read for both the keys and the total.
+    """
+    counted = materialize(_counts(df, key, value).select(key, "n_rows"), "keys")
     whole = counted.agg(F.sum("n_rows").alias("_all"))  # one row
     return counted.join(F.broadcast(whole)).where(F.col(key).isNotNull() & (F.col("n_rows") >= F.lit(share) * F.col("_all")))
 

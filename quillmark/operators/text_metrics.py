@@ -68,7 +68,7 @@ def normalised(df: DataFrame) -> DataFrame:
     return df.where("code is not null").select("file_id", F.length(body).cast("long").alias("n_chars"), F.md5(body).alias("fingerprint"))
 
 
-def vocabulary(tokens: DataFrame, most: int = 1000) -> DataFrame:
+def vocabulary(tokens: DataFrame, most: int = 10_000) -> DataFrame:
     """D.18: the commonest tokens with ids from 2 (0 pads, 1 is unknown); ties by token.
 
     ``tokens`` has token.  Only the counts are sorted, and only the top ``most`` - 2 of them.
@@ -81,7 +81,7 @@ def tokens_of(df: DataFrame) -> DataFrame:
     return df.where("code is not null").select("file_id", F.explode(F.regexp_extract_all("code", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("token"))
 
 
-def token_ids(df: DataFrame, vocab: DataFrame, most: int = 64) -> DataFrame:
+def token_ids(df: DataFrame, vocab: DataFrame, most: int = 512) -> DataFrame:
     """D.19: ids of each file's first ``most`` tokens, unknown 1, padded with 0."""
     names = vocab.select("token", "id")
     toks = F.regexp_extract_all("code", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
@@ -125,17 +125,6 @@ def d19_token_ids(spark, sf_dir):
     return token_ids(f, vocabulary(tokens_of(f)))
 
 
-def d18_vocabulary_10000(spark, sf_dir):
-    """D.18 at its full size; ``d18_vocabulary`` is the same with 1,000."""
-    return vocabulary(tokens_of(files(spark, sf_dir)), 10_000)
-
-
-def d19_token_ids_512(spark, sf_dir):
-    """D.19 at its full size, over the vocabulary of D.18; ``d19_token_ids`` is the same with 64 and 1,000."""
-    f = files(spark, sf_dir)
-    return token_ids(f, vocabulary(tokens_of(f), 10_000), 512)
-
-
 def d10_languages(spark, sf_dir):
     """D.10, R.2, C.14, A.7-A.9: language by extension, repo label and file key of each origin."""
     f = files(spark, sf_dir)
@@ -196,14 +185,14 @@ def suppressions(df: DataFrame, tool: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (d2_line_lengths, d24_loc, d7_halstead, d13_normalised, d16_sub_tokens, d18_vocabulary, d19_token_ids, d18_vocabulary_10000, d19_token_ids_512, d10_languages, d23_keyword_scan, d28_string_literals, c8_suppressions)
+    for f in (d2_line_lengths, d24_loc, d7_halstead, d13_normalised, d16_sub_tokens, d18_vocabulary, d19_token_ids, d10_languages, d23_keyword_scan, d28_string_literals, c8_suppressions)
 }
 
 _L = f"WITH f AS (SELECT * FROM {FILES} WHERE code IS NOT NULL), l AS (SELECT *, {SQL_LINES} AS ls FROM f) "
 _NB = r"list_filter(ls, lambda x: regexp_matches(x, '\S'))"
 _EXT = "CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.EXTENSIONS.items()) + " END"
 _TOK = "SELECT unnest(regexp_extract_all(code, '[A-Za-z_][A-Za-z0-9_]*')) AS token FROM f"
-_VOCAB = "t AS (" + _TOK + "), v AS (SELECT token, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS id FROM t GROUP BY token QUALIFY id <= 999)"
+_VOCAB = "t AS (" + _TOK + "), v AS (SELECT token, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS id FROM t GROUP BY token QUALIFY id <= 9999)"
 ORACLE = {
     "d2_line_lengths": _L
     + f", n AS (SELECT file_id, list_transform({_NB}, lambda x: length(x)) AS n FROM l) SELECT file_id, coalesce(list_max(n), 0) AS max_len, round(coalesce(list_avg(n), 0.0), 4) AS avg_len, CAST(len(list_filter(n, lambda x: x > 80)) AS BIGINT) AS over_80 FROM n",
@@ -222,7 +211,7 @@ SELECT file_id, n1, n2, big_n1, big_n2, round(volume, 4) AS volume, round(diffic
     + ", t AS (" + _TOK + r"), s AS (SELECT unnest(string_split(lower(regexp_replace(token, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '_')) AS sub_token FROM t) SELECT sub_token, count(*) AS n FROM s WHERE sub_token <> '' GROUP BY 1",
     "d18_vocabulary": _L + "," + _VOCAB + " SELECT token, n, id FROM v",
     "d19_token_ids": _L
-    + "," + _VOCAB + ", p AS (SELECT file_id, unnest(regexp_extract_all(code, '[A-Za-z_][A-Za-z0-9_]*')[:64]) AS token, generate_subscripts(regexp_extract_all(code, '[A-Za-z_][A-Za-z0-9_]*')[:64], 1) AS pos FROM f), s AS (SELECT file_id, list(coalesce(id, 1) ORDER BY pos) AS ids FROM p LEFT JOIN v USING (token) GROUP BY 1) SELECT f.file_id, list_concat(coalesce(ids, []), list_transform(range(64 - coalesce(len(ids), 0)), lambda x: 0)) AS ids FROM f LEFT JOIN s USING (file_id)",
+    + "," + _VOCAB + ", p AS (SELECT file_id, unnest(regexp_extract_all(code, '[A-Za-z_][A-Za-z0-9_]*')[:512]) AS token, generate_subscripts(regexp_extract_all(code, '[A-Za-z_][A-Za-z0-9_]*')[:512], 1) AS pos FROM f), s AS (SELECT file_id, list(coalesce(id, 1) ORDER BY pos) AS ids FROM p LEFT JOIN v USING (token) GROUP BY 1) SELECT f.file_id, list_concat(coalesce(ids, []), list_transform(range(512 - coalesce(len(ids), 0)), lambda x: 0)) AS ids FROM f LEFT JOIN s USING (file_id)",
     "d10_languages": f"SELECT file_id, coalesce({_EXT}, nullif(lower(trim(language)), '')) AS detected, coalesce(coalesce({_EXT}, lower(trim(language))) IN ("
     + ", ".join(f"'{x}'" for x in sorted(set(T.EXTENSIONS.values())))
     + f"), false) AS supported, coalesce(repo, split_part(path, '/', 1) || '/' || split_part(path, '/', 2)) AS repo_label, regexp_replace(path, '@[0-9a-f]{{7,40}}$', '') AS file_key FROM {FILES}",

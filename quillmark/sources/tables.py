@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         return set_dir.get()
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
         named = "file://" + tempfile.mkdtemp(prefix="quillmark-")
     sc.setCheckpointDir(named)
@@ -45,25 +45,33 @@ def spread(df: DataFrame) -> DataFrame:
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(df: DataFrame, name: str = "t", replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
     This cuts the lineage as ``checkpoint()`` does, but columnar: later readers prune columns, and a
-    lost executor costs only a re-read.
+    lost executor costs only a re-read.  ``replaces``: a result of this function that nothing needs once the new
+    table is written (the state of the round before); its files are deleted.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    if replaces is not None:
+        _delete(spark, replaces._written)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _drop_written() -> None:
     for spark, path in _WRITTEN:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone already
             pass

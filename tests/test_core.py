@@ -10,6 +10,7 @@ from quillmark.functions.normalize import repo_key
 from quillmark.operators import checks, skew, structure, text_metrics
 from quillmark.operators.components import connected_components
 from quillmark.operators.evaluation import average_ranks, ranked
+from quillmark.operators.skew import join_heavy
 from quillmark.plans.models import min_norm_weights
 from quillmark.streaming.replay import admit
 
@@ -21,11 +22,11 @@ def test_full_sizes(spark, sf):
     count = Counter(t for ts in toks.values() for t in ts)
     ids = {t: n for n, t in enumerate(sorted(count, key=lambda t: (-count[t], t))[:9998], 2)}
     assert len(ids) > 998 and max(map(len, toks.values())) > 64
-    assert {r.token: r.id for r in text_metrics.d18_vocabulary_10000(spark, sf).collect()} == ids
+    assert {r.token: r.id for r in text_metrics.d18_vocabulary(spark, sf).collect()} == ids
     want = {i: ([ids.get(t, 1) for t in ts[:512]] + [0] * 512)[:512] for i, ts in toks.items()}
-    assert {r.file_id: r.ids for r in text_metrics.d19_token_ids_512(spark, sf).collect()} == want
-    small, full = (sum(r.accepted for r in q(spark, sf).collect()) for q in (checks.c13_guard, checks.c13_guard_2000))
-    assert small < full
+    assert {r.file_id: r.ids for r in text_metrics.d19_token_ids(spark, sf).collect()} == want
+    lines = {i: c.split("\n") for i, c in code.items()}
+    assert max(map(len, lines.values())) > 100 and all(r.accepted == (len(lines[r.file_id]) <= 2000) for r in checks.c13_guard(spark, sf).where("n_chars > 0").collect())
 
 
 def test_repo_key(spark):
@@ -121,3 +122,13 @@ def test_small_functions():
     assert structure.generic_of("// c\nint f() { if (a && b) { return 1; } }\n/* x\n y */\n\n", "java") == (1, 3, 1, 3, 2)
     w = min_norm_weights(np.array([[1.0, 0.0], [0.0, 1.0]]))
     assert abs(w[0] - 0.5) < 1e-6
+
+
+def test_heavy_keys_are_joined_like_the_rest(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") < 600, "a").when(F.col("id") < 990, F.concat(F.lit("k"), F.col("id") % 40)).alias("k"))
+    small = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    want = sorted(map(tuple, df.join(small, "k").collect()))
+    for least in (1, 11, 600, 10_000):
+        got = join_heavy(df, small, ["k"], "n", 1000, least)
+        assert sorted(map(tuple, got.select("k", "id", "n", "top").collect())) == want
+    assert join_heavy(df.limit(0), small, ["k"], "n", 0, 1).count() == 0
