@@ -4,10 +4,13 @@
    pattern below needs one of its keywords but the pairs in comments, whose lines are sought by themselves.
 2. Issuer formats, key blocks, logins in URLs, commands and connection strings, and assignments of a literal
    to a credential's name.
-3. Validation: structure (JWT parts decode to JSON, Basic decodes to user:password), and no placeholder,
-   reference, field name, digest, path or identifier.
-4. Redaction: each character of the value is replaced by one of the same class (lower, upper, digit), other
-   characters stay, so lengths, line numbers, quoting and escapes hold.
+3. Validation: checksums (the CRC-32 at the end of an issuer's token) or structure (a token's random part, JWT parts
+   that decode to JSON, Basic that decodes to user:password, a key block of base64 only), and no placeholder,
+   reference, field name, digest, path or identifier.  A token whose checksum fails still counts if its random
+   part looks random: it may be revoked, mistyped or of an older form.
+4. Redaction: each letter or digit of the value is replaced by one of the same class (lower, upper, digit) that is in the
+   value's alphabet (hexadecimal, base32, base64, bytes in UTF-8), other characters and escapes stay, so lengths, line
+   numbers and quoting hold.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import base64
 import binascii
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -54,6 +58,11 @@ ISSUERS: list[tuple[str, str]] = [
 _JWT = re.compile(r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{4,}\.[A-Za-z0-9_\-]{8,}")
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+# The body of a key block: base64 runs between quotes, joints of literals, line marks and escaped line breaks; its headers.
+_KEY_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID):[^\n\\\"'`]*")
+_KEY_GAP = re.compile(r"(?:\\[nrt]|[\s\"'`,#*|>()]|\+[ \t]*(?=\n)|//(?=[ \t])|\\(?=\n))+")
+_KEY_RUN = re.compile(r"[A-Za-z0-9+/=]+")
+LEAST_RUN = 16  # characters of a full line of a key
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://(?P<user>[^\s/:@\"'`<>]*):(?P<value>[^\s/\"'`]+?)@(?=[\w\[])")
 _BASIC = re.compile(r"\b[Bb]asic\s+(?P<value>[A-Za-z0-9+/]{8,}={0,2})")
 _BEARER = re.compile(r"\b[Bb]earer\s+(?P<value>[A-Za-z0-9_\-.=+/~]{12,})")
@@ -132,7 +141,6 @@ def is_name(name: str) -> bool:
 
 
 _AUTO = automaton()
-CONTINUED_LINES = 6
 
 
 def _shape(v: str) -> tuple[int, int]:
@@ -150,7 +158,7 @@ def is_value(v: str, named: bool = True) -> bool:
     if distinct <= 2:
         return False
     if re.search(r"\s", s):
-        return False
+        return named and _is_phrase(s)
     if _PATH.match(s) and not (any(c.isdigit() for c in s) and any(c.isupper() for c in s)):
         return False
     if any(c.isdigit() for c in s) or re.search(r"[!#%&*+@^~=?]", s):
@@ -169,6 +177,78 @@ def is_value(v: str, named: bool = True) -> bool:
     return kinds >= 2 and len(s) >= 8
 
 
+# Words of messages and prompts, which pass phrases lack.
+_COMMON = set(
+    "a an the is are was be been must may can not no or and of to for in on at by with from as if your you my our its this that it enter please type use set get "
+    "invalid missing wrong required expired failed error too short long empty new old user name value here only same does do did has have will should "
+    "password passwd passphrase secret token key login account access auth api email field "
+    "der die das ein eine ist und oder nicht bitte ihr ihre mit von zu le la les un une est et ou ne pas votre avec de du des el los las es y o su con para por".split()
+)
+
+
+def _is_phrase(s: str) -> bool:
+    """Whether a literal with spaces is a pass phrase (four words or more, none of a message's) or a password with a space."""
+    parts = s.split(" ")
+    if all(re.fullmatch(r"[^\W\d_]{3,}", w) for w in parts):
+        return len(parts) >= 4 and not any(w.lower() in _COMMON for w in parts)
+    return len(parts) <= 3 and not s.endswith((".", ":", "!")) and any(len(w) >= 8 and re.search(r"[A-Za-z]\d+[A-Za-z]", w) for w in parts) and not re.search(r"[(){}<>\[\]=;/]", s)
+
+
+_B62 = ["0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+CHECKED = ("ghp_", "gho_", "ghs_", "ghu_", "npm_")  # 30 random characters and the CRC-32 of them in six of base 62
+LEAST_DISTINCT = 6
+
+
+def _checksum_ok(key: str, value: str) -> bool:
+    body = value[len(key) :]
+    if key not in CHECKED or len(body) != 36:
+        return False
+    crc = zlib.crc32(body[:30].encode())
+    for digits in _B62:
+        n, out = crc, ""
+        for _ in range(6):
+            n, d = divmod(n, 62)
+            out = digits[d] + out
+        if out == body[30:]:
+            return True
+    return False
+
+
+def issued(key: str, value: str) -> str | None:
+    """The kind of an issuer's token, or None where its part after the issuer's mark repeats a few characters."""
+    if _checksum_ok(key, value):
+        return "issuer_checksum"
+    return "issuer" if len(set(value[len(key) :].lower())) >= LEAST_DISTINCT else None
+
+
+def _key_end(text: str, at: int) -> tuple[int, int]:
+    """(end, base64 characters) of the body of a key block that begins at ``at``: up to its end mark, or to where
+    an unfinished one stops being a key's text (the closing quote, code or prose)."""
+    end, size, last = at, 0, LEAST_RUN
+    while True:
+        gap = _KEY_GAP.match(text, at)
+        at = gap.end() if gap else at
+        if stop := _PRIVATE_END.match(text, at):
+            return stop.end(), size
+        if head := _KEY_HEADER.match(text, at):
+            at = head.end()
+            continue
+        run = _KEY_RUN.match(text, at)
+        # a short run ends a key: only before its end mark, a quote or the text's end, or if it is no word
+        if not run or last < LEAST_RUN and not run.group().startswith("="):
+            return end, size
+        v = run.group()
+        after = _KEY_GAP.match(text, run.end())
+        closed = _PRIVATE_END.match(text, after.end() if after else run.end()) or run.end() == len(text) or text[run.end()] in "\"'`"
+        if len(v) < LEAST_RUN and not closed and not (re.search(r"[0-9+/=]", v) and re.search(r"[A-Z]", v)):
+            return end, size
+        if not closed and not after:
+            return end, size  # goes on as something else
+        last = len(v)
+        size += last
+        at = end = run.end()
+
+
 def _basic_ok(value: str) -> bool:
     try:
         text = base64.b64decode(value + "=" * (-len(value) % 4), validate=True).decode("utf-8")
@@ -203,31 +283,29 @@ def find(text: str, auto: ahocorasick.Automaton | None = None) -> list[tuple[int
     A value joined from several literals gives one span per literal.
     """
     low = lowered(text)
-    windows = _windows(text, low, auto or _AUTO)
+    windows, words = _windows(text, low, auto or _AUTO)
     pairs = _pairs(text)
     if not windows:
         return _merged(pairs)
     spans: list[tuple[int, int, str]] = []
     add = spans.append
-    for key, rule in _ISSUER_RULES:
-        if key in low:
-            for m in rule.finditer(text):
-                add((m.start(), m.end(), "issuer"))
-    if "eyj" in low:
+    for key in _ISSUER_RULES.keys() & words:
+        for m in _ISSUER_RULES[key].finditer(text):
+            if kind := issued(key, m.group()):
+                add((m.start(), m.end(), kind))
+    if "eyj" in words:
         for m in _JWT.finditer(text):
             if _jwt_ok(m.group()):
                 add((m.start(), m.end(), "jwt"))
-    if "private key" in low:
+    if "private key" in words:
         stop = _PRIVATE_END.search(text)
         if stop and not _PRIVATE.search(text, 0, stop.start()):  # a cut-out that begins inside a key
             cut = re.search(r"(?:^[ \t]*[A-Za-z0-9+/=]{16,}[ \t]*\n)+[ \t]*\Z", text[: stop.start()], re.M)
             if cut:
                 add((cut.start(), cut.end(), "key_body"))
         for m in _PRIVATE.finditer(text):  # over the whole text: a key spans lines
-            stop = _PRIVATE_END.search(text, m.end())
-            end = stop.end() if stop else len(text)
-            body = text[m.end() : stop.start() if stop else len(text)]
-            if len(re.findall(r"[A-Za-z0-9+/=]", re.sub(r"\\[nr]", "", body))) >= 16 and not re.fullmatch(r"\W*(?:\.{3}|…|<.*>|redacted|\*+|x+)\W*", body.strip(), re.I):
+            end, size = _key_end(text, m.end())
+            if size >= LEAST_RUN and len(set(text[m.end() : end])) >= LEAST_DISTINCT:
                 add((m.start(), end, "private_key"))
     for begin, stop in windows:
         spans.extend(_in_window(text, low, begin, stop))
@@ -265,11 +343,13 @@ def _pair(text: str, begin: int, stop: int) -> list[tuple[int, int, str]]:
     return spans
 
 
-def _windows(text: str, low: str, auto: ahocorasick.Automaton) -> list[tuple[int, int]]:
-    """Ranges of whole lines that have a keyword, each with the lines a literal there may go on to."""
+def _windows(text: str, low: str, auto: ahocorasick.Automaton) -> tuple[list[tuple[int, int]], set[str]]:
+    """Ranges of whole lines that have a keyword, each with the lines a literal there may go on to; the keywords."""
     out: list[tuple[int, int]] = []
+    words: set[str] = set()
     done = -1
-    for end, _ in auto.iter(low):
+    for end, word in auto.iter(low):
+        words.add(word)
         if end <= done:
             continue
         begin = text.rfind("\n", 0, end + 1) + 1
@@ -277,18 +357,18 @@ def _windows(text: str, low: str, auto: ahocorasick.Automaton) -> list[tuple[int
         if done < 0:
             done = len(text)
         stop = done
-        for _ in range(CONTINUED_LINES):
-            if text[begin:stop].rstrip()[-1:] not in ("(", "+", "\\", ",", '"', "'", "=", ":"):
-                break
-            stop = text.find("\n", stop + 1)
-            if stop < 0:
-                stop = len(text)
-                break
+        last = text[begin:stop].rstrip()[-1:]
+        while stop < len(text) and last in ("(", "+", "\\", ",", '"', "'", "=", ":"):
+            at = stop + 1
+            stop = text.find("\n", at)
+            stop = len(text) if stop < 0 else stop
+            last = text[at:stop].rstrip()[-1:] or last
+        done = stop
         if out and begin <= out[-1][1]:
             out[-1] = (out[-1][0], max(stop, out[-1][1]))
         else:
             out.append((begin, stop))
-    return out
+    return out, words
 
 
 def _in_window(text: str, low: str, begin: int, stop: int) -> list[tuple[int, int, str]]:
@@ -359,32 +439,53 @@ def _merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
-_ISSUER_RULES = [(k, re.compile(p)) for k, p in ISSUERS]
-_LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_ISSUER_RULES = {k: re.compile(p) for k, p in ISSUERS}
+_ESCAPE = r"\\(?:u\{[0-9A-Fa-f]+\}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2}|[0-7]{1,3}|.)"
+_SIGN = re.compile(_ESCAPE + r"|[^\W_]", re.S)
+_URL_SIGN = re.compile(_ESCAPE + r"|%[0-9A-Fa-f]{2}|[^\W_]", re.S)
+#: (lower, upper, digit) placeholders of an alphabet, the first that holds all of a value.
+_ALPHABETS = [
+    (re.compile(r"[\W_]*[0-9a-fA-F](?:[\W_]*[0-9a-fA-F]){7,}[\W_]*"), "aA0"),
+    (re.compile(r"(?=[^2-7]*[2-7])[A-Z2-7]{16,}=*"), "xX2"),
+]
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """``text`` with each value's letters and digits replaced by x, X and 0; the marks of key blocks stay."""
+    """``text`` with the letters and digits of each value replaced within its alphabet (``_mask``); the marks and
+    headers of key blocks and escapes stay."""
     out, at = [], 0
     for b, e, kind in spans:
         out.append(text[at:b])
         value = text[b:e]
         if kind == "private_key":
             head = _PRIVATE.match(value).end()
-            tail = _PRIVATE_END.search(value)
+            tail = _PRIVATE_END.search(value, head)
             stop = tail.start() if tail else len(value)
-            body = re.sub(r"\\[nrt]|[A-Za-z0-9]", lambda m: m.group() if len(m.group()) > 1 else _mask(m.group()), value[head:stop])
-            value = value[:head] + body + value[stop:]
+            body, done = [], head
+            for m in _KEY_HEADER.finditer(value, head, stop):
+                body += [_masked(value[done : m.start()], _SIGN), m.group()]
+                done = m.end()
+            value = value[:head] + "".join(body) + _masked(value[done:stop], _SIGN) + value[stop:]
         else:
-            value = re.sub(r"\\.|[^\W_]", lambda m: m.group() if len(m.group()) > 1 else _mask(m.group()), value)
+            value = _masked(value, _URL_SIGN if kind == "url" else _SIGN)
         out.append(value)
         at = e
     out.append(text[at:])
     return "".join(out)
 
 
-def _mask(c: str) -> str:
-    return "0" if c.isdigit() else "X" if c.isupper() else "x"
+def _masked(value: str, signs: re.Pattern) -> str:
+    low, up, digit = next((marks for rule, marks in _ALPHABETS if rule.fullmatch(value)), "xX0")
+    return signs.sub(lambda m: m.group() if len(m.group()) > 1 else _mask(m.group(), low, up, digit), value)
+
+
+def _mask(c: str, low: str = "x", up: str = "X", digit: str = "0") -> str:
+    """A character of the same class and of as many bytes in UTF-8."""
+    if c < "\x80":
+        return digit if c.isdigit() else up if c.isupper() else low
+    if c < "\u0800":
+        return "Ñ" if c.isupper() else "ñ"
+    return "字" if c < "\U00010000" else "\U00020000"
 
 
 def scan(rows: DataFrame) -> DataFrame:
