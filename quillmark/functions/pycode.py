@@ -34,13 +34,39 @@ def parse(source: str | None) -> ast.Module | None:
         return None
 
 
+def children(x: ast.AST) -> list[ast.AST]:
+    """The child nodes in the order of the fields (a parsed node's attributes come in that order)."""
+    out = []
+    for v in x.__dict__.values():
+        if v.__class__ is list:
+            out += [c for c in v if isinstance(c, ast.AST)]
+        elif isinstance(v, ast.AST):
+            out.append(v)
+    return out
+
+
+_LAST: list = [None, []]  # the module walked last, and its nodes
+
+
+def walk(node: ast.AST) -> list[ast.AST]:
+    """All nodes, breadth first; those of the last module are kept for the next analyzer."""
+    if _LAST[0] is node:
+        return _LAST[1]
+    out = [node]
+    for x in out:  # grows
+        out += children(x)
+    if isinstance(node, ast.Module):
+        _LAST[:] = node, out
+    return out
+
+
 # ---- complexity
 
 
 def cyclomatic(node: ast.AST) -> int:
     """1 + decision nodes + ternaries + operands beyond the first of each and/or."""
     n = 1
-    for x in ast.walk(node):
+    for x in walk(node):
         if isinstance(x, DECISIONS) or isinstance(x, ast.IfExp):
             n += 1
         elif isinstance(x, ast.BoolOp):
@@ -69,7 +95,7 @@ def cognitive(node: ast.AST) -> int:
             total += len(x.values) - 1
         elif isinstance(x, ast.Call) and isinstance(x.func, ast.Name) and name is not None and x.func.id == name:
             total += 1
-        todo += [(c, depth, name, inside) for c in ast.iter_child_nodes(x)]
+        todo += [(c, depth, name, inside) for c in children(x)]
     return total
 
 
@@ -81,13 +107,14 @@ def depth_of(node: ast.AST) -> int:
         if isinstance(x, (ast.If, ast.With, ast.AsyncWith, ast.Try, ast.Match, *LOOPS)):
             d += 1
             best = max(best, d)
-        todo += [(c, d) for c in ast.iter_child_nodes(x)]
+        todo += [(c, d) for c in children(x)]
     return best
 
 
 # ---- lines and tokens
 
 
+@lru_cache(maxsize=2)
 def tokens(source: str) -> list[tokenize.TokenInfo]:
     out: list[tokenize.TokenInfo] = []
     try:
@@ -102,7 +129,7 @@ def line_counts(source: str, tree: ast.Module | None) -> dict[str, int]:
     lines = source.splitlines()
     docs: set[int] = set()
     if tree is not None:
-        for x in ast.walk(tree):
+        for x in walk(tree):
             if isinstance(x, (ast.Module, ast.ClassDef, *FUNCS)) and x.body and isinstance(x.body[0], ast.Expr):
                 v = x.body[0].value
                 if isinstance(v, ast.Constant) and isinstance(v.value, str):
@@ -180,7 +207,7 @@ def inside(x: ast.AST) -> list[ast.AST]:
         n = todo.pop()
         out.append(n)
         if not isinstance(n, FUNCS):
-            todo += ast.iter_child_nodes(n)
+            todo += children(n)
     return out
 
 
@@ -209,7 +236,7 @@ SHELLS = {"os.system", "os.popen", "subprocess.call", "subprocess.run", "subproc
 def security(tree: ast.Module) -> list[Issue]:
     out = []
     add = lambda kind, sev, x, c: out.append(Issue("security", kind, sev, x.lineno, getattr(x, "end_lineno", 0) or 0, c))
-    for x in ast.walk(tree):
+    for x in walk(tree):
         if isinstance(x, ast.Call):
             name = call_name(x)
             last = name.rpartition(".")[2]
@@ -239,9 +266,9 @@ def security(tree: ast.Module) -> list[Issue]:
 def dead_code(tree: ast.Module) -> list[Issue]:
     out: list[Issue] = []
     add = lambda kind, x, sev="warning", end=None: out.append(Issue("dead_code", kind, sev, x.lineno, end or x.end_lineno))
-    used = {x.id for x in ast.walk(tree) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load)} | {x.attr for x in ast.walk(tree) if isinstance(x, ast.Attribute)}
-    exported = {e.value for x in tree.body if isinstance(x, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in x.targets) for e in ast.walk(x.value) if isinstance(e, ast.Constant)}
-    for x in ast.walk(tree):
+    used = {x.id for x in walk(tree) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load)} | {x.attr for x in walk(tree) if isinstance(x, ast.Attribute)}
+    exported = {e.value for x in tree.body if isinstance(x, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in x.targets) for e in walk(x.value) if isinstance(e, ast.Constant)}
+    for x in walk(tree):
         for body in (getattr(x, f, None) for f in ("body", "orelse", "finalbody")):
             if not isinstance(body, list):
                 continue
@@ -262,9 +289,9 @@ def dead_code(tree: ast.Module) -> list[Issue]:
         elif isinstance(x, ast.If) and x.orelse and isinstance(x.body[-1], ast.Return) and not (len(x.orelse) == 1 and isinstance(x.orelse[0], ast.If)):
             add("redundant_else", x, "info")
         if isinstance(x, FUNCS):
-            stored = {n.id: n for n in ast.walk(x) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
-            loaded = {n.id for n in ast.walk(x) if isinstance(n, ast.Name) and isinstance(n.ctx, (ast.Load, ast.Del))}
-            free = {n for s in ast.walk(x) if isinstance(s, (ast.Global, ast.Nonlocal)) for n in s.names}
+            stored = {n.id: n for n in walk(x) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
+            loaded = {n.id for n in walk(x) if isinstance(n, ast.Name) and isinstance(n.ctx, (ast.Load, ast.Del))}
+            free = {n for s in walk(x) if isinstance(s, (ast.Global, ast.Nonlocal)) for n in s.names}
             for name, n in stored.items():
                 if name not in loaded and name not in free and not name.startswith("_"):
                     add("unused_variable", n, "info")
@@ -290,8 +317,8 @@ def performance(tree: ast.Module) -> list[Issue]:
             if d:
                 add("nested_loops", "high" if d >= 2 else "medium", x.lineno)
             d += 1
-        todo += [(c, d) for c in ast.iter_child_nodes(x)]
-    for x in ast.walk(tree):
+        todo += [(c, d) for c in children(x)]
+    for x in walk(tree):
         if isinstance(x, FUNCS):
             for v in [*x.args.defaults, *x.args.kw_defaults]:
                 if isinstance(v, (ast.List, ast.Dict, ast.Set)):
@@ -329,7 +356,7 @@ def performance(tree: ast.Module) -> list[Issue]:
 def refactoring(tree: ast.Module) -> list[Issue]:
     out: list[Issue] = []
     add = lambda kind, sev, line: out.append(Issue("refactoring", kind, sev, line))
-    for f in (x for x in ast.walk(tree) if isinstance(x, FUNCS)):
+    for f in (x for x in walk(tree) if isinstance(x, FUNCS)):
         size = f.end_lineno - f.lineno + 1
         if size > 40:
             add("extract_method", "critical" if size > 80 else "high", f.lineno)
@@ -337,19 +364,19 @@ def refactoring(tree: ast.Module) -> list[Issue]:
             add("parameter_object", "medium", f.lineno)
         if depth_of(f) > 3:
             add("reduce_nesting", "high", f.lineno)
-        if any(isinstance(x, ast.BoolOp) and len(x.values) > 3 for x in ast.walk(f)):
+        if any(isinstance(x, ast.BoolOp) and len(x.values) > 3 for x in walk(f)):
             add("simplify_condition", "medium", f.lineno)
-        if sum(isinstance(x, ast.Return) for x in ast.walk(f)) > 4:
+        if sum(isinstance(x, ast.Return) for x in walk(f)) > 4:
             add("single_exit", "low", f.lineno)
-        own = sum(isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) and x.value.id == "self" for x in ast.walk(f))
+        own = sum(isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) and x.value.id == "self" for x in walk(f))
         other: dict[str, int] = {}
-        for x in ast.walk(f):
+        for x in walk(f):
             if isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) and x.value.id != "self":
                 other[x.value.id] = other.get(x.value.id, 0) + 1
         if own and other and max(other.values()) > 2 * own and max(other.values()) >= 5:
             add("feature_envy", "medium", f.lineno)
     numbers: dict[object, int] = {}
-    for x in ast.walk(tree):
+    for x in walk(tree):
         if isinstance(x, ast.Constant) and type(x.value) in (int, float) and x.value not in (0, 1, -1, 2, 10, 100):
             numbers[x.value] = numbers.get(x.value, 0) + 1
     if sum(v >= 2 for v in numbers.values()) >= 3:
@@ -362,9 +389,9 @@ def refactoring(tree: ast.Module) -> list[Issue]:
 
 def imports(tree: ast.Module) -> list[tuple[str, int, int, bool, bool, str]]:
     """(module, line, relative level, wildcard, inside a function, category) of each import."""
-    inner = {id(x) for f in ast.walk(tree) if isinstance(f, FUNCS) for x in ast.walk(f)}
+    inner = {id(x) for f in walk(tree) if isinstance(f, FUNCS) for x in walk(f)}
     out = []
-    for x in ast.walk(tree):
+    for x in walk(tree):
         if isinstance(x, ast.Import):
             rows = [(a.name, 0, False) for a in x.names]
         elif isinstance(x, ast.ImportFrom):
@@ -413,14 +440,14 @@ def docstring_score(doc: str | None, n_params: int, returns: bool, raises: bool)
 def documentation(tree: ast.Module) -> dict[str, float]:
     """coverage, mean quality of documented public symbols, overall (70 and 30 %)."""
     scores, total = [], 0
-    for x in ast.walk(tree):
+    for x in walk(tree):
         if isinstance(x, (*FUNCS, ast.ClassDef)) and not x.name.startswith("_"):
             total += 1
             doc = ast.get_docstring(x)
             if doc:
                 fn = isinstance(x, FUNCS)
-                ret = fn and any(isinstance(r, ast.Return) and r.value is not None for r in ast.walk(x))
-                rai = fn and any(isinstance(r, ast.Raise) for r in ast.walk(x))
+                ret = fn and any(isinstance(r, ast.Return) and r.value is not None for r in walk(x))
+                rai = fn and any(isinstance(r, ast.Raise) for r in walk(x))
                 own = [a for a in x.args.args if a.arg not in ("self", "cls")] if fn else []
                 scores.append(docstring_score(doc, len(own), ret, rai))
     cov = len(scores) / total if total else 1.0
@@ -430,7 +457,7 @@ def documentation(tree: ast.Module) -> dict[str, float]:
 
 def readability(source: str, tree: ast.Module) -> dict[str, float]:
     """naming, comments, structure, load (0..100 each) and their mean weighted .30 .20 .30 .20."""
-    names = [x.arg for f in ast.walk(tree) if isinstance(f, FUNCS) for x in f.args.args] + [x.name for x in ast.walk(tree) if isinstance(x, (*FUNCS, ast.ClassDef))]
+    names = [x.arg for f in walk(tree) if isinstance(f, FUNCS) for x in f.args.args] + [x.name for x in walk(tree) if isinstance(x, (*FUNCS, ast.ClassDef))]
     bad = sum(len(n) < 3 and n not in ("i", "j", "k", "x", "y", "_", "id", "fn", "df", "db") or len(n) > 40 for n in names)
     naming = max(0.0, 100 - 100 * bad / (len(names) or 1))
     c = line_counts(source, tree)
@@ -438,10 +465,10 @@ def readability(source: str, tree: ast.Module) -> dict[str, float]:
     comments = 30.0 if ratio < 0.05 else 55.0 if ratio < 0.10 else min(100.0, 60 + 100 * ratio) if ratio <= 0.5 else max(50.0, 150 - 100 * ratio)
     lines = source.splitlines()
     long_lines = sum(len(x) > 100 for x in lines) / (len(lines) or 1)
-    long_funcs = sum(f.end_lineno - f.lineno >= 50 for f in ast.walk(tree) if isinstance(f, FUNCS))
+    long_funcs = sum(f.end_lineno - f.lineno >= 50 for f in walk(tree) if isinstance(f, FUNCS))
     mixed = any(x.startswith("\t") for x in lines) and any(x.startswith("    ") for x in lines)
     structure = max(0.0, 100 - 200 * long_lines - 15 * long_funcs - 20 * mixed)
-    load = sum(isinstance(x, (ast.Lambda, ast.ListComp, ast.DictComp, ast.SetComp, ast.GeneratorExp, ast.IfExp, ast.BoolOp)) for x in ast.walk(tree)) / (c["sloc"] or 1)
+    load = sum(isinstance(x, (ast.Lambda, ast.ListComp, ast.DictComp, ast.SetComp, ast.GeneratorExp, ast.IfExp, ast.BoolOp)) for x in walk(tree)) / (c["sloc"] or 1)
     cognitive_load = 100.0 if load < 0.1 else 80.0 if load < 0.2 else 60.0 if load < 0.3 else 40.0 if load < 0.4 else 20.0
     return {"naming": naming, "comments": comments, "structure": structure, "load": cognitive_load, "overall": 0.3 * naming + 0.2 * comments + 0.3 * structure + 0.2 * cognitive_load}
 
@@ -468,7 +495,7 @@ class Taint:
                 return 1.0
             worst = max([self.level(a, state) for a in [*x.args, *(k.value for k in x.keywords)]] + ([self.level(x.func.value, state)] if isinstance(x.func, ast.Attribute) else []), default=0.0)
             return worst * (1 - SANITIZERS[name]) if name in SANITIZERS else worst
-        return max((self.level(c, state) for c in ast.iter_child_nodes(x)), default=0.0)
+        return max((self.level(c, state) for c in children(x)), default=0.0)
 
     def block(self, body: list[ast.stmt], state: dict[str, float]) -> None:
         for s in body:
@@ -476,7 +503,7 @@ class Taint:
                 continue
             heads = [s] if not hasattr(s, "body") else [getattr(s, f) for f in ("test", "iter", "subject") if hasattr(s, f)] + [i.context_expr for i in getattr(s, "items", [])]
             for h in heads:
-                for c in (x for x in ast.walk(h) if isinstance(x, ast.Call)):
+                for c in (x for x in walk(h) if isinstance(x, ast.Call)):
                     name = call_name(c)
                     risk = SINKS.get(name) or SINKS.get(name.rpartition(".")[2]) if name.rpartition(".")[2] in ("execute",) or name in SINKS else None
                     if risk and c.args:
@@ -486,7 +513,7 @@ class Taint:
             if isinstance(s, (ast.Assign, ast.AnnAssign, ast.AugAssign)) and s.value is not None:
                 t = self.level(s.value, state)
                 for target in s.targets if isinstance(s, ast.Assign) else [s.target]:
-                    for n in ast.walk(target):
+                    for n in walk(target):
                         if isinstance(n, ast.Name):
                             state[n.id] = max(t, state.get(n.id, 0.0)) if isinstance(s, ast.AugAssign) else t
             branches = [b for f in ("body", "orelse", "finalbody") if isinstance(b := getattr(s, f, None), list)] + [h.body for h in getattr(s, "handlers", [])] + [c.body for c in getattr(s, "cases", [])]
@@ -502,7 +529,7 @@ class Taint:
 def taint_paths(tree: ast.Module) -> list[tuple[str, int, float]]:
     t = Taint()
     t.block(tree.body, {})
-    for f in ast.walk(tree):
+    for f in walk(tree):
         if isinstance(f, FUNCS):
             t.block(f.body, {})
     return sorted(set(t.paths), key=lambda p: (p[1], p[0]))
@@ -518,17 +545,17 @@ def node_sequence(tree: ast.Module) -> list[str]:
         x = todo.pop()
         if not isinstance(x, (ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)):
             out.append(type(x).__name__)
-        todo += reversed(list(ast.iter_child_nodes(x)))
+        todo += reversed(list(children(x)))
     return out
 
 
 def node_pairs(tree: ast.Module) -> list[str]:
-    return [f"{type(p).__name__}>{type(c).__name__}" for p in ast.walk(tree) for c in ast.iter_child_nodes(p)]
+    return [f"{type(p).__name__}>{type(c).__name__}" for p in walk(tree) for c in children(p)]
 
 
 def identifiers(tree: ast.Module) -> list[str]:
     out = []
-    for x in ast.walk(tree):
+    for x in walk(tree):
         if isinstance(x, ast.Name):
             out.append(x.id)
         elif isinstance(x, (*FUNCS, ast.ClassDef)):

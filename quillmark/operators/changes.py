@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions.normalize import clean_name, repo_key
+from quillmark.operators.skew import in_order
 from quillmark.sources.tables import table
 
 
@@ -73,12 +74,21 @@ def k1_change_features(spark, sf_dir, year: int = 2003):
 
 
 def i8_fix_lag(spark, sf_dir, days: int = 30):
-    """I.6, I.8: a change is labelled when a fix of the same file follows within the lag; first fix only."""
-    x = touched(spark, sf_dir)
-    fixes = x.where("fix = 1").select("file", F.col("day").alias("fix_day"))
-    nearest = x.where("fix = 0").alias("c").join(fixes.alias("f"), (F.col("c.file") == F.col("f.file")) & F.col("f.fix_day").between(F.col("c.day"), F.col("c.day") + F.expr(f"INTERVAL {days} DAYS")), "left")
-    g = nearest.groupBy("c.commit", "c.nth", "c.file", "c.price").agg(F.min("f.fix_day").alias("fix_day"))
-    return g.select("commit", "nth", "file", "price", F.isnotnull("fix_day").cast("int").alias("label"))
+    """I.6, I.8: a change is labelled when a fix of the same file follows within the lag; first fix only.
+
+    Time is cut into stretches of the lag's length; a fix belongs to its own and the one before, so one window over
+    (file, stretch) finds it and a file with many changes is spread over its stretches.
+    """
+    lag = days * 86400
+    x = touched(spark, sf_dir).withColumn("t", F.col("day").cast("timestamp").cast("long"))
+    keys = ["commit", "nth", "file", "price"]
+    changes = x.where("fix = 0").select(*keys, "t").distinct().withColumns({"s": F.expr(f"t div {lag}"), "fix_t": F.lit(None).cast("long")})
+    fixes = x.where("fix = 1").select("file", "t").distinct().withColumn("s", F.explode(F.array(F.expr(f"t div {lag}"), F.expr(f"t div {lag} - 1"))))
+    none = [F.lit(None).cast(x.schema[c].dataType).alias(c) for c in ("commit", "nth")]
+    fixes = fixes.select(*none, "file", F.lit(None).cast(x.schema["price"].dataType).alias("price"), "t", "s", F.col("t").alias("fix_t"))
+    w = W.partitionBy("file", "s").orderBy("t").rangeBetween(0, lag)
+    out = changes.unionByName(fixes).withColumn("found", F.min("fix_t").over(w)).where("fix_t is null")
+    return out.select(*keys, F.isnotnull("found").cast("int").alias("label"))
 
 
 # ---- validation, filters, labels
@@ -179,11 +189,8 @@ def b3_manifest(spark, sf_dir):
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """rn (1, 2, ... by t, id over all rows; rows without t come first) and n, from counts per day."""
-    df = df.withColumn("t", F.coalesce("t", F.lit(0).cast("long"))).withColumn("_d", F.expr("t div 86400"))
-    per = df.groupBy("_d").agg(F.count(F.lit(1)).alias("_n"))
-    offs = per.select("_d", F.coalesce(F.sum("_n").over(W.orderBy("_d").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"), F.sum("_n").over(W.partitionBy(F.lit(1))).alias("n"))
-    return df.join(offs, "_d").withColumn("rn", F.col("_o") + F.row_number().over(W.partitionBy("_d").orderBy("t", "id"))).drop("_d", "_o")
+    """rn (1, 2, ... by t, id over all rows; rows without t come first) and n."""
+    return in_order(df.withColumn("t", F.coalesce("t", F.lit(0).cast("long"))), [F.asc("t"), F.asc("id")])
 
 
 def k14_temporal(spark, sf_dir, ratio: float = 0.2):

@@ -11,8 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
+from quillmark.functions.normalize import language
+from quillmark.operators.skew import join_heavy
 from quillmark.operators.text_metrics import FILES, SQL_LINES, files
-from quillmark.sources.tables import table
+from quillmark.sources.tables import materialize, table
 
 LEAST_LINES = 4
 
@@ -123,13 +125,25 @@ def i2_nearest(spark, sf_dir, k: int = 5):
 # ---- TF-IDF
 
 
-def words(df: DataFrame, text: str, key: str) -> DataFrame:
-    return df.where(f"{text} is not null").select(key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+"), F.lit(0))).alias("pos", "word"))
+def words(df: DataFrame, text: str, key: str, pattern: str = r"[a-z]+") -> DataFrame:
+    return df.where(f"{text} is not null").select(key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))).alias("pos", "word"))
+
+
+WORD = r"[\p{L}\p{N}_]+"
+
+
+def terms_of(df: DataFrame, text: str, key: str) -> DataFrame:
+    """key, word: the words of a text (letters and digits of any script, ``_``) and each two adjacent ones joined by ``_``."""
+    w = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    t = df.where(f"{text} is not null").select(key, w.alias("w"))
+    pairs = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(F.get("w", i), F.lit("_"), x))
+    return t.select(key, F.explode(F.concat("w", pairs)).alias("word"))
 
 
 def n2_tfidf(spark, sf_dir, terms: int = 512):
-    """N.2: weights of the ``terms`` words in most documents (ties by word), tf by share, smoothed idf, L2 norm."""
-    w = words(table(spark, sf_dir, "documents"), "text", "doc_id")
+    """N.2: weights of the ``terms`` words and bigrams in most documents (one ranking, ties by term), tf by share of all of
+    a document's terms, smoothed idf, L2 norm."""
+    w = terms_of(table(spark, sf_dir, "documents"), "text", "doc_id")
     tf = w.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("c"))
     total = tf.groupBy("doc_id").agg(F.sum("c").alias("total"))
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "word").limit(terms)
@@ -157,24 +171,37 @@ def n3_trigrams(spark, sf_dir, least: int = 3):
 
 
 def n5_perplexity(spark, sf_dir):
-    """N.4-N.7: back-off perplexity of odd documents under a model of the even ones (trigram where the context is
-    known, else bigram, else unigram; alpha 0.1), and the share of known trigrams."""
-    t = _trigrams(words(table(spark, sf_dir, "documents"), "text", "doc_id"))
-    fit, test = t.where("doc_id % 2 = 0"), t.where("doc_id % 2 = 1")
-    tri = fit.where("a is not null").groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n3"))
-    ctx2 = tri.groupBy("a", "b").agg(F.sum("n3").alias("c2"))
-    bi = fit.where("b is not null").groupBy("b", "c").agg(F.count(F.lit(1)).alias("n2"))
-    ctx1 = bi.groupBy("b").agg(F.sum("n2").alias("c1"))
-    uni = fit.groupBy("c").agg(F.count(F.lit(1)).alias("n1"))
-    v = F.broadcast(uni.agg(F.count(F.lit(1)).alias("v"), F.sum("n1").alias("total")))
-    x = test.join(tri, ["a", "b", "c"], "left").join(ctx2, ["a", "b"], "left").join(bi, ["b", "c"], "left").join(ctx1, "b", "left").join(uni, "c", "left").join(v)
+    """N.4-N.7: back-off perplexity of every document under a model of the documents of the other half (trigram where the
+    context is known, else bigram, else unigram; alpha 0.1), and the share of known trigrams.
+
+    Each distinct trigram of a half gets its probability once; rows of the texts are shuffled to be counted and to be
+    scored, never by a single word.  What is joined by a single word are distinct bigrams, common words apart.
+    """
+    t = _trigrams(words(table(spark, sf_dir, "documents"), "text", "doc_id")).withColumns({"a": F.coalesce("a", F.lit("")), "b": F.coalesce("b", F.lit(""))})
+    t = materialize(t.groupBy((F.col("doc_id") % 2 != 0).alias("odd"), "doc_id", "a", "b", "c").agg(F.count(F.lit(1)).alias("k")), "trigrams")
+    tri = materialize(t.groupBy("odd", "a", "b", "c").agg(F.sum("k").alias("n3")), "distinct-trigrams")
+    bi = materialize(tri.groupBy("odd", "b", "c").agg(F.sum("n3").alias("n2")), "bigrams")
+    other = lambda df: df.withColumn("odd", ~F.col("odd"))  # the model that scores a half is that of the other
+    both = ["odd", "b"], ["odd", "c"]
+    ctx1 = other(bi.where("b <> ''").groupBy("odd", "b").agg(F.sum("n2").alias("c1")))
+    uni = other(bi.groupBy("odd", "c").agg(F.sum("n2").alias("n1")))
+    v = F.broadcast(uni.groupBy("odd").agg(F.count(F.lit(1)).alias("v"), F.sum("n1").alias("total")))  # two rows
+    # bigrams to be scored, with the counts of their words
+    n = bi.count()
+    rows_b, rows_c = bi.groupBy("odd", "b").agg(F.count(F.lit(1)).alias("_k")), bi.groupBy("odd", "c").agg(F.count(F.lit(1)).alias("_k"))
+    x = join_heavy(bi.drop("n2"), rows_b.join(ctx1, both[0], "left"), both[0], "_k", n).drop("_k")
+    x = join_heavy(x, rows_c.join(uni, both[1], "left"), both[1], "_k", n).drop("_k")
+    x = x.join(other(bi.where("b <> ''")), ["odd", "b", "c"], "left").join(v, "odd", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    p = (
-        F.when(F.col("c2").isNotNull(), (z("n3") + ALPHA) / (F.col("c2") + ALPHA * F.col("v")))
-        .when(F.col("c1").isNotNull(), (z("n2") + ALPHA) / (F.col("c1") + ALPHA * F.col("v")))
-        .otherwise((z("n1") + ALPHA) / (F.col("total") + ALPHA * F.col("v")))
-    )
-    return x.groupBy("doc_id").agg(F.round(F.exp(-F.avg(F.ln(p))), 3).alias("perplexity"), F.round(F.avg(F.col("n3").isNotNull().cast("double")), 5).alias("coverage"))
+    lower = F.when(F.col("c1").isNotNull(), (z("n2") + ALPHA) / (F.col("c1") + ALPHA * F.col("v"))).otherwise((z("n1") + ALPHA) / (F.col("total") + ALPHA * F.col("v")))
+    x = x.select("odd", "b", "c", "v", lower.alias("lower"))
+    known = other(tri.where("a <> ''"))
+    ctx2 = known.groupBy("odd", "a", "b").agg(F.sum("n3").alias("c2"))
+    y = tri.drop("n3").join(known, ["odd", "a", "b", "c"], "left").join(ctx2, ["odd", "a", "b"], "left").join(x, ["odd", "b", "c"])
+    p = F.when(F.col("c2").isNotNull(), (z("n3") + ALPHA) / (F.col("c2") + ALPHA * F.col("v"))).otherwise(F.col("lower"))
+    y = y.select("odd", "a", "b", "c", F.ln(p).alias("lp"), F.isnotnull("n3").cast("double").alias("known"))
+    g = t.join(y, ["odd", "a", "b", "c"]).groupBy("doc_id").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("lp")).alias("lp"), F.sum(F.col("k") * F.col("known")).alias("known"))
+    return g.where("lp is not null").select("doc_id", F.round(F.exp(-F.col("lp") / F.col("k")), 3).alias("perplexity"), F.round(F.col("known") / F.col("k"), 5).alias("coverage"))
 
 
 def n6_calibrated(spark, sf_dir):
@@ -191,22 +218,29 @@ def n12_cache_keys(spark, sf_dir):
     return f.select("file_id", F.sha2(F.concat_ws("\0", "path", "code"), 256).alias("key"))
 
 
-NOTEBOOK = '{"cells":[{"cell_type":"code","source":["import a\\n","b"]},{"cell_type":"markdown","source":["# t"]},{"cell_type":"code","source":["c"]}]}'
-
-
-def n11_notebooks(spark, sf_dir):
-    """N.11, A.4: code cells of notebook JSON; invalid JSON and null give no code (null)."""
-    df = spark.createDataFrame([(1, NOTEBOOK), (2, "{broken"), (3, None), (4, '{"cells":[]}')], "id long, body string")
+def notebook_code(df: DataFrame) -> DataFrame:
+    """N.11: id, code of rows of id, body: the code cells of notebook JSON, by blank lines; invalid JSON and null give
+    null, a notebook without code cells the empty text."""
     nb = F.from_json("body", "struct<cells:array<struct<cell_type:string,source:array<string>>>>")
     code = F.filter(nb["cells"], lambda c: c["cell_type"] == "code")
     return df.select("id", F.array_join(F.transform(code, lambda c: F.array_join(c["source"], "")), "\n\n").alias("code"))
 
 
+def n11_notebooks(spark, sf_dir):
+    """N.11: every source as a notebook (a heading, its paragraphs as code cells, their lines as the cells' lines), written
+    as JSON and read back."""
+    f = files(spark, sf_dir).where("code is not null")
+    kept = lambda p: F.transform(F.split(p, "\n"), lambda x, i: F.when(i > 0, F.concat(F.lit("\n"), x)).otherwise(x))
+    cells = F.transform(F.split("code", "\n\n"), lambda p: F.struct(F.lit("code").alias("cell_type"), kept(p).alias("source")))
+    head = F.array(F.struct(F.lit("markdown").alias("cell_type"), F.array(F.col("path")).alias("source")))
+    return notebook_code(f.select(F.col("file_id").alias("id"), F.to_json(F.struct(F.concat(head, cells).alias("cells"))).alias("body")))
+
+
 # ---- diffs, call graph, traces
 
 
-def _diff_lines(spark, sf_dir):
-    b = table(spark, sf_dir, "bug_dataset").where(F.col("source").rlike(r"(?m)^@@ -\d+")).select(F.col("record_id").alias("id"), F.posexplode(F.split("source", "\n")).alias("pos", "line"))
+def diff_lines(spark, sf_dir):
+    b = table(spark, sf_dir, "bug_dataset").where(F.col("source").rlike(r"(?m)^@@ -\d+")).select(F.col("record_id").alias("id"), language(F.col("code_lang"), F.col("file")).alias("lang"), F.posexplode(F.split("source", "\n")).alias("pos", "line"))
     o = W.partitionBy("id").orderBy("pos")
     b = b.withColumn("hunk", F.count_if(F.col("line").startswith("@@ ")).over(o)).where("hunk > 0")
     start = F.regexp_extract("line", r"^@@ -(\d+)(?:,\d+)? \+(\d+)", 2)
@@ -218,7 +252,7 @@ RISKY, SAFE = r"\b(?:eval|exec|system|popen|pickle|query|open)\b", r"\b(?:assert
 
 def d20_hunks(spark, sf_dir):
     """D.20, D.22, L.1: hunks of unified diffs with added, deleted and context lines and a risk in 0..1."""
-    x = _diff_lines(spark, sf_dir).where(~F.col("line").startswith("@@ "))
+    x = diff_lines(spark, sf_dir).where(~F.col("line").startswith("@@ "))
     add, dele = F.col("line").startswith("+"), F.col("line").startswith("-")
     hits = lambda c, rx: F.sum(F.when(c, F.size(F.regexp_extract_all("line", F.lit(rx), F.lit(0)))).otherwise(0))
     g = x.groupBy("id", "hunk").agg(F.count_if(add).alias("added"), F.count_if(dele).alias("deleted"), F.count_if(~add & ~dele).alias("context"), hits(add, RISKY).alias("ra"), hits(dele, RISKY).alias("rd"), hits(add, SAFE).alias("sa"))
@@ -228,7 +262,7 @@ def d20_hunks(spark, sf_dir):
 
 def d21_new_lines(spark, sf_dir):
     """D.21: new-file line number of each added line of a diff."""
-    x = _diff_lines(spark, sf_dir).where(~F.col("line").startswith("@@ "))
+    x = diff_lines(spark, sf_dir).where(~F.col("line").startswith("@@ "))
     step = F.when(F.col("line").startswith("-"), 0).otherwise(1)
     n = F.col("start") - 1 + F.sum(step).over(W.partitionBy("id", "hunk").orderBy("pos"))
     return x.select("id", "pos", n.alias("lineno"), "line").where(F.col("line").startswith("+")).select("id", "pos", "lineno")
@@ -277,9 +311,9 @@ b AS (SELECT file_id, block, md5(o) AS fp, md5(regexp_replace(regexp_replace(o,
 _W = "w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL)"
 _T3 = _W + ", t AS (SELECT doc_id, pos, lag(word, 2) OVER o AS a, lag(word) OVER o AS b, word AS c FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos))"
 _PPL = (
-    _T3
-    + ", ft AS (SELECT * FROM t WHERE doc_id % 2 = 0), tri AS (SELECT a, b, c, count(*) AS n3 FROM ft WHERE a IS NOT NULL GROUP BY ALL), c2 AS (SELECT a, b, sum(n3) AS c2 FROM tri GROUP BY ALL), bi AS (SELECT b, c, count(*) AS n2 FROM ft WHERE b IS NOT NULL GROUP BY ALL), c1 AS (SELECT b, sum(n2) AS c1 FROM bi GROUP BY ALL), un AS (SELECT c, count(*) AS n1 FROM ft GROUP BY ALL), v AS (SELECT count(*) AS v, sum(n1) AS total FROM un),"
-    + " x AS (SELECT t.doc_id, n3, CASE WHEN c2 IS NOT NULL THEN (coalesce(n3, 0) + 0.1) / (c2 + 0.1 * v) WHEN c1 IS NOT NULL THEN (coalesce(n2, 0) + 0.1) / (c1 + 0.1 * v) ELSE (coalesce(n1, 0) + 0.1) / (total + 0.1 * v) END AS p FROM (SELECT * FROM t WHERE doc_id % 2 = 1) t LEFT JOIN tri ON tri.a = t.a AND tri.b = t.b AND tri.c = t.c LEFT JOIN c2 ON c2.a = t.a AND c2.b = t.b LEFT JOIN bi ON bi.b = t.b AND bi.c = t.c LEFT JOIN c1 ON c1.b = t.b LEFT JOIN un ON un.c = t.c, v),"
+    _T3.replace("doc_id, pos,", "doc_id, doc_id % 2 <> 0 AS odd, pos,")
+    + ", ft AS (SELECT * REPLACE (NOT odd AS odd) FROM t), tri AS (SELECT odd, a, b, c, count(*) AS n3 FROM ft WHERE a IS NOT NULL GROUP BY ALL), c2 AS (SELECT odd, a, b, sum(n3) AS c2 FROM tri GROUP BY ALL), bi AS (SELECT odd, b, c, count(*) AS n2 FROM ft WHERE b IS NOT NULL GROUP BY ALL), c1 AS (SELECT odd, b, sum(n2) AS c1 FROM bi GROUP BY ALL), un AS (SELECT odd, c, count(*) AS n1 FROM ft GROUP BY ALL), v AS (SELECT odd, count(*) AS v, sum(n1) AS total FROM un GROUP BY odd),"
+    + " x AS (SELECT t.doc_id, n3, CASE WHEN c2 IS NOT NULL THEN (coalesce(n3, 0) + 0.1) / (c2 + 0.1 * v) WHEN c1 IS NOT NULL THEN (coalesce(n2, 0) + 0.1) / (c1 + 0.1 * v) ELSE (coalesce(n1, 0) + 0.1) / (total + 0.1 * v) END AS p FROM t LEFT JOIN tri ON tri.odd = t.odd AND tri.a = t.a AND tri.b = t.b AND tri.c = t.c LEFT JOIN c2 ON c2.odd = t.odd AND c2.a = t.a AND c2.b = t.b LEFT JOIN bi ON bi.odd = t.odd AND bi.b = t.b AND bi.c = t.c LEFT JOIN c1 ON c1.odd = t.odd AND c1.b = t.b LEFT JOIN un ON un.odd = t.odd AND un.c = t.c JOIN v ON v.odd = t.odd),"
     + " pp AS (SELECT doc_id, round(exp(-avg(ln(CAST(p AS DOUBLE)))), 3) AS perplexity, round(avg(CAST(n3 IS NOT NULL AS DOUBLE)), 5) AS coverage FROM x GROUP BY 1)"
 )
 _DIFF = r"d0 AS (SELECT record_id AS id, unnest(string_split(source, chr(10))) AS line, generate_subscripts(string_split(source, chr(10)), 1) - 1 AS pos FROM bug_dataset WHERE regexp_matches(source, '(?m)^@@ -\d+')), d1 AS (SELECT *, count_if(starts_with(line, '@@ ')) OVER (PARTITION BY id ORDER BY pos) AS hunk FROM d0), d2 AS (SELECT *, max(CASE WHEN starts_with(line, '@@ ') THEN CAST(regexp_extract(line, '^@@ -(\d+)(?:,\d+)? \+(\d+)', 2) AS BIGINT) END) OVER (PARTITION BY id, hunk) AS start FROM d1 WHERE hunk > 0), d AS (SELECT * FROM d2 WHERE NOT starts_with(line, '@@ '))"
@@ -289,10 +323,11 @@ ORACLE = {
     "i4_cross_file": f"WITH {_B}, k AS (SELECT norm_fp, count(*) AS n, count(DISTINCT file_id) AS nf FROM b GROUP BY 1), g AS (SELECT CAST(sum(n) AS BIGINT) AS blocks, CAST(coalesce(sum(CASE WHEN nf > 1 THEN n END), 0) AS BIGINT) AS involved FROM k) SELECT *, round(involved / blocks, 6) AS clone_rate, round(least(100.0, 150 * involved / blocks), 4) AS duplication FROM g",
     "h16_duplication_debt": f"WITH {_B}, k AS (SELECT file_id, count(*) OVER (PARTITION BY fp) AS ne, count(*) OVER (PARTITION BY norm_fp) AS nr FROM b) SELECT file_id, CAST(sum(CASE WHEN ne > 1 THEN 30 WHEN nr > ne THEN 20 ELSE 0 END) AS BIGINT) AS minutes FROM k GROUP BY 1",
     "i2_nearest": "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.id, b.id AS neighbour, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM v a JOIN v b ON a.id % 20 = 0 AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, neighbour) AS place FROM s) SELECT id, neighbour, s AS similarity, place FROM r WHERE place <= 5",
-    "n2_tfidf": f"WITH {_W}, tf AS (SELECT doc_id, word, count(*) AS c FROM w GROUP BY 1, 2), tt AS (SELECT doc_id, sum(c) AS total FROM tf GROUP BY 1), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1 ORDER BY df DESC, word LIMIT 512), x AS (SELECT doc_id, word, c / total * (ln(((SELECT count(*) FROM tt) + 1) / (df + 1)) + 1) AS w FROM tf JOIN df USING (word) JOIN tt USING (doc_id)) SELECT doc_id, word, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 5) AS weight FROM x",
+    "n2_tfidf": r"WITH a AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) AS word FROM a), tf AS (SELECT doc_id, word, count(*) AS c FROM w GROUP BY 1, 2), tt AS (SELECT doc_id, sum(c) AS total FROM tf GROUP BY 1), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1 ORDER BY df DESC, word LIMIT 512), x AS (SELECT doc_id, word, c / total * (ln(((SELECT count(*) FROM tt) + 1) / (df + 1)) + 1) AS w FROM tf JOIN df USING (word) JOIN tt USING (doc_id)) SELECT doc_id, word, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 5) AS weight FROM x",
     "n3_trigrams": f"WITH {_T3} SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY ALL HAVING count(*) >= 3",
     "n5_perplexity": f"WITH {_PPL} SELECT * FROM pp",
     "n6_calibrated": f"WITH {_PPL}, q AS (SELECT quantile_cont(perplexity, 0.25) AS q1, quantile_cont(perplexity, 0.5) AS q2, quantile_cont(perplexity, 0.75) AS q3 FROM pp) SELECT doc_id, round(1 / (1 + exp(-(perplexity - q2) / greatest((q3 - q1) / 1.35, 1.0))), 5) AS score FROM pp, q",
+    "n11_notebooks": f"SELECT file_id AS id, code FROM {FILES} WHERE code IS NOT NULL",
     "n12_cache_keys": f"SELECT file_id, sha256(path || chr(0) || code) AS key FROM {FILES} WHERE code IS NOT NULL",
     "d20_hunks": rf"WITH {_DIFF}, g AS (SELECT id, CAST(hunk AS BIGINT) AS hunk, CAST(count_if(starts_with(line, '+')) AS BIGINT) AS added, CAST(count_if(starts_with(line, '-')) AS BIGINT) AS deleted, CAST(count_if(NOT starts_with(line, '+') AND NOT starts_with(line, '-')) AS BIGINT) AS context, sum(CASE WHEN starts_with(line, '+') THEN len(regexp_extract_all(line, '{RISKY}')) ELSE 0 END) - sum(CASE WHEN starts_with(line, '-') THEN len(regexp_extract_all(line, '{RISKY}')) ELSE 0 END) - sum(CASE WHEN starts_with(line, '+') THEN len(regexp_extract_all(line, '{SAFE}')) ELSE 0 END) AS r FROM d GROUP BY 1, 2) SELECT id, hunk, added, deleted, context, round(greatest(0.0, least(1.0, r / greatest(1, added))), 6) AS risk FROM g",
     "d21_new_lines": f"WITH {_DIFF}, n AS (SELECT id, pos, line, start - 1 + sum(CASE WHEN starts_with(line, '-') THEN 0 ELSE 1 END) OVER (PARTITION BY id, hunk ORDER BY pos) AS lineno FROM d) SELECT id, CAST(pos AS INT) AS pos, CAST(lineno AS BIGINT) AS lineno FROM n WHERE starts_with(line, '+')",

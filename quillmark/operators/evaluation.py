@@ -1,7 +1,7 @@
 """Evaluation statistics over (id, group, y, score, size): ranking, calibration, shift, significance (L, N, O).
 
-Ranks over all rows are never taken by one task: rows are first numbered within score bands, and bands are
-offset by the bands above (``ranked``).
+Ranks over all rows are never taken by one task: rows are numbered within ranges of (score, id), and ranges are
+offset by those before (``skew.in_order``).
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions.normalize import repo_key
+from quillmark.operators.skew import in_order
 from quillmark.sources.tables import table
 
 
@@ -25,45 +26,11 @@ def scored(spark, sf_dir) -> DataFrame:
 S = r"""s AS (SELECT record_id AS id, coalesce(nullif(regexp_extract(regexp_replace(lower(trim(repo)), '(?:/|\.git)+$', ''), '([^/:@\s]+)/([^/\s]+)$', 0), ''), 'none') AS grp, CAST(label AS INT) AS y,
  round(least(1.0, 0.3 * coalesce(git_features.entropy, 0.0) / 3 + 0.4 * coalesce(git_features.n_past_bugs, 0.0) / 10 + 0.3 * coalesce(git_features.code_churn, 0.0) / 200), 4) AS score, greatest(1.0, coalesce(git_features.lines_touched, 0.0)) AS size FROM bug_dataset WHERE label IS NOT NULL)"""
 R = S + ", r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rn FROM s), p AS (SELECT *, sum(y) OVER (ORDER BY rn) AS hits, (SELECT count(*) FROM s) AS n, (SELECT sum(y) FROM s) AS pos FROM r)"
-BAND_ROWS, LEAST_BANDS, MOST_BANDS = 500_000, 16, 1024
-
-
-def ranked(df: DataFrame, value: str = "score", sums: tuple[str, ...] = ("y",), bands: int | None = None) -> DataFrame:
-    """rn (1 for the greatest ``value``, ties by id) and cum_<c> (running sum of c up to the row) for each of ``sums``.
-
-    Bands are ranges of ``value`` between approximate quantiles, about BAND_ROWS rows each; their counts and sums
-    offset the numbers within them, so each task sorts one band.  ``n`` is the number of all rows.
-    """
-    bands = bands or min(MOST_BANDS, max(LEAST_BANDS, df.count() // BAND_ROWS))
-    cuts = sorted(set(df.approxQuantile(value, [i / bands for i in range(1, bands)], 0.5 / bands)))
-
-    def search(lo: int, hi: int) -> str:
-        """SQL of a binary search: the number of cuts at or below the value."""
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"CASE WHEN `{value}` < {float(cuts[mid])!r}D THEN {search(lo, mid)} ELSE {search(mid + 1, hi)} END"
-
-    # no array function with a lambda here: as a join key it would be evaluated on the wrong side
-    df = df.withColumn("_b", F.expr(f"CASE WHEN `{value}` IS NULL THEN -1 ELSE {search(0, len(cuts))} END"))
-    per = df.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_s_{c}") for c in sums))
-    # at most ``bands`` rows reach the driver
-    found = sorted(per.collect(), key=lambda r: -r["_b"])
-    whole = sum(r["_n"] for r in found)
-    offs, seen, totals = [], 0, [0] * len(sums)
-    for r in found:
-        offs.append((r["_b"], seen, whole, *totals))
-        seen += r["_n"]
-        totals = [t + (r[f"_s_{c}"] or 0) for t, c in zip(totals, sums)]
-    kinds = [per.schema[f"_s_{c}"].dataType.simpleString() for c in sums]
-    offs = [(*o[:3], *(float(x) if k == "double" else x for x, k in zip(o[3:], kinds))) for o in offs]
-    offs = df.sparkSession.createDataFrame(offs, "_ob int, _o long, n long" + "".join(f", _o_{c} {k}" for c, k in zip(sums, kinds)))
-    w = W.partitionBy("_b").orderBy(F.desc(value), "id")
-    j = df.join(F.broadcast(offs), F.col("_b") == F.col("_ob"))
-    out = j.withColumn("rn", F.col("_o") + F.row_number().over(w))
-    for c in sums:
-        out = out.withColumn(f"cum_{c}", F.col(f"_o_{c}") + F.sum(c).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return out.drop("_b", "_o", "_ob", *(f"_o_{c}" for c in sums))
+
+
+def ranked(df: DataFrame, value: str = "score", sums: tuple[str, ...] = ("y",), parts: int | None = None) -> DataFrame:
+    """rn (1 for the greatest ``value``, ties by id), n (all rows) and cum_<c> (running sum of c up to the row) for each of ``sums``."""
+    return in_order(df, [F.desc(value), F.asc("id")], sums, parts)
 
 
 def average_ranks(df: DataFrame, value: str, part: list[str] | None = None, out: str = "rank") -> DataFrame:

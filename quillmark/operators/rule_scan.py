@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from quillmark.functions import rules as R
 from quillmark.functions import text as T
 from quillmark.functions.normalize import language
-from quillmark.operators.text_metrics import SQL_LINES, files
+from quillmark.operators.clones import diff_lines
+from quillmark.operators.text_metrics import SQL_LINES, c8_suppressions, files
 from quillmark.sources.tables import table
 
 def _text(s: str) -> str:
@@ -51,10 +52,18 @@ def python_line_hits() -> str:
     return _hits(items)
 
 
-def scan_lines(df: DataFrame) -> DataFrame:
+def scan_lines(df: DataFrame, context: bool = False) -> DataFrame:
     """F.3, F.5-F.16: file_id, lineno, vuln_type, severity, confidence, cwe, rule_ord for rows of file_id,
-    language, code.  Per line and type the first rule counts.  Unknown languages are scanned as Python."""
-    ls = df.where("code is not null").select("file_id", "language", F.posexplode(T.lines(F.col("code"))).alias("pos", "line"))
+    language, code.  Per line and type the first rule counts.  Unknown languages are scanned as Python.
+
+    F.17: ``context`` adds snippet, the line with one line before and after, joined by line breaks.
+    One pass without a shuffle: the hits of a line are one array, in the order of the rules.
+    """
+    lines = F.transform(T.lines(F.col("code")), lambda x: F.struct(x.alias("line")))
+    if context:
+        ls = T.lines(F.col("code"))
+        lines = F.transform(ls, lambda x, i: F.struct(x.alias("line"), F.get(ls, i - 1).alias("before"), F.get(ls, i + 1).alias("after")))
+    ls = df.where("code is not null").select("file_id", "language", F.posexplode(lines).alias("pos", "l")).select("file_id", "language", "pos", "l.*")
     ls = ls.withColumns(
         {
             "code_line": F.col("line").rlike(r"\S") & ~F.trim("line").startswith("//") & ~F.trim("line").startswith("*"),
@@ -62,18 +71,12 @@ def scan_lines(df: DataFrame) -> DataFrame:
         }
     )
     cases = " ".join(f"WHEN '{lang}' THEN {line_hits(lang)}" for lang in sorted(R.BY_LANGUAGE))
-    hits = F.expr(f"CASE language {cases} ELSE {python_line_hits()} END")
-    found = ls.select("file_id", (F.col("pos") + 1).cast("long").alias("lineno"), F.explode(hits).alias("f"))
-    first = W.partitionBy("file_id", "lineno", "f.vuln_type").orderBy("f.rule_ord")
-    return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("file_id", "lineno", "f.*")
-
-
-def with_context(df: DataFrame, findings: DataFrame) -> DataFrame:
-    """F.17: each finding's line with one line before and after, joined by line breaks."""
-    ls = df.where("code is not null").select("file_id", T.lines(F.col("code")).alias("ls"))
-    return findings.join(ls, "file_id").withColumn(
-        "snippet", F.array_join(F.slice("ls", F.greatest(F.lit(1), F.col("lineno").cast("int") - 1), F.when(F.col("lineno") > 1, 3).otherwise(2)), "\n")
-    ).drop("ls")
+    found = ls.withColumn("hits", F.expr(f"CASE language {cases} ELSE {python_line_hits()} END")).where("size(hits) > 0")
+    kinds = F.transform("hits", lambda h: h["vuln_type"])
+    first = F.filter("hits", lambda h, i: F.array_position(kinds, h["vuln_type"]) == i + 1)
+    out = found.select("file_id", (F.col("pos") + 1).cast("long").alias("lineno"), *(["before", "line", "after"] if context else []), F.explode(first).alias("f"))
+    snippet = [F.concat_ws("\n", "before", "line", "after").alias("snippet")] if context else []
+    return out.select("file_id", "lineno", "f.*", *snippet)
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:
@@ -99,8 +102,7 @@ def f5_rule_scan(spark, sf_dir):
 
 
 def f17_snippets(spark, sf_dir):
-    f = _files(spark, sf_dir)
-    return with_context(f, scan_lines(f).select("file_id", "lineno", "vuln_type"))
+    return scan_lines(_files(spark, sf_dir), context=True).select("file_id", "lineno", "vuln_type", "snippet")
 
 
 def f16_severity_report(spark, sf_dir):
@@ -108,10 +110,10 @@ def f16_severity_report(spark, sf_dir):
 
 
 def c9_unsuppressed(spark, sf_dir):
-    """C.9: findings left after global and per-line suppression (a left-anti join; an empty rule list holds all)."""
-    found = _findings(spark, sf_dir)
-    marks = found.where("lineno % 7 = 0").select("file_id", "lineno", F.when(F.col("lineno") % 14 == 0, F.lit("*")).otherwise(F.lit("xss")).alias("rule")).distinct()
-    return suppress(found, marks, ["debug_output"]).select("finding_id", "vuln_type")
+    """C.9: findings left after global suppression and that by comments of C.8 on their line (a left-anti join; a
+    comment without rules holds for all)."""
+    marks = c8_suppressions(spark, sf_dir).select("file_id", "lineno", F.explode(F.when(F.size("rules") > 0, F.col("rules")).otherwise(F.array(F.lit("*")))).alias("rule"))
+    return suppress(_findings(spark, sf_dir), marks.distinct(), ["debug_output"]).select("finding_id", "vuln_type")
 
 
 def suppress(findings: DataFrame, marks: DataFrame, global_rules: list[str]) -> DataFrame:
@@ -192,10 +194,16 @@ def l12_ranked_findings(spark, sf_dir):
 
 
 def l14_changed_line_findings(spark, sf_dir):
-    """L.14: findings on changed lines only (semi join on file and line)."""
-    f = _findings(spark, sf_dir).where("file_id is not null")
-    changed = f.where("finding_id % 2 = 0").select("file_id", "lineno").distinct()
-    return f.join(changed, ["file_id", "lineno"], "left_semi").select("finding_id", "file_id", "lineno")
+    """L.14: the rule scan's findings in the new side of each diff (D.20), on changed lines (D.21) only (semi join)."""
+    lines = diff_lines(spark, sf_dir).where(~F.col("line").startswith("@@ "))
+    step = F.when(F.col("line").startswith("-"), 0).otherwise(1)
+    lines = lines.withColumn("new", F.col("start") - 1 + F.sum(step).over(W.partitionBy("id", "hunk").orderBy("pos"))).where(~F.col("line").startswith("-"))
+    side = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.substring(x["line"], 2, 1 << 30))
+    code = lines.groupBy(F.col("id").alias("file_id"), F.col("lang").alias("language")).agg(F.array_join(side, "\n").alias("code"))
+    found = scan_lines(code).select("file_id", F.col("lineno").alias("nth"), "vuln_type", "severity")
+    nth = F.row_number().over(W.partitionBy("id").orderBy("pos")).cast("long")
+    changed = lines.select(F.col("id").alias("file_id"), nth.alias("nth"), F.col("new").alias("lineno"), F.col("line").startswith("+").alias("added"))
+    return found.join(changed.where("added"), ["file_id", "nth"]).select("file_id", "lineno", "vuln_type", "severity")
 
 
 def m5_real_and_false(spark, sf_dir):
@@ -258,8 +266,11 @@ ORACLE = {
     "f17_snippets": _SCAN + " SELECT found.file_id, lineno, vuln_type, array_to_string(ls[greatest(1, lineno - 1):lineno + 1], chr(10)) AS snippet FROM found JOIN ff USING (file_id)",
     "f16_severity_report": _SCAN
     + ", c AS (SELECT file_id, count_if(severity = 'critical')::BIGINT AS critical, count_if(severity = 'high')::BIGINT AS high, count_if(severity = 'medium')::BIGINT AS medium, count_if(severity = 'low')::BIGINT AS low, count(*) AS total FROM found GROUP BY 1), d AS (SELECT *, CAST(greatest(0, 100 - 40 * critical - 25 * high - 12 * medium - 5 * low) AS BIGINT) AS score FROM c) SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 45 THEN 'D' ELSE 'F' END AS grade FROM d",
-    "c9_unsuppressed": _SF
-    + " SELECT finding_id, vuln_type FROM s WHERE vuln_type <> 'debug_output' AND NOT (file_id IS NOT NULL AND (lineno % 14 = 0 OR (lineno % 7 = 0 AND vuln_type = 'xss')))",
+    "c9_unsuppressed": _F
+    + ", "
+    + _SF[5:]
+    + r""", m AS (SELECT file_id, lineno, list_filter(list_transform(string_split(regexp_extract(line, '#\s*codescan:\s*ignore(?:\[([^\]]*)\])?', 1), ','), lambda x: trim(x)), lambda x: x <> '') AS rules FROM l WHERE regexp_matches(line, '#\s*codescan:\s*ignore'))
+ SELECT finding_id, vuln_type FROM s WHERE vuln_type <> 'debug_output' AND NOT EXISTS (SELECT 1 FROM m WHERE m.file_id = s.file_id AND m.lineno = s.lineno AND (len(rules) = 0 OR list_contains(rules, s.vuln_type)))""",
     "c12_quality_gate": _SF
     + ", g(gate_severity, gate_confidence, gate_count) AS (VALUES ('critical', 0.5::DOUBLE, 10), ('high', 0.9, 50), ('low', 0.99, 5)), n AS (SELECT g.*, (SELECT count(*) FROM s WHERE severity = gate_severity AND confidence >= gate_confidence) AS n FROM g) SELECT *, n >= gate_count AS fails FROM n",
     "c16_decisions": _F
@@ -277,7 +288,6 @@ CASE WHEN regexp_matches(vuln_type, 'secret|injection|xss|hash|deserial|traversa
     "b6_annotations": _SF
     + " SELECT finding_id, file_id, lineno AS start_line, CASE WHEN severity IN ('critical','high') THEN 'failure' WHEN severity = 'medium' THEN 'warning' ELSE 'notice' END AS annotation_level FROM s WHERE file_id IS NOT NULL",
     "l12_ranked_findings": _SF + f" SELECT finding_id, row_number() OVER (PARTITION BY file_id ORDER BY {_RANK}, lineno, finding_id) AS place FROM s WHERE file_id IS NOT NULL",
-    "l14_changed_line_findings": _SF + " SELECT finding_id, file_id, lineno FROM s WHERE file_id IS NOT NULL AND EXISTS (SELECT 1 FROM s t WHERE t.file_id = s.file_id AND t.lineno = s.lineno AND t.finding_id % 2 = 0)",
     "m5_real_and_false": _SF
     + r" SELECT severity, count_if(NOT regexp_matches(snippet, 'os\.environ|getenv|process\.env|<[a-z-]+>|\$\{'))::BIGINT AS n_real, count_if(regexp_matches(snippet, 'os\.environ|getenv|process\.env|<[a-z-]+>|\$\{'))::BIGINT AS n_false FROM s GROUP BY 1",
     "c5_hard_negatives": _F

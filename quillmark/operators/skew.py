@@ -77,6 +77,32 @@ def join_heavy(df: DataFrame, small: DataFrame, on: list[str], rows: str, total:
     return there.unionByName(rest)
 
 
+def in_order(df: DataFrame, order: list[Column], sums: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """Add rn (1, 2, ... over all rows in ``order``), n (all rows) and cum_<c> (running sum of c up to the row).
+
+    Rows are cut into ranges of the whole order, ties included, so ``order`` should end in an id: no task sorts more than
+    its range, however many rows share a value.  The ranges are written once, so numbers hold when a task runs again;
+    their counts and sums (one row a range) offset the numbers within.
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = materialize(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ordered")
+    per = t.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_s_{c}") for c in sums))
+    kinds = [per.schema[f"_s_{c}"].dataType.simpleString() for c in sums]
+    found = sorted(per.collect(), key=lambda r: r["_p"])
+    offsets, seen, totals = [], 0, [0.0 if k == "double" else 0 for k in kinds]
+    for r in found:
+        offsets.append((r["_p"], seen, *totals))
+        seen += r["_n"]
+        totals = [t + (r[f"_s_{c}"] or 0) for t, c in zip(totals, sums)]
+    offsets = spark.createDataFrame(offsets, "_p int, _o long" + "".join(f", _o_{c} {k}" for c, k in zip(sums, kinds)))
+    w = W.partitionBy("_p").orderBy(*order)
+    out = t.join(F.broadcast(offsets), "_p").withColumns({"rn": F.col("_o") + F.row_number().over(w), "n": F.lit(seen).cast("long")})
+    for c in sums:
+        out = out.withColumn(f"cum_{c}", F.col(f"_o_{c}") + F.sum(c).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return out.drop("_p", "_o", *(f"_o_{c}" for c in sums))
+
+
 def chunked_results(
     df: DataFrame, key: str, measures: dict[str, Column], merges: dict[str, Column], chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -54,13 +55,13 @@ def metrics_of(code: str) -> list[tuple]:
     n, h = P.line_counts(code, tree), P.halstead(code)
     if tree is None:
         return [(False, 1, 0, 0, 0.0, n["total"], n["sloc"], n["comment"], n["blank"], 0, h["volume"], h["difficulty"], h["effort"], h["bugs"], 0, 0, 0, 0, 0, 0, 0, 0)]
-    funcs = [x for x in ast.walk(tree) if isinstance(x, P.FUNCS)]
+    kinds = Counter(map(type, P.walk(tree)))
+    funcs = [x for x in P.walk(tree) if isinstance(x, P.FUNCS)]
     cc = [P.cyclomatic(f) for f in funcs]
-    count = lambda *t: sum(isinstance(x, t) for x in ast.walk(tree))
     return [(
         True, P.cyclomatic(tree), P.cognitive(tree), max(cc, default=0), sum(cc) / len(cc) if cc else 0.0, n["total"], n["sloc"], n["comment"], n["blank"], n["docstring"],
-        h["volume"], h["difficulty"], h["effort"], h["bugs"], len(funcs), count(ast.ClassDef), sum(f.end_lineno - f.lineno >= 50 for f in funcs), sum(c > 10 for c in cc),
-        P.depth_of(tree), count(ast.Call), count(ast.Import, ast.ImportFrom), count(ast.Try),
+        h["volume"], h["difficulty"], h["effort"], h["bugs"], len(funcs), kinds[ast.ClassDef], sum(f.end_lineno - f.lineno >= 50 for f in funcs), sum(c > 10 for c in cc),
+        P.depth_of(tree), kinds[ast.Call], kinds[ast.Import] + kinds[ast.ImportFrom], kinds[ast.Try],
     )]
 
 
@@ -72,7 +73,7 @@ def functions_of(code: str) -> list[tuple]:
     """E.2, E.28, E.29, E.31, E.32, D.26: each function with its measures and smells."""
     tree = P.parse(code)
     out = []
-    for f in ast.walk(tree) if tree else ():
+    for f in P.walk(tree) if tree else ():
         if isinstance(f, P.FUNCS):
             cc, cog, size, n = P.cyclomatic(f), P.cognitive(f), f.end_lineno - f.lineno + 1, P.params(f)
             smells = [s for s, hit in (("long_method", size > 30), ("long_parameter_list", n > 4), ("complex_method", cc > 10), ("deep_nesting", P.depth_of(f) > 3)) if hit]
@@ -245,8 +246,8 @@ def generic_of(code: str, lang: str) -> tuple:
 
 
 def e8_generic_metrics(spark, sf_dir):
-    """Metrics of the files in a language of GENERIC."""
-    f = files(spark, sf_dir).withColumn("lang", language(F.col("language"), F.col("path"))).where(F.col("lang").isin(sorted(GENERIC)))
+    """Metrics of the files in a language of GENERIC; null sources give none, an empty one the values of no line."""
+    f = files(spark, sf_dir).withColumn("lang", language(F.col("language"), F.col("path"))).where(F.col("lang").isin(sorted(GENERIC)) & F.col("code").isNotNull())
     packed = f.select("file_id", F.concat_ws("\n", "lang", "code").alias("code"))
     return per_source(packed, "lang string, sloc long, comment long, blank long, cyclomatic long, cognitive long", lambda c: [(c.partition("\n")[0], *generic_of(c.partition("\n")[2], c.partition("\n")[0]))])
 

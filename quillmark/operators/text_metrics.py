@@ -166,14 +166,9 @@ def d28_string_literals(spark, sf_dir):
     )
 
 
-def c8_suppressions(spark, sf_dir):
-    """C.8: inline comments ``# <tool>: ignore[rule, ...]`` per line; an empty list suppresses all rules."""
-    return suppressions(SUPPRESSED(spark), "codescan")
-
-
-def SUPPRESSED(spark: SparkSession) -> DataFrame:
-    text = "x = eval(y)  # codescan: ignore[code_injection, xss]\nz = 1\nq = exec(a)  # codescan: ignore\n"
-    return spark.createDataFrame([(1, text), (2, None), (3, "")], "file_id long, code string")
+def c8_suppressions(spark, sf_dir, tool: str = "codescan"):
+    """C.8: inline comments ``# <tool>: ignore[rule, ...]`` of every source; an empty list suppresses all rules."""
+    return suppressions(files(spark, sf_dir), tool)
 
 
 def suppressions(df: DataFrame, tool: str) -> DataFrame:
@@ -194,6 +189,8 @@ _EXT = "CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) " + " ".join(f"WHEN
 _TOK = "SELECT unnest(regexp_extract_all(code, '[A-Za-z_][A-Za-z0-9_]*')) AS token FROM f"
 _VOCAB = "t AS (" + _TOK + "), v AS (SELECT token, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS id FROM t GROUP BY token QUALIFY id <= 9999)"
 ORACLE = {
+    "c8_suppressions": _L
+    + r", u AS (SELECT file_id, unnest(ls) AS line, CAST(generate_subscripts(ls, 1) AS BIGINT) AS lineno FROM l) SELECT file_id, lineno, list_filter(list_transform(string_split(regexp_extract(line, '#\s*codescan:\s*ignore(?:\[([^\]]*)\])?', 1), ','), lambda x: trim(x)), lambda x: x <> '') AS rules FROM u WHERE regexp_matches(line, '#\s*codescan:\s*ignore')",
     "d2_line_lengths": _L
     + f", n AS (SELECT file_id, list_transform({_NB}, lambda x: length(x)) AS n FROM l) SELECT file_id, coalesce(list_max(n), 0) AS max_len, round(coalesce(list_avg(n), 0.0), 4) AS avg_len, CAST(len(list_filter(n, lambda x: x > 80)) AS BIGINT) AS over_80 FROM n",
     "d24_loc": _L

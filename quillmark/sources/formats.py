@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quillmark.functions.normalize import language
 from quillmark.functions.text import detect_language
 from quillmark.sources.tables import shared_dir, table
 
@@ -71,7 +72,7 @@ def a5_csv_round_trip(spark, sf_dir):
 
 def a1_tree_scan(spark, sf_dir):
     """Files written to a folder, then scanned as a tree with language by extension."""
-    s = table(spark, sf_dir, "security_dataset").where("source is not null and code_lang = 'python'")
+    s = table(spark, sf_dir, "security_dataset").where(F.col("source").isNotNull() & (language(F.col("code_lang"), F.col("origin")) == "python"))
     path = _folder(spark, "tree")
     s.select(F.col("source").alias("value")).repartition(4).write.option("lineSep", "\n").text(path)
     t = read_tree(spark, path, "*.txt")

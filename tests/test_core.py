@@ -70,7 +70,7 @@ def test_ranks(spark):
     df = spark.createDataFrame(rows, "id long, score double, y int")
     want = sorted(rows, key=lambda r: (-r[1], r[0]))
     assert ranked(df).orderBy("rn").toPandas().id.tolist() == [r[0] for r in want]
-    got = ranked(df, bands=8).orderBy("rn").toPandas()
+    got = ranked(df, parts=8).orderBy("rn").toPandas()
     assert got.id.tolist() == [r[0] for r in want] and got.cum_y.tolist() == np.cumsum([r[2] for r in want]).tolist()
     ar = average_ranks(df, "score").toPandas()
     scores = np.array([r[1] for r in rows])
