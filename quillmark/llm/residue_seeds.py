@@ -369,6 +369,130 @@ too many redirects
 """
 
 
+# General material: messages of web servers, frameworks and databases, notices of empty pages, other filler generators.
+SERVER_PARTS = """
+{bad request|unauthorized|payment required|forbidden|method not allowed|not acceptable|request timeout|conflict|gone|length required|payload too large|unsupported media type|unprocessable entity|too many requests|internal server error|not implemented|bad gateway|service unavailable|gateway timeout|http version not supported|temporarily unavailable}
+http {status|error} 0{| -} {bad request|not found|forbidden|internal server error|bad gateway|service unavailable|unauthorized}
+the {requested url|requested resource|requested page|requested file|url} {was not found on this server|could not be found|cannot be found|is not available|has been moved|does not exist on this site}.
+{sorry|we are sorry|oops|we're sorry|apologies}, {the page you requested|this page|the page you are looking for|that page|what you are looking for} {was moved|was deleted|does not exist|cannot be found|may have been removed|is temporarily unavailable|no longer exists}.
+{it looks like|looks like|it seems} {nothing was found at this location|you are lost|the page has gone missing|you followed a broken link|this address was mistyped}.
+{the server|this server|our server|the web server} {encountered an internal error|encountered an unexpected condition|could not complete your request|was unable to handle this request|cannot process the request|is currently unable to handle the request} {due to a temporary overload|and was unable to complete your request|. please contact the administrator|because of maintenance}.
+{an error occurred|an unexpected error occurred|an unhandled exception occurred|an internal error occurred|a server error occurred} {while processing your request|while loading this page|on the server|during the execution of the current request}.
+{you exceeded|you have reached|your client has exceeded} the {rate limit|number of allowed requests|request quota}. {slow down|wait a moment|try again soon}.
+{something broke|something looks wrong|we could not complete your request|your request has failed}. {the administrator was notified|our team has been informed|please contact support|the error was logged}.
+{leider|hoppla,|entschuldigung,} {die gesuchte seite|die seite|die gewünschte adresse|dieses dokument} {ist nicht vorhanden|wurde nicht gefunden|konnte nicht gefunden werden|kann nicht angezeigt werden|ist nicht mehr verfügbar|existiert leider nicht}.
+{désolé,|oups,|nous sommes désolés,} {la page que vous cherchez|cette adresse|ce document|la page} {n'existe pas|n'existe plus|est introuvable|n'a pas été trouvée|n'est plus disponible|est indisponible pour le moment}.
+{lo sentimos,|vaya,|perdón,} {la página que buscas|esta dirección|el documento|la página solicitada} {no existe|ya no existe|no se encuentra|no está disponible|no se ha podido encontrar}.
+{siamo spiacenti,|spiacenti,|ci dispiace,} {la pagina che cerchi|questo indirizzo|la pagina} {non esiste|non è disponibile|non è stata trovata|non esiste più}.
+{uncaught|unhandled} {typeerror|referenceerror|rangeerror|exception|promise rejection}: {cannot read property of null|x is not defined|undefined is not a function|cannot set properties of undefined|failed to fetch}
+{application error|server error|runtime error|system error}: {a client exception was thrown|an exception has occurred|see the browser console|see the server logs} {while loading|for more details|for more information}
+"""
+SERVER = """
+apache/0 (debian) server at host.example port 0
+nginx/0
+additionally, a 404 not found error was encountered while trying to use an errordocument to handle the request.
+welcome to nginx! if you see this page, the web server is successfully installed and working.
+apache2 default page. this is the default welcome page used to test the correct operation of the server.
+index of /files parent directory name last modified size description
+fatal error: uncaught exception in /home/www/site/lib.php on line 0
+fatal error: call to undefined method in /var/www/app/core.php on line 0
+fatal error: allowed memory size of 0 bytes exhausted (tried to allocate 0 bytes) in /var/www/app/main.php on line 0
+parse error: syntax error, unexpected end of file in /var/www/html/page.php on line 0
+warning: include(header.php): failed to open stream: no such file or directory in /var/www/html/start.php on line 0
+warning: mysql_fetch_array() expects parameter 0 to be resource, boolean given in /home/site/list.php on line 0
+warning: cannot modify header information - headers already sent by (output started at /var/www/html/top.php:0)
+notice: undefined index: id in /var/www/html/show.php on line 0
+deprecated: function is deprecated in /var/www/html/util.php on line 0
+stack trace: #0 {main} thrown in /var/www/html/core.php on line 0
+database error: you have an error in your sql syntax; check the manual that corresponds to your mysql server version
+could not connect to the database server: access denied for user 'app'@'host' (using password: no)
+cannot establish a connection to the database. the database is down or the settings are wrong.
+sqlstate[0]: base table or view not found: 0 table 'shop.items' doesn't exist
+sqlstate[hy000]: general error: 0 server has gone away
+pg_connect(): unable to connect to postgresql server: could not connect to server: connection refused
+ora-0: unique constraint violated
+ora-0: invalid identifier
+ora-0: tns:listener does not currently know of service requested
+microsoft ole db provider for sql server error '0' timeout expired
+server error in '/' application. runtime error description: an application error occurred on the server.
+exception details: system.nullreferenceexception: object reference not set to an instance of an object.
+java.lang.illegalstateexception at org.apache.catalina.core.standardwrapper.service(standardwrapper.java:0)
+javax.servlet.servletexception: error instantiating servlet class http status 0
+exception in thread "main" java.lang.runtimeexception at com.example.app.main(app.java:0)
+django tried these url patterns, in this order. the current path didn't match any of these.
+you're seeing this error because you have debug = true in your settings file.
+we're sorry, but something went wrong (0). if you are the application owner check the logs for more information.
+whoops! there was an error. the page has expired due to inactivity.
+attention: one more step. complete the check to access the site. performance and security by the provider. ray id: 0
+sorry, you have been blocked. you are unable to access this site. why have i been blocked? this site uses a security service to protect itself.
+prove you are not a robot: tick the box and solve the puzzle to go on.
+unusual traffic from your network. please complete the captcha.
+your connection is not private. attackers might be trying to steal your information. net::err_cert_invalid
+no internet. try checking the network cables, modem and router. err_internet_disconnected
+this site can't provide a secure connection. sent an invalid response. err_ssl_protocol_error
+this content is not available in your country. the video is unavailable.
+the website is currently not available. account suspended. contact your hosting provider.
+this domain is for sale. this domain has expired. buy this domain.
+invalid hostname. invalid request. the request is badly formed. malformed request.
+this method is not supported for the resource. the server does not support the functionality.
+csrf verification failed. request aborted.
+session timed out. please log in again. you do not have access to this area.
+errore 404: pagina non trovata. la pagina che cerchi non esiste. la pagina richiesta non è disponibile.
+errore interno del server. riprova più tardi. accesso negato. sessione scaduta, effettua di nuovo l'accesso.
+erro 404: página não encontrada. a página solicitada não existe. erro interno do servidor. tente novamente mais tarde.
+fout 404: pagina niet gevonden. de opgevraagde pagina bestaat niet. interne serverfout. probeer het later opnieuw.
+die angeforderte seite wurde nicht gefunden. die seite wurde verschoben oder gelöscht. es ist ein fehler aufgetreten. ein interner fehler ist aufgetreten.
+ihre anmeldung ist abgelaufen. bitte melden sie sich neu an. der dienst ist vorübergehend nicht erreichbar. keine verbindung zur datenbank.
+la page demandée est introuvable. une erreur est survenue. une erreur interne s'est produite. votre session a expiré, veuillez vous reconnecter. service temporairement indisponible.
+la página solicitada no se ha encontrado. se ha producido un error. ha ocurrido un error inesperado. su sesión ha caducado, vuelva a iniciar sesión. servicio no disponible temporalmente.
+"""
+NOTICE_PARTS = """
+{page|site|website|article|more|details|description|information|text|documentation} {coming soon|coming shortly|to follow|will follow soon|in preparation|under construction|not yet available|will be added later}.
+{this page|this site|this website|this chapter|this article|the site} is {being built|being updated|being prepared|being written|still under construction|not ready yet|currently empty|a work in progress}. {come back soon|please check back later|check back soon|stay tuned|visit us again later}.
+{add|insert|enter|write|type|put|paste} {your|the|a} {text|title|content|description|name|company name|address|headline|summary|paragraph|introduction} {here|in this space|in this box|below}{.|}
+{click|tap|double click} {here|on the text|the button} to {edit|change|add|replace} {text|this text|your own content|the title|a description}.
+{replace|change|overwrite|delete} this {text|sample|example|block|heading|paragraph} {with your own|before publishing|with real content}.
+{this is|here is} {a sample|an example|a dummy|a placeholder|a test} {page|text|paragraph|post|heading|title}.
+{sample|dummy|example|placeholder|default} {page|title|heading|text|content|paragraph|description|image|caption} {0|a|goes here|for the layout}
+{please enable|enable|switch on|allow} {javascript|scripts} in your {browser|browser settings|settings} {to use|to view|for} this {website|site|page|app}.
+{diese website|unsere seite|der inhalt|dieses angebot} {benötigt|braucht|verwendet|setzt voraus:} javascript, {damit alles angezeigt werden kann|um richtig zu funktionieren|um dargestellt zu werden|bitte einschalten}.
+{ce site|notre page|le contenu} {utilise|exige|demande} javascript, {activez-le pour continuer|merci de l'activer|pour fonctionner correctement}.
+{este sitio|nuestra página|el contenido} {utiliza|precisa} javascript, {actívelo para continuar|para funcionar correctamente|para mostrarse bien}.
+{this website|our site|the app|the page|the application} {does not work properly|cannot run|will not work|needs} {without javascript|javascript enabled|if scripts are disabled}. {please enable it to continue|turn it on|please switch it on}.
+"""
+NOTICE = """
+hello world! welcome to your site. this is your first post. edit or delete it, then start writing.
+no content yet. nothing to see here. this space is intentionally left blank. no description provided. no description available.
+untitled. untitled page. untitled project. new document. section title. heading 0. subtitle here. your title here. type a paragraph.
+lorem here. text text text. content content content. todo. tbd. n/a. to be announced. to be defined. to be completed.
+hier entsteht in kürze ein neuer auftritt. diese seite befindet sich im aufbau. inhalt in vorbereitung. weitere informationen folgen in kürze. ihr text an dieser stelle.
+page en construction. contenu à venir. bientôt disponible. texte à rédiger. votre titre ici. page en cours de rédaction. revenez plus tard.
+página en construcción. próximamente. contenido en preparación. su texto aquí. título aquí. escriba su descripción. vuelva pronto.
+pagina in costruzione. contenuto in arrivo. inserisci qui il tuo testo. em construção. em breve. pagina in aanbouw. binnenkort beschikbaar.
+su navegador no permite javascript. javascript está deshabilitado. ihr browser unterstützt kein javascript oder es ist deaktiviert. votre navigateur ne prend pas en charge javascript. il tuo browser non supporta javascript. o seu navegador não suporta javascript.
+"""
+GENERATOR = """
+bacon dolor amet ribeye short loin pastrami meatball, flank beef ribs jowl sausage. ham pork chop brisket shank t-bone tenderloin turkey ground round. landjaeger salami capicola, biltong drumstick leberkas swine pork belly ham hock. jerky meatloaf venison prosciutto, chuck filet mignon bresaola corned beef, pancetta frankfurter turducken kielbasa spare ribs doner picanha.
+hipster fixie banjo kale chips, cold-pressed vinyl artisan typewriter. selvage raw denim small batch, single-origin coffee meditation church-key kombucha. pour-over pitchfork vegan keytar, craft beer mustache kickstarter sustainable tumblr.
+cupcake ipsum sweet roll candy canes chocolate bar. gummi bears tiramisu jelly beans, marzipan icing lollipop cheesecake bonbon.
+zombie ipsum reversus ab viral inferno, nam rick grimes malum cerebro. de carne lumbering animata corpora quaeritis.
+the quick brown fox jumps over a lazy dog. pack my box with five dozen liquor jugs. how vexingly quick daft zebras jump. sphinx of black quartz, judge my vow.
+zwölf boxkämpfer jagen viktor quer über den großen sylter deich. franz jagt im komplett verwahrlosten taxi quer durch bayern. weit hinten, hinter den wortbergen, fern der länder vokalien und konsonantien leben die blindtexte.
+portez ce vieux whisky au juge blond qui fume. el veloz murciélago hindú comía feliz cardillo y kiwi.
+neque porro quisquam est qui dolorem ipsum quia dolor sit amet consectetur adipisci velit. at vero eos et accusamus et iusto odio dignissimos ducimus qui blanditiis praesentium voluptatum. nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit. sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium totam rem aperiam. quis autem vel eum iure reprehenderit qui in ea voluptate velit esse quam nihil molestiae consequatur. temporibus autem quibusdam et aut officiis debitis aut rerum necessitatibus saepe eveniet.
+pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas. vestibulum ante ipsum primis in faucibus orci luctus et ultrices posuere cubilia curae. aenean commodo ligula eget dolor massa cum sociis natoque penatibus et magnis dis parturient montes nascetur ridiculus mus. donec quam felis ultricies nec pellentesque eu pretium quis sem. nullam dictum felis eu pede mollis pretium. phasellus viverra nulla ut metus varius laoreet. curabitur ullamcorper ultricies nisi nam eget dui etiam rhoncus maecenas tempus tellus eget condimentum.
+jkl; asdfghjkl qwertyuiop zxcvbnm abc abc abc yada yada yada yada na na na na hello hello hello hello testing testing one two three
+"""
+
+
+def shapes() -> str:
+    """Unfilled placeholders as ``residue.shape_lines`` writes them: each word as a, with the signs beside them."""
+    inner = ["a", "a_a", "a_a_a", "a a", "a a a", "a a a a", "a.a", "a-a"]
+    pairs = [("{{", "}}"), ("{{ ", " }}"), ("{% ", " %}"), ("<%= ", " %>"), ("${", "}"), ("<<", ">>"), ("[[", "]]"), ("@@", "@@"), ("__", "__"), ("$", "$"), ("%", "%"), ("{", "}"), ("[", "]"), ("<", ">")]
+    out = [f"{left}{b}{w}{e}{right}" for b, e in pairs for w in inner for left in "^ :" for right in "$ ,."]
+    return "\n".join(out + [f"{left}___{right}" for left in "^ :" for right in "$ ,."] * 8)
+
+
 def expand(text: str) -> str:
     """Each line once for every choice of its alternatives."""
     out = []
@@ -379,5 +503,7 @@ def expand(text: str) -> str:
 
 
 #: (phrases, phrases from parts): both halves weigh the same.
-PARTS = {"script": expand(SCRIPT_PARTS), "error": expand(ERROR_PARTS)}
-CLASSES = {"filler": FILLER, "form": FORM, "error": ERROR, "script": SCRIPT}
+PARTS = {"script": expand(SCRIPT_PARTS), "error": expand(ERROR_PARTS), "server": expand(SERVER_PARTS), "notice": expand(NOTICE_PARTS)}
+CLASSES = {"filler": FILLER, "form": FORM, "error": ERROR, "script": SCRIPT, "server": SERVER, "notice": NOTICE, "generator": GENERATOR, "shape": shapes()}
+#: Classes of general material, whose texts are met in other words more often than not.
+GENERAL = ("server", "notice", "generator")

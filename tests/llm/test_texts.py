@@ -3,6 +3,7 @@
 import ast
 import base64
 import random
+import re
 import sys
 import zlib
 
@@ -204,7 +205,7 @@ def test_shingles_against_sets():
 
 def test_residue_sentences():
     lines = residue.sentences("# T\n\nOwner: {{ owner }}\n`{{ shown }}`\n```\n${code}\n```\n404 - Not found")
-    assert any("@" in s for s in lines) and not any("code" in s or "shown" in s for s in lines)
+    assert any("@" in residue.shape_lines(s)[0] for s in lines) and not any("code" in s or "shown" in s for s in lines)
     prose = np.full(residue.BUCKETS, 1 / residue.BUCKETS)
     table = residue.ratios(prose)
     assert residue.judge(["dear @, the review of @ is complete."], table)[0] == "form"
@@ -341,3 +342,34 @@ def test_deep_nesting_is_no_fault():
             assert CHECKS[lang](source[: len(source) // 2]) != [], (lang, source[:20])
     finally:
         sys.setrecursionlimit(before)
+
+
+@pytest.fixture(scope="module")
+def residue_table():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    distinct = sorted({s for t in texts if t and not t.isspace() for s in residue.sentences(t)})
+    lines = [x for s in distinct for plain, found in [residue.shape_lines(s)] for x in (plain, *found)]
+    prose = np.bincount(residue.cells(lines)[0], minlength=residue.BUCKETS)
+    return residue.ratios(prose / prose.sum())
+
+
+def test_residue_in_other_words(residue_table):
+    from residue_texts import NATURAL, SEEN, UNSEEN
+
+    cut = lambda s: {x.strip().lower() for x in re.split(r"(?<=[.!?])\s+|\n", s) if x.strip()}
+    phrases = {x for text in (*residue.CLASSES.values(), *residue.PARTS.values()) for x in cut(text)}
+    assert not any(phrases & cut(s) for s in SEEN + UNSEEN)
+    found = [sum(residue.judge(residue.sentences(s), residue_table)[0] is not None for s in texts) for texts in (SEEN, UNSEEN, NATURAL)]
+    assert found[0] >= 0.95 * len(SEEN) and found[1] >= 0.75 * len(UNSEEN) and found[2] <= 0.05 * len(NATURAL), found
+
+
+def test_placeholders_by_shape(residue_table):
+    judge = lambda s: residue.judge(residue.sentences(s), residue_table)[0]
+    for s in ("The release {version} is led by {owner}.", "Dear {{ customer }}, see below.", "Stand: ____", "For [Your Name] and [Your Team].", "Il manque <%= total_count %> ici.", "Lead: @@team_lead@@"):
+        assert judge(s) == "form", s
+    for s in ("<filuko> Note for budget: it grows.", "See [the guide](https://a.example) and [1].", "GET /users/{id} lists the orders.", "List<String> is inferred.", "It costs $5 to $7, 40% more.", "Use `{{name}}` in the template.", "a __init__ file"):
+        assert judge(s) is None, s
+    long = "The readability score fell because the loop is nested. " * 40
+    assert residue.judge(residue.sentences(long + "Owner: {{ owner }}"), residue_table)[1] < 0.02
