@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from quillmark.functions.normalize import clean_name, repo_key
 from quillmark.llm.shingles import MinMax, batches, jaccard, set_ids, shingle_sets
 from quillmark.operators.components import connected_components
+from quillmark.operators.skew import join_heavy
 from quillmark.sources.tables import materialize, table
 
 WORDS, THRESHOLD = 4, 0.7
@@ -102,6 +103,7 @@ def classes(signed: DataFrame, flags: dict[str, Column]) -> DataFrame:
         F.first("f1").alias("f1"),
         F.first("f2").alias("f2"),
         F.first("keys").alias("keys"),
+        F.count(F.lit(1)).alias("copies"),
         *(F.max(c).alias(name) for name, c in flags.items()),
     )
 
@@ -202,7 +204,7 @@ def candidates(
     """
     allowed = F.lit(True) if allowed is None else allowed
     useful = F.lit(True) if useful is None else useful
-    light = [c for c in cls.columns if c not in ("keys", "s1", "s2")]
+    light = [c for c in cls.columns if c not in ("keys", "s1", "s2", "copies")]
     met = materialize(_met(cls.select(*light, F.explode("keys").alias("key")), useful), "met")
     pairs = _cold_pairs(met, allowed, hot)
     crowded = materialize(met.where(F.col("m") > hot).select(*light).distinct(), "crowded")
@@ -260,18 +262,33 @@ def _sources(spark: SparkSession, sf_dir: str, names: list[str], extra: dict[str
 def link(
     texts: DataFrame, flags: dict[str, Column] | None = None, allowed: Column | None = None, useful: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(members: dataset, record_id, rep and flags; links: dataset, a, b, similarity between classes).
+    """(members: dataset, record_id, rep, g, i and the other columns of ``texts``; links: dataset, a, b, similarity
+    between classes).
 
     ``texts`` has dataset, record_id, source and the columns ``flags`` use.  Null, empty and short texts are
-    members of nothing.  Tables may be empty.
+    members of nothing.  Tables may be empty.  The members of a class are dealt to ``g`` groups ``i`` of about ``BLOCK``
+    copies, so that joins over members never bring a large class together.
     """
     signed = materialize(signatures(texts, "source", "dataset"), "signed")
     cls = materialize(classes(signed, flags or {}), "classes")
-    names = cls.select("dataset", "s1", "s2", "rep")
+    names = cls.select("dataset", "s1", "s2", "rep", "copies")
     kept = [c for c in texts.columns if c not in ("dataset", "source")]
-    members = signed.select("dataset", "s1", "s2", *kept).join(names, ["dataset", "s1", "s2"]).drop("s1", "s2")
+    members = join_heavy(signed.select("dataset", "s1", "s2", *kept), names, ["dataset", "s1", "s2"], "copies", signed.count())
+    members = members.drop("s1", "s2").withColumn("g", F.ceil(F.col("copies") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("record_id"), F.col("g")).cast("int"))
     found = materialize(candidates(cls, texts, allowed, useful), "candidates")
-    return members, verified(found, texts)
+    return members.drop("copies"), verified(found, texts)
+
+
+def _all_groups(rows: DataFrame) -> DataFrame:
+    """Each row once for every group of its class (``g``), as ``i``."""
+    return rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).drop("g")
+
+
+def with_members(links: DataFrame, members: DataFrame, end: str) -> DataFrame:
+    """``links`` with the members (dataset, rep, g, i, ...) of the class in column ``end``, group by group."""
+    large = members.where("g > 1").select("dataset", F.col("rep").alias(end), "g").distinct()
+    keyed = links.join(large, ["dataset", end], "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    return _all_groups(keyed).join(members.withColumnRenamed("rep", end).drop("g"), ["dataset", end, "i"]).drop("i", end)
 
 
 # ---- problem 4
@@ -291,10 +308,9 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dataset, record_a < record_b: all pairs of similarity at least 0.7, equal sources included."""
     members, links = p4_links(spark, sf_dir)
-    a = members.select("dataset", F.col("rep").alias("a"), F.col("record_id").alias("x"))
-    b = members.select("dataset", F.col("rep").alias("b"), F.col("record_id").alias("y"))
-    across = links.select("dataset", "a", "b").join(a, ["dataset", "a"]).join(b, ["dataset", "b"])
-    same = a.join(b.withColumnRenamed("b", "a"), ["dataset", "a"]).where("x < y")
+    x, y = (members.withColumnRenamed("record_id", c) for c in "xy")
+    across = with_members(with_members(links.select("dataset", "a", "b"), x, "a"), y, "b")
+    same = x.drop("g").join(_all_groups(y.drop("i")), ["dataset", "rep", "i"]).where("x < y")
     return _ordered(across, "x", "y").union(_ordered(same, "x", "y"))
 
 
@@ -302,7 +318,7 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dataset, record_id, group_id, n_links: of each record that has a partner its group (smallest member)
     and the number of records directly linked to it."""
     members, links = p4_links(spark, sf_dir)
-    members = materialize(members, "members")
+    members = materialize(members.drop("g", "i"), "members")
     links = materialize(links, "links")
     sizes = members.groupBy("dataset", "rep").agg(F.count(F.lit(1)).alias("size"))
     both = links.select("dataset", F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select("dataset", "b", "a"))
@@ -313,7 +329,8 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     comp = connected_components(edges).select(F.col("node"), F.col("component.rep").alias("root"))
     cls = sizes.join(outside, ["dataset", "rep"], "left").withColumn("node", ids).join(comp, "node", "left").drop("node")
     cls = cls.withColumn("group_id", F.coalesce("root", "rep")).withColumn("n_links", F.coalesce("outside", F.lit(0)) + F.col("size") - 1)
-    return members.join(cls.where("n_links > 0"), ["dataset", "rep"]).select("dataset", "record_id", "group_id", "n_links")
+    out = join_heavy(members, cls.where("n_links > 0"), ["dataset", "rep"], "size", members.count())
+    return out.select("dataset", "record_id", "group_id", "n_links")
 
 
 # ---- problem 2
@@ -332,20 +349,13 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = {"has_train": F.col("split") == "train", "has_eval": held}
     across = (F.col("x.has_train") & F.col("y.has_eval")) | (F.col("x.has_eval") & F.col("y.has_train"))
     members, links = link(_p2_texts(spark, sf_dir), flags, across, F.col("has_train") & F.col("has_eval"))
-    train = members.where("split = 'train'").select(
-        "dataset", F.col("rep").alias("a"), F.col("record_id").alias("record_train"), F.col("repo").alias("repo_train")
-    )
-    held_out = members.where("split <> 'train'").select(
-        "dataset",
-        F.col("rep").alias("b"),
-        F.col("record_id").alias("record_eval"),
-        F.col("split").alias("eval_split"),
-        F.col("repo").alias("repo_eval"),
-    )
+    place = ["dataset", "rep", "g", "i"]
+    train = members.where("split = 'train'").select(*place, F.col("record_id").alias("record_train"), F.col("repo").alias("repo_train"))
+    held_out = members.where("split <> 'train'").select(*place, F.col("record_id").alias("record_eval"), F.col("split").alias("eval_split"), F.col("repo").alias("repo_eval"))
     both = links.select("dataset", "a", "b")
     both = both.union(links.select("dataset", "b", "a"))
-    out = both.join(train, ["dataset", "a"]).join(held_out, ["dataset", "b"]).drop("a", "b")
-    same = train.join(held_out.withColumnRenamed("b", "a"), ["dataset", "a"]).drop("a")
+    out = with_members(with_members(both, train, "a"), held_out, "b")
+    same = train.drop("g").join(_all_groups(held_out.drop("i")), ["dataset", "rep", "i"]).drop("rep", "i")
     return out.unionByName(same)
 
 

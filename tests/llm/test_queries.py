@@ -50,6 +50,22 @@ def test_near_duplicates_equal_brute_force(spark, sf):
         assert got.get(t, set()) == _brute(rows)
 
 
+def test_copies_in_groups(spark, monkeypatch):
+    """Classes of many copies are dealt to groups of two: the same pairs, each once."""
+    text = {c: " ".join(f"{c}{k}" for k in range(40)) for c in "abc"}
+    near = text["a"].replace("a7 ", "z ")
+    rows = [(i, text["a"]) for i in range(9)] + [(20 + i, near) for i in range(7)] + [(40 + i, text["b"]) for i in range(3)] + [(60, text["c"]), (61, None)]
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    df = spark.createDataFrame([("t", i, s) for i, s in rows], "dataset string, record_id long, source string")
+    monkeypatch.setattr(neardup, "p4_links", lambda *a: neardup.link(df))
+    pairs = [(r.record_a, r.record_b) for r in neardup.p4_found(spark, "").collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == _brute(rows)
+    split = F.when(F.col("record_id") % 3 == 0, "test").otherwise("train")
+    monkeypatch.setattr(neardup, "_p2_texts", lambda *a: df.withColumn("split", split).withColumn("repo", F.lit("r")))
+    pairs = [(r.record_a, r.record_b) for r in neardup.p2_found(spark, "").collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a, b in _brute(rows) if (a % 3 == 0) != (b % 3 == 0)}
+
+
 def test_cross_split_equals_brute_force(spark, sf):
     got = {}
     for r in neardup.p2_found(spark, sf).collect():
