@@ -18,7 +18,7 @@ from quillmark.functions.normalize import language
 from quillmark.functions.text import grade
 from quillmark.operators import clones as C
 from quillmark.operators.rule_scan import scan_lines, severity_counts
-from quillmark.operators.structure import FUNCTIONS, ISSUES, METRICS, functions_of, issues_of, metrics_of, per_source, quality_of
+from quillmark.operators.structure import FUNCTIONS, ISSUES, METRICS, PATHS, functions_of, issues_of, metrics_of, paths_of, per_source, quality_of
 from quillmark.operators.text_metrics import files
 
 
@@ -107,7 +107,8 @@ def documentation(df: DataFrame) -> DataFrame:
 
 
 def taint(df: DataFrame) -> DataFrame:
-    return per_source(df.where(F.col("language") == "python"), "sink string, line long, risk double", lambda c: P.taint_paths(t) if (t := P.parse(c)) else [])
+    """Paths of untrusted values to sinks."""
+    return per_source(df.where(F.col("language") == "python"), PATHS, paths_of)
 
 
 def _with_rules(df: DataFrame) -> DataFrame:

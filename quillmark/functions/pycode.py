@@ -473,68 +473,6 @@ def readability(source: str, tree: ast.Module) -> dict[str, float]:
     return {"naming": naming, "comments": comments, "structure": structure, "load": cognitive_load, "overall": 0.3 * naming + 0.2 * comments + 0.3 * structure + 0.2 * cognitive_load}
 
 
-# ---- taint
-
-SOURCES = {"input", "request.args.get", "request.form.get", "request.get_json", "os.environ.get", "os.getenv", "sys.stdin.read"}
-SINKS = {"eval": 0.95, "exec": 0.95, "os.system": 0.9, "os.popen": 0.9, "subprocess.run": 0.8, "subprocess.call": 0.8, "subprocess.Popen": 0.8, "execute": 0.9, "open": 0.6, "render_template_string": 0.8}
-SANITIZERS = {"int": 1.0, "float": 1.0, "shlex.quote": 0.9, "html.escape": 0.8, "escape": 0.8, "os.path.basename": 0.6, "str.strip": 0.1}
-
-
-@dataclass
-class Taint:
-    """Statement-ordered propagation within each function; both branches of an ``if`` keep their taint."""
-
-    paths: list[tuple[str, int, float]] = field(default_factory=list)
-
-    def level(self, x: ast.AST, state: dict[str, float]) -> float:
-        if isinstance(x, ast.Name):
-            return state.get(x.id, 0.0)
-        if isinstance(x, ast.Call):
-            name = call_name(x)
-            if name in SOURCES:
-                return 1.0
-            worst = max([self.level(a, state) for a in [*x.args, *(k.value for k in x.keywords)]] + ([self.level(x.func.value, state)] if isinstance(x.func, ast.Attribute) else []), default=0.0)
-            return worst * (1 - SANITIZERS[name]) if name in SANITIZERS else worst
-        return max((self.level(c, state) for c in children(x)), default=0.0)
-
-    def block(self, body: list[ast.stmt], state: dict[str, float]) -> None:
-        for s in body:
-            if isinstance(s, FUNCS) or isinstance(s, ast.ClassDef):
-                continue
-            heads = [s] if not hasattr(s, "body") else [getattr(s, f) for f in ("test", "iter", "subject") if hasattr(s, f)] + [i.context_expr for i in getattr(s, "items", [])]
-            for h in heads:
-                for c in (x for x in walk(h) if isinstance(x, ast.Call)):
-                    name = call_name(c)
-                    risk = SINKS.get(name) or SINKS.get(name.rpartition(".")[2]) if name.rpartition(".")[2] in ("execute",) or name in SINKS else None
-                    if risk and c.args:
-                        t = self.level(c.args[0], state)
-                        if t >= 0.5:
-                            self.paths.append((name, c.lineno, risk * t))
-            if isinstance(s, (ast.Assign, ast.AnnAssign, ast.AugAssign)) and s.value is not None:
-                t = self.level(s.value, state)
-                for target in s.targets if isinstance(s, ast.Assign) else [s.target]:
-                    for n in walk(target):
-                        if isinstance(n, ast.Name):
-                            state[n.id] = max(t, state.get(n.id, 0.0)) if isinstance(s, ast.AugAssign) else t
-            branches = [b for f in ("body", "orelse", "finalbody") if isinstance(b := getattr(s, f, None), list)] + [h.body for h in getattr(s, "handlers", [])] + [c.body for c in getattr(s, "cases", [])]
-            after = dict(state)
-            for b in branches:
-                inner = dict(state)
-                self.block(b, inner)
-                for k, v in inner.items():
-                    after[k] = max(v, after.get(k, 0.0))
-            state.update(after)
-
-
-def taint_paths(tree: ast.Module) -> list[tuple[str, int, float]]:
-    t = Taint()
-    t.block(tree.body, {})
-    for f in walk(tree):
-        if isinstance(f, FUNCS):
-            t.block(f.body, {})
-    return sorted(set(t.paths), key=lambda p: (p[1], p[0]))
-
-
 # ---- sequences and identifiers
 
 

@@ -91,6 +91,25 @@ def i8_fix_lag(spark, sf_dir, days: int = 30):
     return out.select(*keys, F.isnotnull("found").cast("int").alias("label"))
 
 
+def inducing(deleted: DataFrame, blame: DataFrame) -> DataFrame:
+    """I.7: fix, file, origin: the changes that wrote the lines a fix deletes.
+
+    ``deleted``: fix, file, line; ``blame``: fix, file, line, origin: who wrote a line as the fix found it.  All deleted lines
+    count.
+    """
+    return deleted.join(blame, ["fix", "file", "line"]).select("fix", "file", "origin").where("origin is not null").distinct()
+
+
+def i7_inducing(spark, sf_dir):
+    """I.7 over commits (orders) and changed lines (the numbered rows of lineitem): a line's writer is its last change before
+    the fix, by an as-of window over (file, line)."""
+    x = touched(spark, sf_dir)
+    w = W.partitionBy("file", "nth").orderBy("day", "commit", "subsystem", "price")
+    x = x.withColumn("origin", F.lag("commit").over(w)).where("fix = 1")
+    fixes = x.select(F.col("commit").alias("fix"), "file", F.col("nth").alias("line"), "origin")
+    return inducing(fixes.select("fix", "file", "line").distinct(), fixes.select("fix", "file", "line", "origin"))
+
+
 # ---- validation, filters, labels
 
 
@@ -267,6 +286,7 @@ QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "kicjbmo" and k[1
 _X = "x AS (SELECT l_orderkey AS commit, o_custkey AS author, o_orderdate AS day, CAST(o_orderpriority = '1-URGENT' AS INT) AS fix, l_partkey AS file, l_suppkey AS subsystem, l_linenumber AS nth, l_extendedprice AS price, CAST(l_quantity AS BIGINT) AS added, CAST(floor(l_tax * 100) AS BIGINT) AS deleted FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 _R = f"{B}, r AS (SELECT id, label, row_number() OVER (ORDER BY coalesce(t, 0), id) AS rn, count(*) OVER () AS n FROM b)"
 ORACLE = {
+    "i7_inducing": "WITH x AS (SELECT l_orderkey AS fix, l_partkey AS file, o_orderpriority = '1-URGENT' AS is_fix, lag(l_orderkey) OVER (PARTITION BY l_partkey, l_linenumber ORDER BY o_orderdate, l_orderkey, l_suppkey, l_extendedprice) AS origin FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT DISTINCT fix, file, origin FROM x WHERE is_fix AND origin IS NOT NULL",
     "k1_change_features": f"WITH {_X}, t AS (SELECT *, added + deleted AS lt, sum(added + deleted) OVER (PARTITION BY commit) AS tot, row_number() OVER (PARTITION BY file, author ORDER BY day, commit, nth, file, subsystem, price) = 1 AS isfirst FROM x), per AS (SELECT commit, count(DISTINCT subsystem) AS ns, count(DISTINCT file) AS nd, count(*) AS nf, sum(CASE WHEN lt > 0 THEN -(lt / tot) * log2(lt / tot + 1e-9) ELSE 0.0 END) AS h FROM t GROUP BY 1), w AS (SELECT commit, nth, file, price, added, deleted, lt, fix, coalesce(sum(CAST(isfirst AS INT)) OVER bf, 0) AS ndev, coalesce(date_diff('day', CAST(lag(day) OVER f AS DATE), CAST(day AS DATE)) / 7.0, 0.0) AS age, count(*) OVER bf AS nuc, count(*) OVER ba AS exp, coalesce(sum(1.0 / (greatest(0, 2003 - year(day)) + 1)) OVER ba, 0.0) AS rexp, count(*) OVER bs AS sexp FROM t WINDOW f AS (PARTITION BY file ORDER BY day, commit, nth, file, subsystem, price), bf AS (PARTITION BY file ORDER BY day, commit, nth, file, subsystem, price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ba AS (PARTITION BY author ORDER BY day, commit, nth, file, subsystem, price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), bs AS (PARTITION BY author, subsystem ORDER BY day, commit, nth, file, subsystem, price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT commit, nth, file, price, ns, nd, nf, round(CASE WHEN nf > 1 THEN h ELSE 0.0 END, 4) AS entropy, added, deleted, lt, fix, CAST(ndev AS BIGINT) AS ndev, round(age, 2) AS age, nuc, exp, round(CAST(rexp AS DOUBLE), 4) AS rexp, sexp FROM w JOIN per USING (commit)",
     "i8_fix_lag": f"WITH {_X} SELECT commit, nth, file, price, CAST(EXISTS (SELECT 1 FROM x f WHERE f.fix = 1 AND f.file = x.file AND f.day BETWEEN x.day AND x.day + INTERVAL 30 DAY) AS INT) AS label FROM x WHERE fix = 0",
     "c1_validation": "WITH r AS (SELECT CASE WHEN repo IS NULL OR file IS NULL THEN 'missing field' WHEN label IS NULL THEN 'missing label' WHEN label NOT IN (0, 1) THEN 'label domain' WHEN len(static_features) <> 16 THEN 'vector length' WHEN source IS NULL OR source = '' THEN 'empty source' ELSE 'valid' END AS rule FROM bug_dataset) SELECT rule, count(*) AS n, round(count(*) / (SELECT count(*) FROM r), 6) AS share FROM r GROUP BY 1",

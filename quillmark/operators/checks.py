@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from quillmark.functions import text as T
 from quillmark.functions.rules import SEVERITY_RANK
 from quillmark.operators.changes import bugs
-from quillmark.operators.clones import d20_hunks
+from quillmark.operators.clones import RISKY, SAFE, d20_hunks, diff_lines
 from quillmark.operators.evaluation import average_ranks
 from quillmark.operators.scoring import _M, metrics
+from quillmark.operators.structure import VOCABULARY as WORDS
 from quillmark.operators.text_metrics import FILES, SQL_LINES, files
 from quillmark.sources.tables import table
 
@@ -92,13 +93,52 @@ def k6_growth(spark, sf_dir):
     return b.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"), F.min_by("id", "x").alias("first")).where("n >= 3").select("repo", "n", F.round("slope", 5).alias("slope"), "first")
 
 
+# Line patterns of control flow in diffs.
+BRANCH = r"^\s*(?:if|elif|else|switch|case|for|while)\b"
+CHECK = r"^\s*(?:assert|if\s+.*is\s+(?:None|not\s+None)|if\s+.*==\s*None|if\s+len\(|if\s+not\s+)"
+CONDITION = r"\b(?:and|or|not|&&|\|\||!)\b"
+TRY, EXCEPT = r"^\s*try\s*:", r"^\s*(?:except|finally)\b"
+
+
 def k20_diff_features(spark, sf_dir):
-    """K.20: aggregates over the hunks of each diff: count, max, mean, sum of risk, first and last, quartile."""
+    """K.20: of each diff the 12 values of its structure, 12 of its hunks' risks, 6 of its control flow, the shares of
+    vocabulary words among the added identifiers, and the history of its change (``git_features``)."""
     h = d20_hunks(spark, sf_dir)
-    return h.groupBy("id").agg(
-        F.count(F.lit(1)).alias("n"), F.max("risk").alias("max_risk"), F.round(F.avg("risk"), 6).alias("mean_risk"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"),
-        F.min_by("risk", "hunk").alias("first_risk"), F.max_by("risk", "hunk").alias("last_risk"), F.round(F.percentile("added", F.lit(0.75)), 4).alias("added_q3"),
+    q = lambda p: F.percentile("risk", F.lit(p))
+    hunks = h.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n_hunks"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"), F.avg("context").alias("_context"),
+        F.max("risk").alias("max_risk"), F.avg("risk").alias("mean_risk"), F.coalesce(F.stddev_pop("risk"), F.lit(0.0)).alias("std_risk"), F.sum("risk").alias("sum_risk"),
+        F.count_if(F.col("risk") > 0.5).alias("n_high"), F.count_if(F.col("risk") > 0.2).alias("n_medium"), F.min_by("risk", "hunk").alias("first_risk"), F.max_by("risk", "hunk").alias("last_risk"),
+        q(0.25).alias("q1_risk"), q(0.5).alias("q2_risk"), q(0.75).alias("q3_risk"), F.min("risk").alias("min_risk"),
+    )
+    x = diff_lines(spark, sf_dir).where(~F.col("line").startswith("@@ "))
+    plus, minus, body = F.col("line").rlike(r"^\+(?!\+\+)"), F.col("line").rlike("^-(?!--)"), F.substring("line", 2, 1 << 30)
+    hits = lambda rx: F.size(F.regexp_extract_all(body, F.lit(rx), F.lit(0)))
+    count = lambda side, rx: F.sum(F.when(side, hits(rx)).otherwise(0))
+    lines = lambda side, rx: F.count_if(side & body.rlike(rx))
+    words = F.flatten(F.transform(F.regexp_extract_all(body, F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), T.sub_tokens))
+    x = x.withColumn("words", F.when(plus, words).otherwise(F.array().cast("array<string>")))
+    n_words = F.greatest(F.lit(1), F.sum(F.size("words")))
+    one_of = lambda ws: lambda w: w.isin(ws)
+    text = x.groupBy("id").agg(
+        (F.max("start") - F.min("start")).alias("_spread"), count(plus, RISKY).alias("n_risk_added"), count(plus, SAFE).alias("n_safe_added"),
+        lines(plus, BRANCH).alias("added_branches"), lines(minus, CHECK).alias("removed_checks"), (count(plus, CONDITION) - count(minus, CONDITION)).alias("changed_conditions"),
+        lines(plus, TRY).alias("added_try"), lines(minus, TRY).alias("removed_try"), (lines(plus, EXCEPT) - lines(minus, EXCEPT)).alias("except_change"),
+        *(F.round(F.sum(F.size(F.filter("words", one_of(ws)))) / n_words, 6).alias(f"{k}_share") for k, ws in WORDS.items()),
+    )
+    b = table(spark, sf_dir, "bug_dataset")
+    git = b.select(
+        F.col("record_id").alias("id"), F.coalesce(F.col("file").rlike(r"\.(?:py|js|java|go)$"), F.lit(False)).alias("is_code"),
+        *(F.coalesce(F.col(f"git_features.{c}"), F.lit(0.0)).alias(f"git_{c}") for c in ("n_subsystems", "n_directories", "n_files", "entropy", "lines_added", "lines_deleted", "lines_touched", "is_fix", "author_count", "file_age_days", "developer_exp")),
     )
+    out = hunks.join(text, "id").join(git, "id")
+    churn = F.col("added") + F.col("deleted")
+    r = lambda c: F.round(c, 6)
+    out = out.withColumns({
+        "churn": churn, "churn_ratio": r(F.least(F.lit(10.0), F.col("added") / F.greatest(F.lit(1), F.col("deleted")))), "risk_density": r(F.col("n_risk_added") / F.greatest(F.lit(1), F.col("added"))),
+        "spread": r(F.col("_spread") / 1000), "context": r(F.col("_context") / 10), **{c: r(F.col(c)) for c in ("mean_risk", "std_risk", "sum_risk", "q1_risk", "q2_risk", "q3_risk")},
+    })
+    return out.drop("_spread", "_context")
 
 
 def o5_jackknife(spark, sf_dir, folds: int = 5):

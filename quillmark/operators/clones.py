@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -100,7 +100,9 @@ def nearest(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
                 sims[np.array(qi)[:, None] == ids[None, :]] = -np.inf
                 out = []
                 for r, row in enumerate(sims):
-                    best = np.lexsort((ids, -row))[:k]
+                    # only what is not below the k-th is sorted, ties by id
+                    top = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                    best = top[np.lexsort((ids[top], -row[top]))[:k]]
                     out += [(qi[r], int(ids[c]), float(row[c])) for c in best if row[c] > -np.inf]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["id", "neighbour", "similarity"])
 
@@ -143,15 +145,68 @@ def terms_of(df: DataFrame, text: str, key: str) -> DataFrame:
 def n2_tfidf(spark, sf_dir, terms: int = 512):
     """N.2: weights of the ``terms`` words and bigrams in most documents (one ranking, ties by term), tf by share of all of
     a document's terms, smoothed idf, L2 norm."""
-    w = terms_of(table(spark, sf_dir, "documents"), "text", "doc_id")
-    tf = w.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("c"))
-    total = tf.groupBy("doc_id").agg(F.sum("c").alias("total"))
+    return tfidf(table(spark, sf_dir, "documents"), "text", "doc_id", terms).select("doc_id", "word", F.round("weight", 5).alias("weight"))
+
+
+def tfidf(docs: DataFrame, text: str, key: str, terms: int = 512) -> DataFrame:
+    w = terms_of(docs, text, key)
+    tf = w.groupBy(key, "word").agg(F.count(F.lit(1)).alias("c"))
+    total = tf.groupBy(key).agg(F.sum("c").alias("total"))
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "word").limit(terms)
     n = F.broadcast(total.agg(F.count(F.lit(1)).alias("n")))
-    x = tf.join(F.broadcast(df), "word").join(total, "doc_id").join(n)  # at most ``terms`` rows
+    x = tf.join(F.broadcast(df), "word").join(total, key).join(n)  # at most ``terms`` rows
     x = x.withColumn("w", F.col("c") / F.col("total") * (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1))
-    norm = x.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return x.join(norm, "doc_id").select("doc_id", "word", F.round(F.col("w") / F.col("norm"), 5).alias("weight"))
+    norm = x.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return x.join(norm, key).select(key, "word", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def vectors(df: DataFrame, text: str, key: str, terms: int = 512) -> DataFrame:
+    """id, v: the TF-IDF vector of each text over the ``terms`` terms in most of them (ties by term)."""
+    x = materialize(tfidf(df, text, key, terms), "tfidf")
+    words_ = x.select("word").distinct()  # at most ``terms`` rows
+    at = words_.select("word", (F.row_number().over(W.orderBy("word")) - 1).alias("at"))
+    lists = x.join(F.broadcast(at), "word").groupBy(key).agg(F.collect_list(F.struct("at", "weight")).alias("w"))  # at most ``terms`` a text
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            out = np.zeros((part.num_rows, terms), np.float32)
+            w = part.column("w")
+            row = np.repeat(np.arange(part.num_rows), np.diff(w.offsets.to_numpy()))
+            out[row, w.flatten().field(0).to_numpy()] = w.flatten().field(1).to_numpy()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * terms), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(key), lists], names=["id", "v"])
+
+    return lists.select(key, "w").mapInArrow(run, "id long, v array<float>")
+
+
+def near_clones(fragments: DataFrame, asked: Column, k: int = 8, least: float = 0.7, alike: float = 0.9) -> DataFrame:
+    """I.1, I.2: file_id, start_line, other_file, other_line, type, similarity of the fragments that are clones of those for
+    which ``asked`` holds, the nearest ``k`` of each kind: type1 equal, type2 equal but for names, type3 alike with names
+    masked (TF-IDF of the renamed text, ``least``), type4 alike as written (``alike``); the first that holds.
+
+    Equal fragments are one class in the search, so copies do not crowd out other neighbours; classes are searched
+    whole (each class asked against all).
+    """
+    f = materialize(fragments.withColumn("renamed_fp", F.md5("renamed")).withColumn("asked", asked), "fragments")
+    place = F.struct("file_id", "start_line")
+    out = []
+    for kind, name, text, bound in (("renamed_fp", "type3", "renamed", least), ("fp", "type4", "text", alike)):
+        cls = f.groupBy(kind).agg(F.min(text).alias(text), F.max("asked").alias("asked"), F.min(place).alias("p")).withColumn("id", F.xxhash64(kind))
+        v = vectors(cls, text, "id")
+        hits = nearest(v.join(cls.where("asked").select("id"), "id", "left_semi"), v, k).where(F.col("similarity") >= bound)
+        side = cls.select("id", F.col(kind).alias("_key"), "p")
+        hits = hits.join(side, "id").join(side.select(F.col("id").alias("neighbour"), F.col("p").alias("q"), F.col("_key").alias("_other")), "neighbour")
+        out.append(hits.join(f.where("asked").select(F.col(kind).alias("_key"), "file_id", "start_line", "fp", "renamed_fp"), "_key").select("file_id", "start_line", "fp", "renamed_fp", "q", F.lit(name).alias("type"), "similarity"))
+    # equal fragments: another one of the same class; equal but for names: the first of another class
+    exact = f.groupBy("fp", "renamed_fp").agg(F.min(place).alias("p1"), F.max(place).alias("p2"))
+    renamed = exact.groupBy("renamed_fp").agg(F.min("p1").alias("r1"), F.max("p1").alias("r2"))
+    mine = f.where("asked").join(exact.drop("renamed_fp"), "fp").join(renamed, "renamed_fp").withColumn("me", place)
+    for name, sim, own, one, two in (("type1", 1.0, "me", "p1", "p2"), ("type2", 0.95, "p1", "r1", "r2")):
+        other = F.when(F.col(one) != F.col(own), F.col(one)).when(F.col(two) != F.col(own), F.col(two))
+        out.append(mine.select("file_id", "start_line", "fp", "renamed_fp", other.alias("q"), F.lit(name).alias("type"), F.lit(sim).alias("similarity")).where("q is not null"))
+    every = out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    first = every.groupBy("file_id", "start_line", F.col("q.file_id").alias("other_file"), F.col("q.start_line").alias("other_line")).agg(F.min(F.struct("type", "similarity")).alias("b"))
+    return first.select("file_id", "start_line", "other_file", "other_line", "b.type", F.round("b.similarity", 4).alias("similarity"))
 
 
 # ---- sequence model
@@ -240,20 +295,22 @@ def n11_notebooks(spark, sf_dir):
 
 
 def diff_lines(spark, sf_dir):
-    b = table(spark, sf_dir, "bug_dataset").where(F.col("source").rlike(r"(?m)^@@ -\d+")).select(F.col("record_id").alias("id"), language(F.col("code_lang"), F.col("file")).alias("lang"), F.posexplode(F.split("source", "\n")).alias("pos", "line"))
+    b = table(spark, sf_dir, "bug_dataset").where(F.col("source").rlike(r"(?m)^@@ -\d+")).select(F.col("record_id").alias("id"), language(F.col("code_lang"), F.col("file")).alias("lang"), F.posexplode(T.lines(F.col("source"))).alias("pos", "line"))
     o = W.partitionBy("id").orderBy("pos")
     b = b.withColumn("hunk", F.count_if(F.col("line").startswith("@@ ")).over(o)).where("hunk > 0")
     start = F.regexp_extract("line", r"^@@ -(\d+)(?:,\d+)? \+(\d+)", 2)
     return b.withColumn("start", F.max(F.when(F.col("line").startswith("@@ "), start.cast("long"))).over(W.partitionBy("id", "hunk")))
 
 
-RISKY, SAFE = r"\b(?:eval|exec|system|popen|pickle|query|open)\b", r"\b(?:assert|raise|check|validate|None|null)\b"
+# Words that raise and lower the risk of a hunk.
+RISKY = r"(?i)\b(?:eval|exec|pickle|subprocess|os\.system|shutil\.rmtree|DELETE\s+FROM|DROP\s+TABLE|UPDATE\s+.*SET|INSERT\s+INTO|password|secret|token|api_key|TODO|FIXME|HACK|XXX)\b"
+SAFE = r"(?i)\b(?:validate|sanitize|escape|quote|parameterize|assert|isinstance|hasattr|try|except|finally|raise|logging|log)\b"
 
 
 def d20_hunks(spark, sf_dir):
     """D.20, D.22, L.1: hunks of unified diffs with added, deleted and context lines and a risk in 0..1."""
     x = diff_lines(spark, sf_dir).where(~F.col("line").startswith("@@ "))
-    add, dele = F.col("line").startswith("+"), F.col("line").startswith("-")
+    add, dele = F.col("line").rlike(r"^\+(?!\+\+)"), F.col("line").rlike("^-(?!--)")
     hits = lambda c, rx: F.sum(F.when(c, F.size(F.regexp_extract_all("line", F.lit(rx), F.lit(0)))).otherwise(0))
     g = x.groupBy("id", "hunk").agg(F.count_if(add).alias("added"), F.count_if(dele).alias("deleted"), F.count_if(~add & ~dele).alias("context"), hits(add, RISKY).alias("ra"), hits(dele, RISKY).alias("rd"), hits(add, SAFE).alias("sa"))
     risk = (F.col("ra") - F.col("rd") - F.col("sa")) / F.greatest(F.lit(1), F.col("added"))
@@ -290,8 +347,8 @@ def g2_reach(spark, sf_dir):
     return all_.groupBy("file_id", "name").agg(F.min("steps").alias("steps"))
 
 
-def g8_traces(spark, sf_dir, back: int = 80):
-    """G.9, G.8 in part: of each assignment the nearest one of the same name before it, at most ``back`` lines up, and the kind of its source."""
+def g9_sources(spark, sf_dir, back: int = 80):
+    """G.9: of each assignment the nearest one of the same name before it, at most ``back`` lines up, and the kind of its source."""
     f = files(spark, sf_dir).where("code is not null")
     ls = f.select("file_id", F.posexplode(T.lines(F.col("code"))).alias("pos", "line"))
     name = F.regexp_extract("line", r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*:?=\s*[^=]", 1)
@@ -316,7 +373,7 @@ _PPL = (
     + " x AS (SELECT t.doc_id, n3, CASE WHEN c2 IS NOT NULL THEN (coalesce(n3, 0) + 0.1) / (c2 + 0.1 * v) WHEN c1 IS NOT NULL THEN (coalesce(n2, 0) + 0.1) / (c1 + 0.1 * v) ELSE (coalesce(n1, 0) + 0.1) / (total + 0.1 * v) END AS p FROM t LEFT JOIN tri ON tri.odd = t.odd AND tri.a = t.a AND tri.b = t.b AND tri.c = t.c LEFT JOIN c2 ON c2.odd = t.odd AND c2.a = t.a AND c2.b = t.b LEFT JOIN bi ON bi.odd = t.odd AND bi.b = t.b AND bi.c = t.c LEFT JOIN c1 ON c1.odd = t.odd AND c1.b = t.b LEFT JOIN un ON un.odd = t.odd AND un.c = t.c JOIN v ON v.odd = t.odd),"
     + " pp AS (SELECT doc_id, round(exp(-avg(ln(CAST(p AS DOUBLE)))), 3) AS perplexity, round(avg(CAST(n3 IS NOT NULL AS DOUBLE)), 5) AS coverage FROM x GROUP BY 1)"
 )
-_DIFF = r"d0 AS (SELECT record_id AS id, unnest(string_split(source, chr(10))) AS line, generate_subscripts(string_split(source, chr(10)), 1) - 1 AS pos FROM bug_dataset WHERE regexp_matches(source, '(?m)^@@ -\d+')), d1 AS (SELECT *, count_if(starts_with(line, '@@ ')) OVER (PARTITION BY id ORDER BY pos) AS hunk FROM d0), d2 AS (SELECT *, max(CASE WHEN starts_with(line, '@@ ') THEN CAST(regexp_extract(line, '^@@ -(\d+)(?:,\d+)? \+(\d+)', 2) AS BIGINT) END) OVER (PARTITION BY id, hunk) AS start FROM d1 WHERE hunk > 0), d AS (SELECT * FROM d2 WHERE NOT starts_with(line, '@@ '))"
+_DIFF = r"dl AS (SELECT record_id AS id, source AS code FROM bug_dataset WHERE regexp_matches(source, '(?m)^@@ -\d+')), d0 AS (SELECT id, unnest(@LINES) AS line, generate_subscripts(@LINES, 1) - 1 AS pos FROM dl), d1 AS (SELECT *, count_if(starts_with(line, '@@ ')) OVER (PARTITION BY id ORDER BY pos) AS hunk FROM d0), d2 AS (SELECT *, max(CASE WHEN starts_with(line, '@@ ') THEN CAST(regexp_extract(line, '^@@ -(\d+)(?:,\d+)? \+(\d+)', 2) AS BIGINT) END) OVER (PARTITION BY id, hunk) AS start FROM d1 WHERE hunk > 0), d AS (SELECT * FROM d2 WHERE NOT starts_with(line, '@@ '))".replace("@LINES", SQL_LINES)
 _LN = f"f AS (SELECT file_id, {SQL_LINES} AS ls FROM {FILES} WHERE code IS NOT NULL), l AS (SELECT file_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM f)"
 ORACLE = {
     "i1_clone_classes": f"WITH {_B}, k AS (SELECT *, count(*) OVER (PARTITION BY fp) AS ne, first_value(file_id || ':' || block) OVER (PARTITION BY fp ORDER BY file_id, block) AS ec, count(*) OVER (PARTITION BY norm_fp) AS nr, first_value(file_id || ':' || block) OVER (PARTITION BY norm_fp ORDER BY file_id, block) AS rc FROM b) SELECT file_id, block, ec AS exact_class, ne - 1 AS exact_links, rc AS renamed_class, nr - ne AS renamed_links FROM k",
@@ -329,8 +386,8 @@ ORACLE = {
     "n6_calibrated": f"WITH {_PPL}, q AS (SELECT quantile_cont(perplexity, 0.25) AS q1, quantile_cont(perplexity, 0.5) AS q2, quantile_cont(perplexity, 0.75) AS q3 FROM pp) SELECT doc_id, round(1 / (1 + exp(-(perplexity - q2) / greatest((q3 - q1) / 1.35, 1.0))), 5) AS score FROM pp, q",
     "n11_notebooks": f"SELECT file_id AS id, code FROM {FILES} WHERE code IS NOT NULL",
     "n12_cache_keys": f"SELECT file_id, sha256(path || chr(0) || code) AS key FROM {FILES} WHERE code IS NOT NULL",
-    "d20_hunks": rf"WITH {_DIFF}, g AS (SELECT id, CAST(hunk AS BIGINT) AS hunk, CAST(count_if(starts_with(line, '+')) AS BIGINT) AS added, CAST(count_if(starts_with(line, '-')) AS BIGINT) AS deleted, CAST(count_if(NOT starts_with(line, '+') AND NOT starts_with(line, '-')) AS BIGINT) AS context, sum(CASE WHEN starts_with(line, '+') THEN len(regexp_extract_all(line, '{RISKY}')) ELSE 0 END) - sum(CASE WHEN starts_with(line, '-') THEN len(regexp_extract_all(line, '{RISKY}')) ELSE 0 END) - sum(CASE WHEN starts_with(line, '+') THEN len(regexp_extract_all(line, '{SAFE}')) ELSE 0 END) AS r FROM d GROUP BY 1, 2) SELECT id, hunk, added, deleted, context, round(greatest(0.0, least(1.0, r / greatest(1, added))), 6) AS risk FROM g",
+    "d20_hunks": rf"WITH {_DIFF}, e AS (SELECT *, starts_with(line, '+') AND NOT starts_with(line, '+++') AS plus, starts_with(line, '-') AND NOT starts_with(line, '---') AS minus FROM d), g AS (SELECT id, CAST(hunk AS BIGINT) AS hunk, CAST(count_if(plus) AS BIGINT) AS added, CAST(count_if(minus) AS BIGINT) AS deleted, CAST(count_if(NOT plus AND NOT minus) AS BIGINT) AS context, sum(CASE WHEN plus THEN len(regexp_extract_all(line, '{RISKY}')) ELSE 0 END) - sum(CASE WHEN minus THEN len(regexp_extract_all(line, '{RISKY}')) ELSE 0 END) - sum(CASE WHEN plus THEN len(regexp_extract_all(line, '{SAFE}')) ELSE 0 END) AS r FROM e GROUP BY 1, 2) SELECT id, hunk, added, deleted, context, round(greatest(0.0, least(1.0, r / greatest(1, added))), 6) AS risk FROM g",
     "d21_new_lines": f"WITH {_DIFF}, n AS (SELECT id, pos, line, start - 1 + sum(CASE WHEN starts_with(line, '-') THEN 0 ELSE 1 END) OVER (PARTITION BY id, hunk ORDER BY pos) AS lineno FROM d) SELECT id, CAST(pos AS INT) AS pos, CAST(lineno AS BIGINT) AS lineno FROM n WHERE starts_with(line, '+')",
     "g2_reach": rf"WITH {_LN}, df AS (SELECT *, nullif(regexp_extract(line, '^\s*(?:async\s+)?(?:def|func|function)\s+([A-Za-z_][A-Za-z0-9_]*)', 1), '') AS def FROM l), c AS (SELECT *, last_value(def IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY pos) AS caller FROM df), cc AS (SELECT * FROM c WHERE caller IS NOT NULL), ca AS (SELECT DISTINCT file_id, caller, unnest(regexp_extract_all(line, '([A-Za-z_][A-Za-z0-9_]*)\(', 1)) AS callee FROM cc WHERE def IS NULL), e AS (SELECT * FROM ca WHERE caller <> callee AND (file_id, callee) IN (SELECT file_id, def FROM cc WHERE def IS NOT NULL)), s AS (SELECT DISTINCT file_id, caller AS name FROM cc WHERE regexp_matches(line, '\b(?:input|open|get|getenv|argv)\b')), o AS (SELECT DISTINCT e.file_id, caller AS name FROM e JOIN s ON s.file_id = e.file_id AND s.name = callee), tw AS (SELECT DISTINCT e.file_id, caller AS name FROM e JOIN o ON o.file_id = e.file_id AND o.name = callee), a AS (SELECT *, 0 AS steps FROM s UNION ALL SELECT *, 1 FROM o UNION ALL SELECT *, 2 FROM tw) SELECT file_id, name, min(steps) AS steps FROM a GROUP BY 1, 2",
-    "g8_traces": rf"""WITH {_LN}, a AS (SELECT *, regexp_extract(line, '^\s*([A-Za-z_][A-Za-z0-9_]*)\s*:?=\s*[^=]', 1) AS name FROM l), b AS (SELECT * FROM a WHERE name <> '') SELECT file_id, CAST(pos + 1 AS BIGINT) AS lineno, name, CAST(max(pos) OVER (PARTITION BY file_id, name ORDER BY pos RANGE BETWEEN 80 PRECEDING AND 1 PRECEDING) + 1 AS DOUBLE) AS previous, CASE WHEN regexp_matches(line, 'environ|getenv') THEN 'environment' WHEN regexp_matches(line, 'request|input\(|argv') THEN 'user' WHEN regexp_matches(line, '=\s*["''0-9]') THEN 'literal' ELSE 'computed' END AS kind FROM b""",
+    "g9_sources": rf"""WITH {_LN}, a AS (SELECT *, regexp_extract(line, '^\s*([A-Za-z_][A-Za-z0-9_]*)\s*:?=\s*[^=]', 1) AS name FROM l), b AS (SELECT * FROM a WHERE name <> '') SELECT file_id, CAST(pos + 1 AS BIGINT) AS lineno, name, CAST(max(pos) OVER (PARTITION BY file_id, name ORDER BY pos RANGE BETWEEN 80 PRECEDING AND 1 PRECEDING) + 1 AS DOUBLE) AS previous, CASE WHEN regexp_matches(line, 'environ|getenv') THEN 'environment' WHEN regexp_matches(line, 'request|input\(|argv') THEN 'user' WHEN regexp_matches(line, '=\s*["''0-9]') THEN 'literal' ELSE 'computed' END AS kind FROM b""",
 }

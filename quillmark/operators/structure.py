@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 import re
+import textwrap
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -11,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.functions import context, taint
 from quillmark.functions import pycode as P
 from quillmark.functions import text as T
 from quillmark.functions.normalize import language
+from quillmark.operators.clones import near_clones
 from quillmark.operators.text_metrics import files
 from quillmark.sources.tables import spread
 
@@ -152,9 +156,57 @@ def f45_quality(spark, sf_dir):
     return per_source(python_files(spark, sf_dir), "doc_coverage double, doc_quality double, doc_overall double, doc_grade string, naming double, comments double, structure double, load double, readability double, hints array<string>", quality_of)
 
 
+def _flow(code: str) -> taint.Flow | None:
+    return taint.analyse(code, t) if (t := P.parse(code)) else None
+
+
+PATHS = "sink string, line long, source string, argument string, trust double, direct boolean, across boolean, risk double"
+
+
+def paths_of(code: str) -> list[tuple]:
+    flow = _flow(code)
+    return [(p.sink, p.line, p.source, p.argument, p.trust, p.direct, p.across, p.risk) for p in flow.paths] if flow else []
+
+
 def g1_taint(spark, sf_dir):
-    """G.1, G.3-G.7: sinks that tainted values reach, with their risk."""
-    return per_source(python_files(spark, sf_dir), "sink string, line long, risk double", lambda c: P.taint_paths(t) if (t := P.parse(c)) else [])
+    """G.1, G.3, G.4, G.7: the paths on which untrusted values reach a sink, with their risk."""
+    return per_source(python_files(spark, sf_dir), PATHS, paths_of)
+
+
+def g5_taint_vector(spark, sf_dir):
+    """G.5, G.6: the 16 values of each file that parses, its risk score among them."""
+    names = ", ".join(f"{n} double" for n in taint.VECTOR)
+    return per_source(python_files(spark, sf_dir), names, lambda c: [tuple(f.vector())] if (f := _flow(c)) else [])
+
+
+def g8_traces(spark, sf_dir):
+    """G.8, G.11, G.12: of each call's first argument that is a name the expressions it was assigned (latest first, plain
+    names followed) and how the enclosing function takes it."""
+    return per_source(files(spark, sf_dir), "line long, name string, traces array<string>, parameter string", context.arguments)
+
+
+def fragments_of(code: str) -> list[tuple]:
+    """E.30: functions and classes of six lines and more that are not blank: name, first and last line, dedented text,
+    fingerprint of the text without comments, fingerprint with renamed identifiers."""
+    tree, out = P.parse(code), []
+    lines = code.splitlines()
+    for x in P.walk(tree) if tree else ():
+        if isinstance(x, (*P.FUNCS, ast.ClassDef)):
+            text = textwrap.dedent("\n".join(lines[x.lineno - 1 : x.end_lineno]))
+            if len(text.strip().splitlines()) >= LEAST_FRAGMENT:
+                bare = " ".join(" ".join(s.split("#")[0].rstrip() for s in text.split("\n")).split())
+                out.append((x.name, x.lineno, x.end_lineno, text, hashlib.md5(bare.encode()).hexdigest(), " ".join(P.renamed(bare).split())))
+    return out
+
+
+def i1_near_clones(spark, sf_dir):
+    """I.1: clones of types 1 to 4 of the functions and classes of every file whose id is divisible by 20, among all."""
+    fragments = per_source(python_files(spark, sf_dir), FRAGMENTS, fragments_of)
+    return near_clones(fragments, F.col("file_id") % 20 == 0)
+
+
+FRAGMENTS = "name string, start_line long, end_line long, text string, fp string, renamed string"
+LEAST_FRAGMENT = 6
 
 
 def e25_node_bigrams(spark, sf_dir, k: int = 50):
@@ -252,4 +304,4 @@ def e8_generic_metrics(spark, sf_dir):
     return per_source(packed, "lang string, sloc long, comment long, blank long, cyclomatic long, cognitive long", lambda c: [(c.partition("\n")[0], *generic_of(c.partition("\n")[2], c.partition("\n")[0]))])
 
 
-QUERIES = {k: f for k, f in list(globals().items()) if re.match(r"[defg]\d+_", k)}
+QUERIES = {k: f for k, f in list(globals().items()) if re.match(r"[defgi]\d+_", k)}

@@ -174,7 +174,7 @@ def c8_suppressions(spark, sf_dir, tool: str = "codescan"):
 def suppressions(df: DataFrame, tool: str) -> DataFrame:
     ls = df.select("file_id", F.posexplode(T.lines(F.col("code"))).alias("pos", "line"))
     mark = rf"#\s*{tool}:\s*ignore(?:\[([^\]]*)\])?"
-    rules = F.filter(F.transform(F.split(F.regexp_extract("line", mark, 1), ","), F.trim), lambda x: x != "")
+    rules = F.filter(F.transform(F.split(F.regexp_extract("line", mark, 1), ","), lambda x: F.trim(x)), lambda x: x != "")
     return ls.where(F.col("line").rlike(mark)).select("file_id", (F.col("pos") + 1).cast("long").alias("lineno"), rules.alias("rules"))
 
 

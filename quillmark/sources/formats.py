@@ -88,8 +88,37 @@ def a2_cve_join(spark, sf_dir):
     return vulnerable_functions(changes, fixes, cves).select("hash", "cve_id", "cwe", F.length("code_before").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (a6_jsonl_round_trip, a5_csv_round_trip, a1_tree_scan, a2_cve_join)}
+ADVISORY = (
+    "id string, summary string, details string, severity array<struct<type:string,score:string>>, "
+    "affected array<struct<package:struct<ecosystem:string,name:string>,versions:array<string>>>"
+)
+
+
+def read_advisories(spark: SparkSession, path: str, ecosystem: str = "PyPI") -> DataFrame:
+    """A.4: cve_id, package, score, source of every advisory (one JSON object a line) and package of the ecosystem: the
+    first readable severity score (null if none) and the first fenced code block of the details; advisories
+    without code give no row, broken lines neither."""
+    a = spark.read.schema(ADVISORY).json(path)
+    score = F.try_element_at(F.filter(F.transform("severity", lambda x: F.split_part(x["score"], F.lit("/"), F.lit(1)).try_cast("double")), lambda x: x.isNotNull()), F.lit(1))
+    code = F.regexp_extract("details", r"(?s)```(?:python)?\n(.+?)```", 1)
+    x = a.select(F.col("id").alias("cve_id"), score.alias("score"), code.alias("source"), F.explode("affected").alias("p")).where("source <> ''")
+    return x.where(F.col("p.package.ecosystem") == ecosystem).select("cve_id", F.col("p.package.name").alias("package"), "score", "source")
+
+
+def a4_advisories(spark, sf_dir):
+    """A.4: findings written as nested advisories (their snippet in the details, their record as package) and read back."""
+    f = table(spark, sf_dir, "security_finding").where("record_id is not null and snippet is not null")
+    package = F.struct(F.struct(F.when(F.col("record_id") % 7 == 0, "npm").otherwise("PyPI").alias("ecosystem"), F.concat(F.lit("p"), "record_id").alias("name")).alias("package"), F.array(F.lit("1.0")).alias("versions"))
+    severity = F.array(F.struct(F.lit("CVSS_V3").alias("type"), F.concat(F.round(F.col("confidence") * 10, 1).cast("string"), F.lit("/AV:N")).alias("score")))
+    details = F.concat(F.lit("See below.\n```python\n"), "snippet", F.lit("```\nEnd."))
+    path = _folder(spark, "advisories")
+    f.select(F.col("finding_id").cast("string").alias("id"), F.col("title").alias("summary"), details.alias("details"), severity.alias("severity"), F.array(package).alias("affected")).write.json(path)
+    return read_advisories(spark, path).select("cve_id", "package", "score", F.length("source").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (a6_jsonl_round_trip, a5_csv_round_trip, a1_tree_scan, a2_cve_join, a4_advisories)}
 ORACLE = {
+    "a4_advisories": "SELECT CAST(finding_id AS VARCHAR) AS cve_id, 'p' || record_id AS package, round(confidence * 10, 1) AS score, CAST(length(snippet) AS BIGINT) AS n_chars FROM security_finding WHERE record_id IS NOT NULL AND length(snippet) > 0 AND record_id % 7 <> 0",
     "a6_jsonl_round_trip": "SELECT result_id, run_id, task, held_out_project, auc FROM failure_taxonomy_results",
     "a5_csv_round_trip": "SELECT record_id AS id, CAST(record_id % 3 AS INT) AS label, length(source) AS n_chars FROM pattern_dataset WHERE regexp_matches(source, '[^ ]') AND record_id % 3 < 2",
     "a2_cve_join": "SELECT s.record_id AS hash, finding_id AS cve_id, coalesce(nullif(cwe, ''), 'unknown') AS cwe, length(source) AS n_chars FROM security_finding f JOIN security_dataset s ON s.record_id = f.record_id WHERE length(source) > 50 AND source <> reverse(source)",

@@ -11,7 +11,3 @@ QUERIES, SQL = registry.collect(registry.MODULES)
 def test_query_equals_sql(name, spark, duck, sf, same):
     same(QUERIES[name](spark, sf).toPandas(), duck.execute(SQL[name]).df())
 
-
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in SQL and not n.startswith("ml_")))
-def test_query_runs(name, spark, sf):
-    assert QUERIES[name](spark, sf).count() >= 0
