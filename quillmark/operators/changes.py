@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions.normalize import clean_name, repo_key
-from quillmark.operators.skew import in_order
+from quillmark.operators.skew import in_order, running
 from quillmark.sources.tables import table
 
 
@@ -54,20 +54,16 @@ def k1_change_features(spark, sf_dir, year: int = 2003):
         F.sum(F.when(p > 0, -p * F.log2(p + 1e-9)).otherwise(0.0)).alias("h"),
     )
     order = [F.col(c) for c in ("day", "commit", "nth", "file", "subsystem", "price")]
-    on_file = W.partitionBy("file").orderBy(*order)
-    by_author = W.partitionBy("author").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    by_sub = W.partitionBy("author", "subsystem").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    one = F.lit(1).cast("long")
+    x = x.withColumn("month", F.date_trunc("month", "day"))
     # the number of developers before a row: first rows of (file, author) so far
-    x = x.withColumn("_first", (F.row_number().over(W.partitionBy("file", "author").orderBy(*order)) == 1).cast("int"))
-    before = on_file.rowsBetween(W.unboundedPreceding, -1)
+    x = running(x, ["file", "author"], "month", order, {"_seen": one})
+    x = running(x, ["file"], "month", order, {"ndev": (F.col("_seen") == 0).cast("long"), "nuc": one}, {"_last": F.col("day")})
+    x = running(x, ["author"], "month", order, {"exp": one, "rexp": 1.0 / (F.greatest(F.lit(0), F.lit(year) - F.year("day")) + 1)})
+    x = running(x, ["author", "subsystem"], "month", order, {"sexp": one})
     out = x.select(
-        "commit", "nth", "file", "price", "fix", "added", "deleted", lines.alias("lt"),
-        F.coalesce(F.sum("_first").over(before), F.lit(0)).alias("ndev"),
-        F.coalesce(F.datediff("day", F.lag("day").over(on_file)) / 7.0, F.lit(0.0)).alias("age"),
-        F.count(F.lit(1)).over(before).alias("nuc"),
-        F.count(F.lit(1)).over(by_author).alias("exp"),
-        F.coalesce(F.sum(1.0 / (F.greatest(F.lit(0), F.lit(year) - F.year("day")) + 1)).over(by_author), F.lit(0.0)).alias("rexp"),
-        F.count(F.lit(1)).over(by_sub).alias("sexp"),
+        "commit", "nth", "file", "price", "fix", "added", "deleted", lines.alias("lt"), "ndev",
+        F.coalesce(F.datediff("day", "_last") / 7.0, F.lit(0.0)).alias("age"), "nuc", "exp", F.coalesce("rexp", F.lit(0.0)).alias("rexp"), "sexp",
     )
     out = out.join(per, "commit")
     return out.select("commit", "nth", "file", "price", "ns", "nd", "nf", F.round(F.when(F.col("nf") > 1, F.col("h")).otherwise(0.0), 4).alias("entropy"), "added", "deleted", "lt", "fix", "ndev", F.round("age", 2).alias("age"), "nuc", "exp", F.round("rexp", 4).alias("rexp"), "sexp")

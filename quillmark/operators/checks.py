@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.functions.rules import SEVERITY_RANK
-from quillmark.operators.changes import bugs
+from quillmark.operators.changes import B, bugs
 from quillmark.operators.clones import RISKY, SAFE, d20_hunks, diff_lines
 from quillmark.operators.evaluation import average_ranks
 from quillmark.operators.scoring import _M, metrics
+from quillmark.operators.skew import running
 from quillmark.operators.structure import VOCABULARY as WORDS
 from quillmark.operators.text_metrics import FILES, SQL_LINES, files
 from quillmark.sources.tables import table
@@ -87,9 +88,12 @@ def h26_trust(spark, sf_dir):
 
 
 def k6_growth(spark, sf_dir):
-    """K.6: slope of complexity over the index of each repo's records by time, groups of three and more."""
-    w = W.partitionBy("repo").orderBy(F.coalesce("t", F.lit(0)), "id")
-    b = bugs(spark, sf_dir).where("size(features) = 16").select("repo", "id", F.col("features")[1].alias("y"), (F.row_number().over(w) - 1).cast("double").alias("x"))
+    """K.6: slope of complexity over the index of each repo's records by time, groups of three and more.
+
+    The index comes from running counts by month, so a repo with many records is no task of its own."""
+    b = bugs(spark, sf_dir).where("size(features) = 16").select("repo", "id", F.coalesce("t", F.lit(0)).alias("t"), F.col("features")[1].alias("y"))
+    b = b.withColumn("month", F.expr("t div 2592000"))
+    b = running(b, ["repo"], "month", [F.col("t"), F.col("id")], {"x": F.lit(1).cast("long")}).withColumn("x", F.col("x").cast("double"))
     return b.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"), F.min_by("id", "x").alias("first")).where("n >= 3").select("repo", "n", F.round("slope", 5).alias("slope"), "first")
 
 
@@ -178,6 +182,7 @@ def o29_ablation(spark, sf_dir):
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "chko" and k[1].isdigit()}
 _AU = "(2 * rank() OVER (PARTITION BY feature ORDER BY x) + count(*) OVER (PARTITION BY feature, x) - 1) / 2.0"
 ORACLE = {
+    "k6_growth": f"WITH {B}, x AS (SELECT repo, id, features[2] AS y, row_number() OVER (PARTITION BY repo ORDER BY coalesce(t, 0), id) - 1 AS x FROM b WHERE len(features) = 16) SELECT repo, count(*) AS n, round(regr_slope(y, x), 5) AS slope, arg_min(id, x) AS first FROM x GROUP BY 1 HAVING count(*) >= 3",
     "c11_ignored": f"SELECT file_id, regexp_matches(path, '^.*/tests/.*$') OR regexp_matches(path, '^.*/lib/.*\\.js$') AS ignored FROM {FILES}",
     "c13_guard": f"WITH f AS (SELECT file_id, {SQL_LINES} AS ls FROM {FILES} WHERE code IS NOT NULL) SELECT file_id, len(ls) <= 2000 AS accepted, length(coalesce(array_to_string(ls[:2000], chr(10)), '')) AS n_chars FROM f",
     "c24_tool_labels": f"WITH {_M}, l AS (SELECT id, CASE WHEN cc > 20 AND n_long > 5 THEN 'anti_pattern' WHEN cc <= 4 AND sloc <= 40 THEN 'clean' WHEN n_long > 10 OR n_complex > 10 THEN 'code_smell' WHEN over_80 >= 5 THEN 'style_violation' END AS label FROM m) SELECT * FROM l WHERE label IS NOT NULL",

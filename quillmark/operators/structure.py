@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+import sys
 import textwrap
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.functions import context, taint
+from quillmark.functions import blocks, context, taint
 from quillmark.functions import pycode as P
 from quillmark.functions import text as T
 from quillmark.functions.normalize import language
@@ -257,51 +258,57 @@ def g15_purpose(spark, sf_dir):
     return m.select("file_id", layer.alias("layer"))
 
 
-# ---- other languages: regular-expression approximations, one table of facts a language
+# ---- other languages: tokens and nested statements (functions.blocks)
 
-_BRACED = {"line": "//", "block": (r"/\*", r"\*/"), "branch": r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?(?![.?:])"}
-GENERIC: dict[str, dict] = {
-    "javascript": _BRACED, "typescript": _BRACED, "java": _BRACED, "c": _BRACED, "cpp": _BRACED, "csharp": _BRACED | {"branch": r"\b(?:if|for|foreach|while|case|catch)\b|&&|\|\||\?(?![.?:])"},
-    "go": _BRACED | {"branch": r"\b(?:if|for|case|select)\b|&&|\|\|"}, "rust": _BRACED | {"branch": r"\b(?:if|for|while|loop|match)\b|&&|\|\|"}, "php": _BRACED | {"line": "(?://|#)", "branch": r"\b(?:if|elseif|for|foreach|while|case|catch)\b|&&|\|\|"},
-    "ruby": {"line": "#", "block": (r"^=begin", r"^=end"), "branch": r"\b(?:if|elsif|unless|while|until|when|rescue|for)\b|&&|\|\|"},
-}
+_MARKS = {lang: (("//", "#") if lang == "php" else ("#",) if lang == "ruby" else ("//",), ("=begin", "=end") if lang == "ruby" else ("/*", "*/")) for lang in blocks.LANGUAGES}
+CALLS = 1_000_000  # nested calls of the reader, from Python to Python: frames on the heap
 
 
-def generic_of(code: str, lang: str) -> tuple:
-    """D.3-D.5, E.8-E.19: (sloc, comment, blank, cyclomatic, cognitive) by a scan over lines; strings are cut out first."""
-    g = GENERIC[lang]
-    sloc = comment = blank = cc = cog = depth = 0
+def line_kinds(code: str, lang: str) -> tuple[int, int, int]:
+    """D.3-D.5: (source lines, comment lines, blank lines); a line is what it begins with."""
+    marks, (begin, end) = _MARKS[lang]
+    sloc = comment = blank = 0
     open_block = False
     for line in code.splitlines():
         s = line.strip()
         if not s:
             blank += 1
-            continue
-        if open_block:
+        elif open_block:
             comment += 1
-            open_block = re.search(g["block"][1], s) is None
-            continue
-        if re.match(g["line"], s):
+            open_block = end not in s
+        elif s.startswith(begin):
             comment += 1
-            continue
-        if re.match(g["block"][0], s):
+            open_block = end not in s[len(begin) :]
+        elif s.startswith(marks):
             comment += 1
-            open_block = re.search(g["block"][1], s[2:]) is None
-            continue
-        sloc += 1
-        bare = re.sub(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`", '""', re.split(r"\s" + g["line"], s)[0])
-        hits = re.findall(g["branch"], bare)
-        cc += len(hits)
-        cog += sum(1 if h[0] in "&|?" else 1 + max(0, depth - 1) for h in hits)
-        depth = max(0, depth + bare.count("{") - bare.count("}"))
-    return sloc, comment, blank, cc + 1, cog
+        else:
+            sloc += 1
+    return sloc, comment, blank
+
+
+def generic_of(code: str, lang: str) -> tuple:
+    """E.8-E.19: line_kinds, then cyclomatic, cognitive, depth, types, functions, their greatest and mean complexity, long
+    (over 50 lines) and complex (over 10) ones."""
+    sys.setrecursionlimit(max(CALLS, sys.getrecursionlimit()))
+    m = blocks.measure(code, lang)
+    cc = [f[2] for f in m.functions]
+    return (
+        *line_kinds(code, lang), m.cyclomatic, m.cognitive, m.depth, m.n_types, len(cc), max(cc, default=0), sum(cc) / len(cc) if cc else 0.0,
+        sum(last - first >= 50 for first, last, _ in m.functions), sum(c > 10 for c in cc),
+    )
+
+
+GENERIC = (
+    "lang string, sloc long, comment long, blank long, cyclomatic long, cognitive long, depth long, n_types long, n_functions long, "
+    "max_cyclomatic long, avg_cyclomatic double, n_long long, n_complex long"
+)
 
 
 def e8_generic_metrics(spark, sf_dir):
-    """Metrics of the files in a language of GENERIC; null sources give none, an empty one the values of no line."""
-    f = files(spark, sf_dir).withColumn("lang", language(F.col("language"), F.col("path"))).where(F.col("lang").isin(sorted(GENERIC)) & F.col("code").isNotNull())
+    """Metrics of the files in a language of blocks.LANGUAGES; null sources give none, an empty one the values of no line."""
+    f = files(spark, sf_dir).withColumn("lang", language(F.col("language"), F.col("path"))).where(F.col("lang").isin(sorted(blocks.LANGUAGES)) & F.col("code").isNotNull())
     packed = f.select("file_id", F.concat_ws("\n", "lang", "code").alias("code"))
-    return per_source(packed, "lang string, sloc long, comment long, blank long, cyclomatic long, cognitive long", lambda c: [(c.partition("\n")[0], *generic_of(c.partition("\n")[2], c.partition("\n")[0]))])
+    return per_source(packed, GENERIC, lambda c: [(c.partition("\n")[0], *generic_of(c.partition("\n")[2], c.partition("\n")[0]))])
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if re.match(r"[defgi]\d+_", k)}

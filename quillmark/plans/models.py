@@ -5,7 +5,10 @@ Names begin with ml_; their numbers are those of the models here, not of other l
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -145,14 +148,26 @@ def min_norm_weights(grads: np.ndarray, steps: int = 50) -> np.ndarray:
 
 
 def ml_bootstrap(spark, sf_dir, resamples: int = 200, seed: int = 7):
-    """J.9, P.23: bootstrap interval of the label rate; each row draws a Poisson(1) count per resample, so the
-    resamples cost one aggregation and are independent of how rows are partitioned."""
-    b = bugs(spark, sf_dir).where("label is not null")
-    r = b.select("id", "label", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("s"))
-    u = F.pmod(F.xxhash64("id", "s", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+    """J.9, P.23: bootstrap interval of the label rate; each row draws a Poisson(1) count per resample by the hash of its id,
+    so the resamples cost one pass and are independent of how rows are partitioned.  A task returns one row a resample."""
+    b = bugs(spark, sf_dir).where("label is not null").select("id", F.col("label").cast("double").alias("label"))
     edges = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120)])
-    k = sum((F.when(u >= float(e), 1).otherwise(0) for e in edges), F.lit(0))
-    g = r.groupBy("s").agg((F.sum(k * F.col("label")) / F.sum(k)).alias("rate"))
+    salts = np.random.default_rng(seed).integers(1, 2**63, size=resamples, dtype=np.uint64)
+
+    def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, hits = np.zeros(resamples), np.zeros(resamples)
+        for part in parts:
+            ids = part.column("id").to_numpy().astype(np.uint64)
+            y = part.column("label").to_numpy()
+            for at in range(0, len(ids), 4096):
+                h = (ids[at : at + 4096, None] ^ salts) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                k = np.searchsorted(edges, ((h ^ (h >> np.uint64(32))) >> np.uint64(11)) / 2.0**53, side="right")
+                total += k.sum(axis=0)
+                hits += y[at : at + 4096] @ k
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(total), pa.array(hits)], names=["s", "n", "pos"])
+
+    g = b.mapInArrow(draw, "s long, n double, pos double").groupBy("s").agg(F.try_divide(F.sum("pos"), F.sum("n")).alias("rate"))
     return g.agg(F.round(F.percentile("rate", F.lit(0.025)), 6).alias("low"), F.round(F.avg("rate"), 6).alias("mean"), F.round(F.percentile("rate", F.lit(0.975)), 6).alias("high"))
 
 

@@ -119,7 +119,7 @@ def test_taint():
 def test_small_functions():
     assert admit([0, 1, 2, 3, 10], [], seconds=5, most=2)[0] == [True, True, False, False, True]
     assert P.renamed("a = b + a if c else d") == "VAR1 = VAR2 + VAR1 if VAR3 else VAR4"
-    assert structure.generic_of("// c\nint f() { if (a && b) { return 1; } }\n/* x\n y */\n\n", "java") == (1, 3, 1, 3, 2)
+    assert structure.generic_of("// c\nint f() { if (a && b) { return 1; } }\n/* x\n y */\n\n", "java") [:5] == (1, 3, 1, 3, 2)
     w = min_norm_weights(np.array([[1.0, 0.0], [0.0, 1.0]]))
     assert abs(w[0] - 0.5) < 1e-6
 
@@ -132,3 +132,19 @@ def test_heavy_keys_are_joined_like_the_rest(spark):
         got = join_heavy(df, small, ["k"], "n", 1000, least)
         assert sorted(map(tuple, got.select("k", "id", "n", "top").collect())) == want
     assert join_heavy(df.limit(0), small, ["k"], "n", 0, 1).count() == 0
+
+
+def test_running_states_and_order_equal_brute_force(spark):
+    """One key holds most rows, many rows share a place in time, some keys and months are null."""
+    rng = np.random.default_rng(2)
+    rows = [(i, "a" if i % 3 else None if i % 2 else "b", int(t), float(v)) for i, (t, v) in enumerate(zip(rng.integers(0, 6, 400), rng.integers(0, 9, 400)))]
+    df = spark.createDataFrame(rows, "id long, k string, t long, v double").withColumn("month", F.expr("t div 2"))
+    got = {r.id: (r.n, r.total, r.top) for r in skew.running(df, ["k"], "month", [F.col("t"), F.col("id")], {"n": F.lit(1).cast("long"), "total": F.col("v")}, {"top": F.col("t")}).collect()}
+    for i, k, t, _ in rows:
+        earlier = [r for r in rows if r[1] == k and (r[2], r[0]) < (t, i)]
+        assert got[i] == (len(earlier), sum(r[3] for r in earlier), max((r[2] for r in earlier), default=None))
+    got = skew.in_order(df, [F.asc("t"), F.asc("id")], ["v"], 7).orderBy("rn").collect()
+    want = sorted(rows, key=lambda r: (r[2], r[0]))
+    assert [r.id for r in got] == [r[0] for r in want] and [r.rn for r in got] == list(range(1, 401)) and {r.n for r in got} == {400}
+    assert [r.cum_v for r in got] == np.cumsum([r[3] for r in want]).tolist()
+    assert skew.in_order(df.limit(0), [F.asc("t")]).count() == 0 and skew.running(df.limit(0), ["k"], "month", [F.col("t")], {"n": F.lit(1)}).count() == 0

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark import registry
-from quillmark.functions import context, pycode, taint
+from quillmark.functions import blocks, context, pycode, taint
 from quillmark.operators import changes, checks, clones, rule_scan, structure, text_metrics
 
 QUERIES, SQL = registry.collect(registry.MODULES)
@@ -236,7 +236,7 @@ def test_models(name, spark, sf):
 KEYS = {
     "a19_complexity_records": ["id"], "api_analyze": ["file_id"], "api_quick": ["file_id"], "api_debt": ["file_id"], "api_explain": None, "api_function_risk": None, "api_patterns": None, "api_security": None, "api_batch": [],
     "d14_renamed": ["file_id"], "e23_identifier_features": ["file_id"], "f18_issues": ["file_id", "analyzer", "kind", "line"], "f34_hotspots": ["file_id", "analyzer"], "f43_coupling": ["file_id"], "g15_purpose": ["file_id"],
-    "h24_ensemble": ["id"], "h32_growth_rate": ["id"], "k6_growth": ["repo"], "a1_tree_scan": [], "q3_admitted": None, "q3_admitted_stream": None,
+    "h24_ensemble": ["id"], "h32_growth_rate": ["id"], "a1_tree_scan": [], "q3_admitted": None, "q3_admitted_stream": None,
 }
 
 
@@ -256,3 +256,27 @@ def test_every_query_has_values():
     named = set(KEYS) | {n for n in QUERIES if n.startswith("ml_")} | set(SQL)
     named |= {"e5_metrics", "e29_functions", "f45_quality", "e26_sequences", "g5_taint_vector", "f39_imports", "e25_node_bigrams", "e8_generic_metrics", "g1_taint", "g8_traces", "i1_near_clones", "k20_diff_features", "l14_changed_line_findings", "g11_route_parameters"}
     assert set(QUERIES) <= named, sorted(set(QUERIES) - named)
+
+
+BRACED = {
+    "java": ("class A {\n  int f(int a, int b) throws E {\n    if (a > 0 && b > 0) { return 1; }\n    else if (a < 0) { return 2; }\n    for (int i = 0; i < b; i++)\n      if (i == a) b++;\n    switch (a) { case 1: b = 2; break; default: b = 3; }\n    try { g(); } catch (E e) { b = a > 1 ? 2 : 3; }\n    run(() -> { if (a == 1) { g(); } });\n    return 0;\n  }\n}\n", 10, 12, [10, 2]),
+    "javascript": ("function f(a) {\n  if (a) { return a ?? 1; }\n  const g = (x) => { while (x--) { if (x) break; } return x ? 1 : 2; };\n  return a.filter(function (y) { return y && y > 1; });\n}\nclass B { m(x) { do { x++; } while (x < 3); return /a{2}/.test(x); } }\n", 7, 10, [6, 3, 2, 2]),
+    "go": ("package a\nfunc f(a int) (int, error) {\n\tif a > 0 && a < 3 {\n\t\treturn 1, nil\n\t} else if a < 0 {\n\t\treturn 2, nil\n\t}\n\tfor i := 0; i < a; i++ {\n\t\tswitch {\n\t\tcase i == 1: g()\n\t\tdefault: h()\n\t\t}\n\t}\n\tx := T{a: 1}\n\tgo func() { if a == 1 { g() } }()\n\treturn x.y, nil\n}\n", 9, 9, [9, 2]),
+    "rust": ("impl A {\n  fn f(&self, a: i32) -> Option<i32> {\n    let x = if a > 1 { 2 } else { 3 };\n    match x { 1 => None, 2 | 3 if a == 1 => { Some(1) } _ => Some(2), }\n    for i in 0..a { loop { break; } }\n    let c = |y| { y + 1 };\n    while let Some(z) = g() { h::<'a>(z)?; }\n  }\n}\n", 8, 6, [8, 1]),
+    "php": ("<?php\nclass A { function f($a) { if ($a) { g(); } elseif ($a > 1) { h(); } else { foreach ($a as $b) { k($b); } } return $a ? 1 : 2; # if\n} }\n", 4, 4, [4]),
+    "ruby": ("class A\n  def f(a)\n    return 1 if a && a > 1\n    while a do\n      a -= 1\n    end\n    case a\n    when 1 then 2\n    when 2 then 3\n    end\n    a.each do |x|\n      puts x unless x\n    end\n  rescue E\n    nil\n  end\nend\n", 8, 4, [8, 2]),
+    "c": ("int f(int a) { if (a) return 1; do { a--; } while (a); switch (a) { case 1: case 2: return 3; default: break; } return a ? 1 : 0; }\nstruct S { int x; };\nstatic int g(void)\n{\n  for (;;) { if (f(1) || f(2)) break; }\n  return 0;\n}\n", 10, 8, [7, 4]),
+    "cpp": ("namespace n { template<class T> class A : public B { A(int a) : x(a), y(2) { if (a) x = 1; } int f() const { try { return 1; } catch (...) { return [&](int z) { return z; }(2); } } }; }\n", 3, 1, [2, 2]),
+    "csharp": ("class A { public int P { get; set; } void F<T>(T a) where T : B { foreach (var x in a) { if (x is null || x.Y) continue; } var s = @\"if {\" + $\"{a}\"; } int G(int a) => a > 1 ? 1 : 2; }\n", 4, 5, [4]),
+}
+
+
+@pytest.mark.parametrize("lang", sorted(BRACED))
+def test_metrics_by_language(lang):
+    code, cc, cog, functions = BRACED[lang]
+    m = blocks.measure(code, lang)
+    assert (m.cyclomatic, m.cognitive) == (cc, cog)
+    assert sorted((f[2] for f in m.functions if f[2] > 1 or lang == "rust"), reverse=True) == functions
+    for cut in range(0, len(code), 7):  # broken sources are read as far as they go
+        assert blocks.measure(code[:cut], lang).cyclomatic >= 1
+    assert blocks.measure("", lang) == blocks.Measures()
