@@ -77,11 +77,13 @@ LOCK_FILES = {
 _SUFFIX = re.compile(
     r"(?:[.\-](?:min|bundle|packed|prod|chunk|pb|g|gen|generated|designer)|_pb2|_pb2_grpc|_pb|_gen|_generated|\.pb\.gw|_rc|_wsdl)\.[A-Za-z0-9]+$", re.I
 )
-#: Names of repos that hold nothing else: what they hold, then how.
-_REPO = re.compile(
-    r"^(?:vendored[-_](?:deps|libs|modules|packages)|(?:dist|build|release)[-_](?:bundles?|files|output|artifacts)|"
-    r"(?:sdk|api|client|proto|stubs?)[-_](?:generated|stubs-generated|gen)|generated[-_](?:sdk|api|clients?|code|stubs)|third[-_]party[-_](?:libs|deps))$"
-)
+#: Repos that hold nothing else: all words of their name are of one family, one that says whose or how and one that says what.
+_REPO_WORDS = [
+    (set("vendored thirdparty 3rdparty thirdpartylibs bundled external vendor".split()), set("deps dependencies libs lib libraries modules packages mirror mirrors sources src code copies archive snapshot snapshots".split())),
+    (set("dist build built release minified compiled".split()), set("bundle bundles files output outputs artifact artifacts assets dist".split())),
+    (set("generated autogenerated gen stubs".split()), set("sdk sdks api apis client clients code proto protos grpc models stubs generated".split())),
+]
+_UPSTREAM = re.compile(r"[/\-_.]upstream[\-_.](?:copy|copies|mirror|snapshot)$")
 _STATIC = re.compile(r"(?:^|/)static/(?:js|css)/")
 _COMMENT = re.compile(r"\s*(?:#(?!!)|//|/\*|\*|--|<!--|;|%)")
 _DATA_LINE = re.compile(
@@ -121,7 +123,16 @@ def path_reason(path: str | None) -> str | None:
 
 def repo_reason(key: str | None) -> str | None:
     """A repo whose name says that it holds only built, vendored or generated files."""
-    return "vendored" if key and _REPO.match(key.rpartition("/")[2]) else None
+    if not key:
+        return None
+    if _UPSTREAM.search(key):
+        return "vendored"
+    words = re.split(r"[-_.]+", re.sub(r"third[-_.]?party|3rd[-_.]?party", "thirdparty", key.rpartition("/")[2]))
+    for how, what in _REPO_WORDS:
+        # two words at least, which may both be of the first kind's list if one is of the second's too
+        if len(words) > 1 and all(w in how or w in what for w in words) and any(w in how and any(v in what for v in words[:k] + words[k + 1 :]) for k, w in enumerate(words)):
+            return "vendored"
+    return None
 
 
 def _blocks(lines: list[str]) -> tuple[int, int]:

@@ -98,7 +98,7 @@ def test_characters_that_grow_in_lower_case():
 def test_keywords_lose_no_line():
     """As if every line had a keyword."""
     every = secrets.ahocorasick.Automaton()
-    for c in map(chr, range(33, 127)):
+    for c in [*map(chr, range(33, 127)), *secrets.KEYWORDS]:
         every.add_word(c, c)
     every.make_automaton()
     names = [n + " = 'Zk29fQ81xw'" for n in "passphrase dbPasscode my_pw kennwort contrasena clave secreto geheimnis jeton mot_de_passe tokens apiKey access_key_id license_key creds auth jwt_value bearer".split()]
@@ -373,3 +373,11 @@ def test_placeholders_by_shape(residue_table):
         assert judge(s) is None, s
     long = "The readability score fell because the loop is nested. " * 40
     assert residue.judge(residue.sentences(long + "Owner: {{ owner }}"), residue_table)[1] < 0.02
+
+
+def test_repos_by_the_words_of_their_name():
+    for name in ("vendored-deps", "thirdparty-mirror", "third-party-libs", "third_party_mirror", "dist-bundles", "build-artifacts", "sdk-generated", "sdk-stubs-generated", "generated-api-clients", "proto-gen", "zlib-upstream-copy"):
+        assert origin.repo_reason("a/" + name) == "vendored", name
+    for name in ("cargo-vendor-portal", "moraine-codegen", "bundles", "api-client", "build", "release-notes", "generated", "mirror", "vendor-api", "code-build", "stub-press", "upstream-tools", ""):
+        assert origin.repo_reason("a/" + name) is None, name
+    assert origin.repo_reason(None) is None
