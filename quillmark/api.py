@@ -23,8 +23,10 @@ from quillmark.operators.text_metrics import files
 
 
 def security(df: DataFrame) -> DataFrame:
-    """Findings of the line rules and of the syntax rules; per line and type the line rule counts."""
-    lines = scan_lines(df).select("file_id", "lineno", "vuln_type", "severity", "confidence", "cwe")
+    """Findings of the line rules and of the syntax rules; per line and type the line rule counts.  A Python source that does
+    not parse has none."""
+    broken = per_source(df.where(F.col("language") == "python"), "parses boolean", lambda c: [] if P.parse(c) else [(False,)])
+    lines = scan_lines(df).join(broken, "file_id", "left_anti").select("file_id", "lineno", "vuln_type", "severity", "confidence", "cwe")
     tree = issues(df).where("analyzer = 'security'").select("file_id", F.col("line").alias("lineno"), F.col("kind").alias("vuln_type"), "severity", "confidence", F.lit(None).cast("string").alias("cwe"))
     return lines.unionByName(tree.join(lines.select("file_id", "lineno", "vuln_type"), ["file_id", "lineno", "vuln_type"], "left_anti"))
 

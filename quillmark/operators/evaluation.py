@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions.normalize import repo_key
-from quillmark.operators.skew import in_order
-from quillmark.sources.tables import table
+from quillmark.operators.skew import in_order, join_heavy
+from quillmark.sources.tables import materialize, table
 
 
 def scored(spark, sf_dir) -> DataFrame:
@@ -34,12 +34,22 @@ def ranked(df: DataFrame, value: str = "score", sums: tuple[str, ...] = ("y",),
 
 
 def average_ranks(df: DataFrame, value: str, part: list[str] | None = None, out: str = "rank") -> DataFrame:
-    """Average rank (ties share their mean) of ``value`` ascending within ``part``, from counts per value."""
+    """Average rank (ties share their mean) of ``value`` ascending within ``part``; rows without a value have none and go.
+
+    Ranks come from the counts of the distinct values in one order over all parts, cut into ranges, less the count
+    before the part begins; values that many rows share are joined where those rows lie.
+    """
     part = part or []
-    counts = df.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = (W.partitionBy(*part) if part else W.partitionBy(F.lit(1))).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranks = counts.withColumn(out, F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2).drop("_c")
-    return df.join(ranks, [*part, value])
+    df = df.where(F.col(value).isNotNull())
+    counts = in_order(df.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_c")), [F.asc(c) for c in [*part, value]], ["_c"])
+    ranks = materialize(counts.withColumn("_before", F.col("cum__c") - F.col("_c")).drop("rn", "n", "cum__c"), "ranks")
+    size = ranks.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("_c"), F.lit(0)).alias("n")).first()
+    start = F.lit(0)
+    if part:
+        first = ranks.groupBy(*part).agg(F.min("_before").alias("_start"), F.count(F.lit(1)).alias("_k"))
+        ranks, start = join_heavy(ranks, first, part, "_k", size.k).drop("_k"), F.col("_start")
+    ranks = ranks.select(*part, value, "_c", (F.col("_before") - start + (F.col("_c") + 1) / 2).alias(out))
+    return join_heavy(df, ranks, [*part, value], "_c", size.n).drop("_c")
 
 
 def l2_at_k(spark, sf_dir, ks: tuple[int, ...] = (5, 10, 20, 50, 100)):

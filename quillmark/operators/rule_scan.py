@@ -14,6 +14,7 @@ from quillmark.functions import rules as R
 from quillmark.functions import text as T
 from quillmark.functions.normalize import language
 from quillmark.operators.clones import diff_lines
+from quillmark.operators.skew import places
 from quillmark.operators.text_metrics import SQL_LINES, c8_suppressions, files
 from quillmark.sources.tables import table
 
@@ -189,8 +190,8 @@ def b6_annotations(spark, sf_dir):
 def l12_ranked_findings(spark, sf_dir):
     """L.12: place of each finding within its file by severity and line."""
     rank = F.create_map(*(F.lit(x) for kv in R.SEVERITY_RANK.items() for x in kv))[F.col("severity")]
-    w = W.partitionBy("file_id").orderBy(rank, "lineno", "finding_id")
-    return _findings(spark, sf_dir).where("file_id is not null").select("finding_id", F.row_number().over(w).cast("long").alias("place"))
+    f = _findings(spark, sf_dir).where("file_id is not null").withColumn("rank", rank)
+    return places(f, ["file_id"], [F.asc("rank"), F.asc("lineno"), F.asc("finding_id")]).select("finding_id", "place")
 
 
 def l14_changed_line_findings(spark, sf_dir):

@@ -103,6 +103,15 @@ def in_order(df: DataFrame, order: list[Column], sums: Sequence[str] = (), parts
     return out.drop("_p", "_o", *(f"_o_{c}" for c in sums))
 
 
+def places(df: DataFrame, part: list[str], order: list[Column]) -> DataFrame:
+    """Add place (1, 2, ... within ``part`` in ``order``): the number in one order over all parts less the part's first
+    number, so a part that holds many rows is cut into ranges like the rest.  Rows with a null part go."""
+    x = in_order(df, [*(F.asc(c) for c in part), *order])
+    first = x.groupBy(*part).agg(F.min("rn").alias("_first"), F.count(F.lit(1)).alias("_k"))
+    row = x.select("n").first()
+    return join_heavy(x, first, part, "_k", row.n if row else 0).withColumn("place", F.col("rn") - F.col("_first") + 1).drop("rn", "n", "_first", "_k")
+
+
 def running(df: DataFrame, keys: list[str], chunk: str, order: list[Column], sums: dict[str, Column], tops: dict[str, Column] | None = None) -> DataFrame:
     """Add for each of ``sums`` the sum, and of ``tops`` the greatest value, over the rows of the same ``keys`` that come
     before in ``order`` (0 and null where there are none).

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from quillmark import api
 
 CODE = 'import os\nimport hashlib\n\n\ndef f(x):\n    eval(x)\n    return hashlib.md5(x).hexdigest()\n\n\nf("a")\n'
@@ -16,5 +18,11 @@ def test_report(spark):
     total = api.batch(df).first()
     assert total.files == 4 and total.critical_files == 1
     assert api.batch(df.limit(0)).first().files == 0
+    some = spark.createDataFrame([(9, "f.py", "python", "password = 'Zk29fQ81xw'\ndef g(:\n")], df.schema)
+    assert api.security(some).count() == 0 and api.security(some.withColumn("code", F.lit("password = 'Zk29fQ81xw'\n"))).count() == 1
+    empty = {"clones", "refactoring", "performance", "dependencies", "taint"}  # nothing of theirs in these files
     for name, run in api.ANALYSES.items():
-        assert run(df).count() >= 0, name
+        rows = run(df).toPandas()
+        assert bool(len(rows)) != (name in empty), name
+        if "file_id" in rows.columns:
+            assert set(rows.file_id) <= {1, 2, 3, 5}, name

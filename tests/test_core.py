@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillmark.functions import pycode as P
+from quillmark.functions import taint
 from quillmark.functions.normalize import repo_key
 from quillmark.operators import checks, skew, structure, text_metrics
 from quillmark.operators.components import connected_components
@@ -110,16 +111,16 @@ def test_issues():
 
 
 def test_taint():
-    paths = lambda c: [(s, n) for s, n, _ in P.taint_paths(ast.parse(c))]
+    paths = lambda c: [(p.sink, p.line) for p in taint.analyse(c, ast.parse(c)).paths]
     assert paths("x = input()\neval(x)\n") == [("eval", 2)]
-    assert paths("x = input()\nif a:\n    y = x\nelse:\n    y = 1\nos.system(y)\n") == [("os.system", 6)]
+    assert paths("x = input()\nif a:\n    y = x\nelse:\n    y = 1\nos.system(y)\n") == [("system", 6)]
     assert paths("x = int(input())\neval(x)\n") == [] and paths("def f():\n    q = 1\n    eval(q)\n") == []
 
 
 def test_small_functions():
     assert admit([0, 1, 2, 3, 10], [], seconds=5, most=2)[0] == [True, True, False, False, True]
     assert P.renamed("a = b + a if c else d") == "VAR1 = VAR2 + VAR1 if VAR3 else VAR4"
-    assert structure.generic_of("// c\nint f() { if (a && b) { return 1; } }\n/* x\n y */\n\n", "java") [:5] == (1, 3, 1, 3, 2)
+    assert structure.generic_of("// c\nint f() { if (a && b) { return 1; } }\n/* x\n y */\n\n", "java")[:5] == (1, 3, 1, 3, 2)
     w = min_norm_weights(np.array([[1.0, 0.0], [0.0, 1.0]]))
     assert abs(w[0] - 0.5) < 1e-6
 
