@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.normalize import clean_name, repo_key
 from quillmark.operators.skew import in_order, running
-from quillmark.sources.tables import table
+from quillmark.sources.tables import materialize, table
 
 
 def epoch(text: Column) -> Column:
@@ -55,12 +55,12 @@ def k1_change_features(spark, sf_dir, year: int = 2003):
     )
     order = [F.col(c) for c in ("day", "commit", "nth", "file", "subsystem", "price")]
     one = F.lit(1).cast("long")
-    x = x.withColumn("month", F.date_trunc("month", "day"))
+    x = materialize(x.withColumn("month", F.date_trunc("month", "day")), "touched")
     # the number of developers before a row: first rows of (file, author) so far
-    x = running(x, ["file", "author"], "month", order, {"_seen": one})
-    x = running(x, ["file"], "month", order, {"ndev": (F.col("_seen") == 0).cast("long"), "nuc": one}, {"_last": F.col("day")})
-    x = running(x, ["author"], "month", order, {"exp": one, "rexp": 1.0 / (F.greatest(F.lit(0), F.lit(year) - F.year("day")) + 1)})
-    x = running(x, ["author", "subsystem"], "month", order, {"sexp": one})
+    seen = x = materialize(running(x, ["file", "author"], "month", order, {"_seen": one}), "seen")
+    x = running(x, ["file"], "month", order, {"ndev": (F.col("_seen") == 0).cast("long"), "nuc": one}, {"_last": F.col("day")}, seen)
+    x = running(x, ["author"], "month", order, {"exp": one, "rexp": 1.0 / (F.greatest(F.lit(0), F.lit(year) - F.year("day")) + 1)}, None, seen)
+    x = running(x, ["author", "subsystem"], "month", order, {"sexp": one}, None, seen)
     out = x.select(
         "commit", "nth", "file", "price", "fix", "added", "deleted", lines.alias("lt"), "ndev",
         F.coalesce(F.datediff("day", "_last") / 7.0, F.lit(0.0)).alias("age"), "nuc", "exp", F.coalesce("rexp", F.lit(0.0)).alias("rexp"), "sexp",

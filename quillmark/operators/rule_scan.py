@@ -72,7 +72,7 @@ def scan_lines(df: DataFrame, context: bool = False) -> DataFrame:
         }
     )
     cases = " ".join(f"WHEN '{lang}' THEN {line_hits(lang)}" for lang in sorted(R.BY_LANGUAGE))
-    found = ls.withColumn("hits", F.expr(f"CASE language {cases} ELSE {python_line_hits()} END")).where("size(hits) > 0")
+    found = ls.withColumn("hits", F.expr(f"CASE language {cases} ELSE {python_line_hits()} END"))
     kinds = F.transform("hits", lambda h: h["vuln_type"])
     first = F.filter("hits", lambda h, i: F.array_position(kinds, h["vuln_type"]) == i + 1)
     out = found.select("file_id", (F.col("pos") + 1).cast("long").alias("lineno"), *(["before", "line", "after"] if context else []), F.explode(first).alias("f"))

@@ -112,29 +112,30 @@ def places(df: DataFrame, part: list[str], order: list[Column]) -> DataFrame:
     return join_heavy(x, first, part, "_k", row.n if row else 0).withColumn("place", F.col("rn") - F.col("_first") + 1).drop("rn", "n", "_first", "_k")
 
 
-def running(df: DataFrame, keys: list[str], chunk: str, order: list[Column], sums: dict[str, Column], tops: dict[str, Column] | None = None) -> DataFrame:
+def running(
+    df: DataFrame, keys: list[str], chunk: str, order: list[Column], sums: dict[str, Column], tops: dict[str, Column] | None = None, base: DataFrame | None = None
+) -> DataFrame:
     """Add for each of ``sums`` the sum, and of ``tops`` the greatest value, over the rows of the same ``keys`` that come
-    before in ``order`` (0 and null where there are none).
+    before in ``order`` (0 and null where there are none).  Rows with a null key go.
 
-    ``chunk`` is a column that grows with ``order`` (a month): a task sorts one chunk of one key; the states at the chunks'
-    boundaries come from their aggregates, of which there is one row a key and chunk.  Null keys are keys like any other.
+    ``chunk`` is a column that grows with ``order`` (a month; not null): a task sorts one chunk of one key; the states at the
+    chunks' boundaries come from their aggregates, of which there is one row a key and chunk.  ``base`` has the same rows
+    and the columns that are used; give a written table where ``df`` is a chain of steps, which is then read once.
     """
     tops = tops or {}
-    df = df.withColumns({f"_v_{n}": c for n, c in {**sums, **tops}.items()})
-    parts = df.groupBy(*keys, chunk).agg(*(F.sum(f"_v_{n}").alias(f"_o_{n}") for n in sums), *(F.max(f"_v_{n}").alias(f"_o_{n}") for n in tops))
+    at = [*keys, chunk]
+    values = {f"_v_{n}": c for n, c in {**sums, **tops}.items()}
+    parts = (base or df).select(*at, *(c.alias(n) for n, c in values.items())).groupBy(*at)
+    parts = parts.agg(*(F.sum(f"_v_{n}").alias(f"_o_{n}") for n in sums), *(F.max(f"_v_{n}").alias(f"_o_{n}") for n in tops))
     before = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select(*(F.col(c).alias(f"_k_{c}") for c in [*keys, chunk]), *(F.sum(f"_o_{n}").over(before).alias(f"_o_{n}") for n in sums), *(F.max(f"_o_{n}").over(before).alias(f"_o_{n}") for n in tops))
-    w = W.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    inner = df.withColumns({f"_w_{n}": F.sum(f"_v_{n}").over(w) for n in sums} | {f"_w_{n}": F.max(f"_v_{n}").over(w) for n in tops})
-    same = None
-    for c in [*keys, chunk]:
-        one = F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-        same = one if same is None else same & one
+    parts = parts.select(*at, *(F.sum(f"_o_{n}").over(before).alias(f"_o_{n}") for n in sums), *(F.max(f"_o_{n}").over(before).alias(f"_o_{n}") for n in tops))
+    w = W.partitionBy(*at).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    inner = df.withColumns(values).withColumns({f"_w_{n}": F.sum(f"_v_{n}").over(w) for n in sums} | {f"_w_{n}": F.max(f"_v_{n}").over(w) for n in tops})
     zero = F.lit(0)
-    out = inner.join(parts, same).withColumns(
+    out = inner.join(parts, at).withColumns(
         {n: F.coalesce(f"_o_{n}", zero) + F.coalesce(f"_w_{n}", zero) for n in sums} | {n: F.coalesce(f"_w_{n}", f"_o_{n}") for n in tops}
     )
-    return out.select(*(c for c in df.columns if not c.startswith("_v_")), *sums, *tops)
+    return out.select(*df.columns, *sums, *tops)
 
 
 def chunked_results(
