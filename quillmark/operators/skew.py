@@ -113,29 +113,53 @@ def places(df: DataFrame, part: list[str], order: list[Column]) -> DataFrame:
 
 
 def running(
-    df: DataFrame, keys: list[str], chunk: str, order: list[Column], sums: dict[str, Column], tops: dict[str, Column] | None = None, base: DataFrame | None = None
+    df: DataFrame,
+    keys: list[str],
+    chunk: str,
+    order: list[Column],
+    sums: dict[str, Column],
+    tops: dict[str, Column] | None = None,
+    base: DataFrame | None = None,
+    least: int = LEAST_HEAVY,
 ) -> DataFrame:
     """Add for each of ``sums`` the sum, and of ``tops`` the greatest value, over the rows of the same ``keys`` that come
     before in ``order`` (0 and null where there are none).  Rows with a null key go.
 
-    ``chunk`` is a column that grows with ``order`` (a month; not null): a task sorts one chunk of one key; the states at the
-    chunks' boundaries come from their aggregates, of which there is one row a key and chunk.  ``base`` has the same rows
-    and the columns that are used; give a written table where ``df`` is a chain of steps, which is then read once.
+    Keys with at least a 1024th of all rows (and ``least``), at most 1024 by definition, are cut by ``chunk``, a column
+    that grows with ``order`` (a month; not null): a task sorts one chunk of such a key, and the states at the chunks'
+    boundaries come from their aggregates.  Other keys are one window each.  ``base`` has the same rows and the columns
+    that are used; give a written table where ``df`` is a chain of steps, which is then read once.
     """
-    tops = tops or {}
-    at = [*keys, chunk]
-    values = {f"_v_{n}": c for n, c in {**sums, **tops}.items()}
-    parts = (base or df).select(*at, *(c.alias(n) for n, c in values.items())).groupBy(*at)
-    parts = parts.agg(*(F.sum(f"_v_{n}").alias(f"_o_{n}") for n in sums), *(F.max(f"_v_{n}").alias(f"_o_{n}") for n in tops))
-    before = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select(*at, *(F.sum(f"_o_{n}").over(before).alias(f"_o_{n}") for n in sums), *(F.max(f"_o_{n}").over(before).alias(f"_o_{n}") for n in tops))
-    w = W.partitionBy(*at).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    inner = df.withColumns(values).withColumns({f"_w_{n}": F.sum(f"_v_{n}").over(w) for n in sums} | {f"_w_{n}": F.max(f"_v_{n}").over(w) for n in tops})
+    tops, base = tops or {}, base or df
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    df, base = df.where(known), base.where(known)
+    names, values = [*sums, *tops], {f"_v_{n}": c for n, c in {**sums, **tops}.items()}
+
+    def over(w: W, prefix: str, out: str) -> dict[str, Column]:
+        return {f"{out}{n}": F.sum(f"{prefix}{n}").over(w) for n in sums} | {f"{out}{n}": F.max(f"{prefix}{n}").over(w) for n in tops}
+
+    per = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
+    seen = per.agg(F.sum("_k").alias("n"), F.max("_k").alias("top")).first()
+    at = max(least, (seen.n or 0) // HEAVY_PARTS)
+    columns = df.columns
+    df = df.withColumns(values)
+    before = (W.unboundedPreceding, -1)
+    if (seen.top or 0) < at:
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(*before)
+        out = df.withColumns(over(w, "_v_", "_w_")).withColumns({f"_o_{n}": F.lit(None) for n in names})
+    else:
+        heavy = F.broadcast(per.where(F.col("_k") >= at).select(*keys, F.lit(True).alias("_h")))
+        parts = base.join(heavy, keys).select(*keys, F.col(chunk).alias("_c"), *(c.alias(n) for n, c in values.items())).groupBy(*keys, "_c")
+        parts = parts.agg(*(F.sum(f"_v_{n}").alias(f"_p_{n}") for n in sums), *(F.max(f"_v_{n}").alias(f"_p_{n}") for n in tops))
+        parts = parts.select(*keys, "_c", *(c.alias(n) for n, c in over(W.partitionBy(*keys).orderBy("_c").rowsBetween(*before), "_p_", "_o_").items()))
+        w = W.partitionBy(*keys, "_c").orderBy(*order).rowsBetween(*before)
+        inner = df.join(heavy, keys, "left").withColumn("_c", F.when(F.col("_h"), F.col(chunk))).withColumns(over(w, "_v_", "_w_"))
+        out = inner.join(parts, [*keys, "_c"], "left")
     zero = F.lit(0)
-    out = inner.join(parts, at).withColumns(
-        {n: F.coalesce(f"_o_{n}", zero) + F.coalesce(f"_w_{n}", zero) for n in sums} | {n: F.coalesce(f"_w_{n}", f"_o_{n}") for n in tops}
-    )
-    return out.select(*df.columns, *sums, *tops)
+    out = out.withColumns({n: F.coalesce(f"_o_{n}", zero) + F.coalesce(f"_w_{n}", zero) for n in sums} | {n: F.coalesce(f"_w_{n}", f"_o_{n}") for n in tops})
+    return out.select(*columns, *names)
 
 
 def chunked_results(

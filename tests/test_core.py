@@ -140,13 +140,15 @@ def test_running_states_and_order_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(i, "a" if i % 3 else None if i % 2 else "b", int(t), float(v)) for i, (t, v) in enumerate(zip(rng.integers(0, 6, 400), rng.integers(0, 9, 400)))]
     df = spark.createDataFrame(rows, "id long, k string, t long, v double").withColumn("month", F.expr("t div 2"))
-    got = {r.id: (r.n, r.total, r.top) for r in skew.running(df, ["k"], "month", [F.col("t"), F.col("id")], {"n": F.lit(1).cast("long"), "total": F.col("v")}, {"top": F.col("t")}).collect()}
-    assert set(got) == {r[0] for r in rows if r[1]}
-    for i, k, t, _ in rows:
-        if k is None:
-            continue
-        earlier = [r for r in rows if r[1] == k and (r[2], r[0]) < (t, i)]
-        assert got[i] == (len(earlier), sum(r[3] for r in earlier), max((r[2] for r in earlier), default=None))
+    for least in (1, 100, 10_000):  # all keys, one key, no key in chunks
+        run = skew.running(df, ["k"], "month", [F.col("t"), F.col("id")], {"n": F.lit(1).cast("long"), "total": F.col("v")}, {"top": F.col("t")}, least=least)
+        got = {r.id: (r.n, r.total, r.top) for r in run.collect()}
+        assert set(got) == {r[0] for r in rows if r[1]}
+        for i, k, t, _ in rows:
+            if k is None:
+                continue
+            earlier = [r for r in rows if r[1] == k and (r[2], r[0]) < (t, i)]
+            assert got[i] == (len(earlier), sum(r[3] for r in earlier), max((r[2] for r in earlier), default=None))
     got = skew.in_order(df, [F.asc("t"), F.asc("id")], ["v"], 7).orderBy("rn").collect()
     want = sorted(rows, key=lambda r: (r[2], r[0]))
     assert [r.id for r in got] == [r[0] for r in want] and [r.rn for r in got] == list(range(1, 401)) and {r.n for r in got} == {400}
