@@ -4,6 +4,7 @@ import ast
 import math
 import random
 import textwrap
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from quillmark import registry
 from quillmark.functions import blocks, context, pycode, taint
 from quillmark.operators import changes, checks, clones, rule_scan, structure, text_metrics
+from quillmark.sources.tables import materialize
 
 QUERIES, SQL = registry.collect(registry.MODULES)
 
@@ -117,6 +119,36 @@ def test_near_clones(spark):
     assert got[1] == ("type1", 1.0) and got[2] == ("type2", 0.95) and got[3][0] == "type3" and 0.7 <= got[3][1] < 1 and 4 not in got
 
 
+def test_near_clones_write_no_row_a_term(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(clones, "materialize", lambda df, *a: (t := materialize(df, *a), sizes.append(t.count()))[0])
+    df = spark.createDataFrame([(i, BLOCK.replace("out", f"out_{i}").replace("rate", f"rate{i % 3}")) for i in range(30)], "file_id long, code string")
+    f = structure.per_source(df, structure.FRAGMENTS, structure.fragments_of)
+    assert clones.near_clones(f, F.col("file_id") == 20).count() and max(sizes) <= 30
+
+
+def test_similar_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["a", "b", "a_b", "b_a", "a_b_a", "_c", "c_", "d", "e"]
+    lists = [[words[x] for x in rng.choice(9, rng.integers(0, 8), p=[0.3, 0.2, 0.1, 0.1, 0.06, 0.06, 0.06, 0.06, 0.06])] for _ in range(300)]
+    docs = materialize(spark.createDataFrame([(i, i % 7 == 0, w) for i, w in enumerate(lists)], "id long, asked boolean, w array<string>").repartition(3))
+    terms = [Counter([*w, *map("_".join, zip(w, w[1:]))]) for w in lists]
+    df = Counter(t for c in terms for t in c)
+    top = sorted(df.items(), key=lambda t: (-t[1], t[0]))[:20]
+    assert clones.top_terms(docs, 300, 20) == top
+    v = np.array([[c[t] / max(1, c.total()) * (np.log(301 / (n + 1)) + 1) for t, n in top] for c in terms])
+    v = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).astype(np.float32).astype(float)
+    sims = np.round(v @ v.T / np.maximum(np.outer(*[np.linalg.norm(v, axis=1)] * 2), 1e-300), 6)
+    want = {(i, j) for i in range(0, 300, 7) for j in sorted((j for j in range(300) if j != i and sims[i, j] >= 0.7), key=lambda j: (-sims[i, j], j))[:4]}
+    assert len(want) > 100
+    for block in (2048, 16):
+        monkeypatch.setattr(clones, "BLOCK", block)
+        got = clones.similar(docs, 4, 0.7, 20).collect()
+        assert {(r.id, r.neighbour) for r in got} == want and all(abs(r.similarity - sims[r.id, r.neighbour]) < 2e-6 for r in got)
+    monkeypatch.setattr(clones, "CANDIDATES", 3)
+    assert clones.top_terms(docs, 300, 20) == top
+
+
 def test_nearest_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     v = rng.integers(0, 3, size=(150, 6)).astype(float) + 0.25  # many ties
